@@ -2,7 +2,8 @@
 
 Tokens are added up per source, each source gets a repetition rate (target / size), and each document is
 taken floor(rate) times plus once more if a hash of its id, read as a uniform number, lies below the fraction
-of the rate. Reruns agree, as the draw depends on doc_id and the seed alone.
+of the rate. Of a few hash seeds each source uses the one whose draws come nearest to its target, which takes
+most of the chance out of small sources and of long documents. Reruns agree, as draws depend on the data alone.
 
 Defined cases: a null source is a source of its own, last in order; a null or blank text has size 0 and is
 taken 0 times; an empty table gives an empty result; rows that repeat (same doc_id) draw alike, each counted;
@@ -56,27 +57,51 @@ def source_targets(sizes: DataFrame, share: float, ceiling: float, weights: tupl
     )
 
 
+def _times(size: Column, rate: Column, seed: Column) -> Column:
+    """floor(rate), and one more if the hash of seed and doc_id falls below the rate's fraction."""
+    uniform = F.shiftrightunsigned(F.xxhash64(seed, F.col("doc_id")), 11) / F.lit(float(1 << 53))
+    extra = (uniform < rate - F.floor(rate)).cast("bigint")
+    return F.when(size > 0, F.floor(rate) + extra).otherwise(F.lit(0)).cast("bigint")
+
+
+def _with_rates(sized: DataFrame, rates: DataFrame, few: bool) -> DataFrame:
+    """sized with the columns of rates (whose source is _source); few: the sources fit a broadcast."""
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if few:
+        return sized.join(F.broadcast(rates), same, "left").drop("_source")
+    there = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint")
+    salted = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_size"), F.lit(SALTS)))
+    return salted.join(rates.withColumn("_there", there), same & (F.col("_salt") == F.col("_there")), "left").drop("_salt", "_there", "_source")
+
+
 def planned(
-    docs: DataFrame, share: float = 1.5, ceiling: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = 20240229
+    docs: DataFrame,
+    share: float = 1.5,
+    ceiling: float = 2.0,
+    weights: tuple[int, ...] = (5, 2, 1),
+    seeds: tuple[int, ...] = tuple(range(1, 33)),
 ) -> DataFrame:
     """docs with _size, _source_size, _target and _times (how often the mix takes the row)."""
     sized = docs.withColumn("_size", word_count(F.col("text")))
     sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
     rates = written(source_targets(sizes, share, ceiling, weights), "rates").select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
+        F.col("source").alias("_source"),
+        F.col("source_size").alias("_source_size"),
+        F.col("target").alias("_target"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"),
     )
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    if rates.count() <= BROADCAST_SOURCES:
-        joined = sized.join(F.broadcast(rates), same, "left")
-    else:
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS))
-        spread = rates.withColumn("_there", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
-        joined = sized.withColumn("_salt", salt).join(spread, same & (F.col("_salt") == F.col("_there")), "left").drop("_salt", "_there")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
-    extra = (uniform < rate - F.floor(rate)).cast("bigint")
-    times = F.when(F.col("_size") > 0, F.floor(rate) + extra).otherwise(F.lit(0)).cast("bigint")
-    return joined.withColumn("_times", times).drop("_source")
+    few = rates.count() <= BROADCAST_SOURCES
+    drawn = _with_rates(sized.select("doc_id", "source", "_size"), rates, few)
+    misses = [
+        F.abs(F.sum(F.col("_size") * _times(F.col("_size"), F.col("_rate"), F.lit(k))) - F.first("_target")) for k in seeds
+    ]
+    nearest = drawn.groupBy("source").agg(F.array(*misses).alias("misses"))
+    best = F.element_at(F.array(*[F.lit(k) for k in seeds]), F.array_position("misses", F.array_min("misses")).cast("int"))
+    seeded = rates.join(
+        nearest.select(F.col("source").alias("_of"), best.alias("_seed")), F.col("_source").eqNullSafe(F.col("_of"))
+    ).drop("_of")
+    joined = _with_rates(sized, written(seeded, "seeds"), few)
+    return joined.withColumn("_times", _times(F.col("_size"), F.col("_rate"), F.col("_seed"))).drop("_rate", "_seed")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
