@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from translatome.llm import exact_dedup, mixing, sharding
+from translatome.llm import exact_dedup, mixing, packing, sharding, substring_dedup
 from translatome.llm.common import documents
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary of the box."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of any 35-word passage that starts elsewhere too."""
+    return substring_dedup.repeated_passages_removed(documents(spark, sf_dir)).drop("kept_text")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of 1024 tokens."""
+    return packing.packed(documents(spark, sf_dir), tokenizer_path())
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at 150 % of all words, as words taken of each document."""
     return mixing.planned(documents(spark, sf_dir).select("doc_id", "text", "source")).select(
@@ -33,7 +50,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op6_exact_dedup, op8_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_mix_sources, op6_exact_dedup, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
