@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from translatome.llm import exact_dedup, mixing, packing, sharding, substring_dedup
-from translatome.llm.common import documents
+from translatome.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, sharding, substring_dedup
+from translatome.llm.common import documents, labels
 
 
 def tokenizer_path() -> str:
@@ -49,8 +49,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), 24)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates of each document, at a Jaccard similarity of 0.85."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir), 85)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base statistics of each document and the verdict of the risk-controlled rules."""
+    return quality_rules.judged(documents(spark, sf_dir), labels(spark, sf_dir))[0].select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_mix_sources, op6_exact_dedup, op8_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_mix_sources, op6_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
