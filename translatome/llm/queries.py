@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from translatome.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, sharding, substring_dedup
+from translatome.llm import (
+    exact_dedup, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity,
+)
 from translatome.llm.common import documents, labels
 
 
@@ -23,6 +25,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages_removed(documents(spark, sf_dir)).drop("kept_text")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of each document; documents with crc32(doc_id) mod 3 = 1 are held out."""
+    return toxicity.classified(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of 1024 tokens."""
     return packing.packed(documents(spark, sf_dir), tokenizer_path())
@@ -39,11 +46,21 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document; documents with crc32(doc_id) mod 3 = 1 are held out."""
+    return language_id.identified(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document of equal texts stays, for all documents against a new index."""
     return exact_dedup.decided(documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of each document; documents with crc32(doc_id) mod 4 = 2 are held out."""
+    return quality_classifier.classified(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
     return sharding.sharded(documents(spark, sf_dir), 24)
@@ -62,7 +79,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_mix_sources, op6_exact_dedup, op8_sharding, op9_minhash_near_dedup, op10_quality_rules)}
+    every = (
+        op1_substring_dedup, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_language_id,
+        op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_minhash_near_dedup, op10_quality_rules,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
