@@ -34,5 +34,5 @@ def fitted(sample: DataFrame, fit: Callable[[list[str], list], Any]) -> Any:
         part = part.sort_values("doc_id")
         return pd.DataFrame({"model": [pickle.dumps(fit(part["text"].tolist(), part["label"].tolist()))]})
 
-    rows = sample.groupBy(F.lit(0)).applyInPandas(run, "model binary").collect()
+    rows = sample.withColumn("whole", F.lit(True)).groupBy("whole").applyInPandas(run, "model binary").collect()
     return pickle.loads(bytes(rows[0]["model"])) if rows else fit([], [])

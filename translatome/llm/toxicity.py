@@ -3,7 +3,8 @@
 A word's vector is the mean of the embeddings of its character n-grams (and of itself), hashed into a fixed number
 of rows, so that unseen spellings share vectors with those seen. The softmax reads the average over a span of words;
 a text is as toxic as its worst span, so that long texts don't dilute a few words. For toxic texts training takes
-the span that the model finds worst, for others the worst and a random one. A logistic curve, fitted on a part of the
+the span that the model finds worst, for others the worst and a random one; before the first epoch the log ratio of
+subwords' document frequencies stands in for the model. A logistic curve, fitted on a part of the
 sample that training never saw, turns the worst span's margin into a score.
 
 Defined cases: a null, blank or letterless text has the score of no evidence (the margin 0); rows that repeat are scored
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from translatome.llm.common import fold, slices
 from translatome.llm.fitting import fitted, labelled_sample
 
-BUCKETS, SIZE, SPAN = 1 << 16, 8, 32
-EPOCHS, WARM_UP, RATE, BATCH = 10, 3, 0.5, 64
+BUCKETS, SIZE, SPAN = 1 << 16, 8, 4
+EPOCHS, RATE, DECAY, BATCH = 10, 0.3, 1e-3, 64
+#: Documents of the sample that a subword must occur in; others keep the vector 0.
+LEAST = 3
 #: Labelled documents of each class that the model is fitted on.
 PER_CLASS = 3000
 REMEMBERED = 500_000
@@ -60,6 +63,19 @@ class _Bags:
             return np.zeros(0)
         return np.add.reduceat(worth[self.rows], self.starts) / self.counts
 
+    def log_ratios(self, docs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log ratio of each row's smoothed document frequencies in the two classes, and which rows have LEAST documents."""
+        seen = np.zeros((2, BUCKETS))
+        for i in docs:
+            words = np.unique(self.docs[i])
+            flags = np.zeros(BUCKETS, bool)
+            flags[self.spans([words])[0]] = True
+            seen[y[i]] += flags
+        n = np.bincount(y[docs], minlength=2)
+        ratios = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
+        often = seen.sum(axis=0) >= LEAST
+        return np.where(often, ratios, 0.0), often
+
     def spans(self, chosen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Subword rows, their weights and their span for spans of word numbers."""
         words = np.concatenate(chosen)
@@ -110,15 +126,17 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     vectors = draw.normal(0, 0.05, (BUCKETS, SIZE))
     weights = draw.normal(0, 0.5, (SIZE, 2))
     bias, grown, grown_w = np.zeros(2), np.full(BUCKETS, 1e-8), 1e-8
+    ratios, often = bags.log_ratios(train, y)
+    vectors[~often] = 0
     for epoch in range(EPOCHS):
-        words = bags.margins(vectors @ (weights[:, 1] - weights[:, 0]))
+        worth = vectors @ (weights[:, 1] - weights[:, 0]) if epoch else ratios
+        words = bags.margins(worth)
         chosen, marks = [], []
         for i in train:
             doc = bags.docs[i]
-            starts = [int(draw.integers(0, max(1, len(doc) - SPAN + 1)))]
-            if epoch >= WARM_UP:
-                worst = worst_span(words[doc])[1]
-                starts = [worst] if y[i] else [worst, *starts]
+            starts = [worst_span(words[doc])[1]]
+            if not y[i]:
+                starts.append(int(draw.integers(0, max(1, len(doc) - SPAN + 1))))
             chosen += [doc[s : s + SPAN] for s in starts]
             marks += [y[i]] * len(starts)
         marks = np.array(marks)
@@ -133,6 +151,7 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
             back = p @ weights.T  # of the mean
             used, where = np.unique(rows, return_inverse=True)
             step = np.stack([np.bincount(where, share * back[span, d], len(used)) for d in range(SIZE)], axis=1)
+            step = np.where(often[used][:, None], step + DECAY * vectors[used], 0.0)
             grown[used] += (step**2).mean(axis=1)
             vectors[used] -= RATE * step / np.sqrt(grown[used])[:, None]
             step_w = mean.T @ p / n
