@@ -1,10 +1,58 @@
-"""A corpus pipeline over documents."""
+"""A corpus pipeline over documents: rules, exact and near deduplication, mixing and packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
+columns of documents. It belongs to the subpackage translatome.llm and goes with it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from translatome.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
+from translatome.llm.common import documents, labels, written
+from translatome.llm.queries import tokenizer_path
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the risk-controlled rules."""
+    return quality_rules.filtered(docs, labels(spark, sf_dir))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return near_dedup.deduplicated(docs, 85)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents as pieces in sequences of 1024 tokens."""
+    return packing.packed(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("exact_dedup", drop_copies),
+    ("minhash_near_dedup", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack),
+]
+
+#: MinHash candidates, learned cutoffs and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over documents, each written as Parquet and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
