@@ -165,7 +165,7 @@ def _cleaned(window: int, ids_back: bool):
                 columns["kept_text"].append(joined.decode() if ids_back else None)
             types = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(columns.values(), types, strict=True))], ["doc_id", *columns]
+                [batch.column("id"), *(pa.array(v, t) for v, t in zip(columns.values(), types, strict=True))], ["id", *columns]
             )
 
     return cleaned
@@ -176,11 +176,11 @@ def repeated_passages_removed(docs: DataFrame, with_text: bool = False, window:
     width = window - PERIOD + 1
     if width < 1:
         raise ValueError(f"a window has {PERIOD} words at least")
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).cast("bigint").alias("id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col("text").cast("binary").alias("text"))
     twins = texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("twins"))
     twins = twins.filter("sha is not null").select("id", "twins")
 
-    # each join keeps all rows of texts, so that the three of them share one exchange of the texts
+    # each join keeps all rows and columns of texts, so that the three of them share one exchange of the texts
     first = texts.join(twins.hint("shuffle_hash"), "id", "left")
     anchors = first.filter("twins is not null").select("id", "text").mapInArrow(
         _anchors(width, PERIOD, COVER), "hash bigint, id bigint, pos int, known boolean"
@@ -197,7 +197,8 @@ def repeated_passages_removed(docs: DataFrame, with_text: bool = False, window:
     sure = windows.withColumn("again", elsewhere).filter("(again or known) and pos >= 0")
     sure = sure.groupBy("id").agg(F.collect_list("pos").alias("starts"))
 
-    last = first.join(sure.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "twins", "starts")
-    return last.mapInArrow(
-        _cleaned(window, with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+    last = first.join(sure.hint("shuffle_hash"), "id", "left").select("id", "text", "twins", "starts")
+    done = last.mapInArrow(
+        _cleaned(window, with_text), "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     )
+    return done.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
