@@ -68,7 +68,7 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text, so that long texts can't fill a worker's memory."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
