@@ -13,6 +13,7 @@ table gives an empty result; a null doc_id is carried; further columns are never
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,50 +28,86 @@ from translatome.llm.common import slices, written
 CAPACITY, END = 1024, 2
 #: Items of a part, parts merged in one round, tokens a bin may lack and still be emitted before the root.
 PART_ITEMS, FAN, SLACK = 30_000, 8, 2
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers (about 200 MB); others are encoded again in each batch that has them.
+REMEMBERED = 1_000_000
+_NEWLINE = 198  # the id of a lone newline in a byte-level vocabulary of this family; checked when it is loaded
 
 _encoders: dict[str, tuple] = {}
+_blank_pair = re.compile(r"\s\s")
+_blank = re.compile(r"\s")
 
 
-def _encoder(path: str):
+def _encoder(path: str) -> tuple:
+    """Tokenizer, ids of remembered words after a blank, and of remembered first words."""
     if path not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        lines = tokenizer.encode("a\n b\nc", add_special_tokens=False).ids[1::2] == [_NEWLINE, _NEWLINE]
+        _encoders[path] = (tokenizer, lines, {}, {})
     return _encoders[path]
 
 
-def _chunks(text: str, blank_pairs) -> list[str]:
-    """The text in chunks that the pre-tokenizer never joins: cut before single blanks between other characters."""
-    if not text or blank_pairs.search(text):
-        return [text] if text else []
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+def _encoded(tokenizer, lines: bool, chunks: list[str]) -> list[bytes]:
+    """Ids of each chunk. Chunks without inner blanks are encoded many at a time, parted by newlines, which never merge with them."""
+    out: dict[str, bytes] = {}
+    plain = [c for c in chunks if lines and c and not _blank.search(c, 1) and c[0] in " " + c.strip()[:1] and c != " "]
+    groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
+    for some, e in zip(groups, tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.asarray(e.ids, dtype="<u4")
+        cuts = np.nonzero(ids == _NEWLINE)[0]
+        if len(cuts) != len(some) - 1:
+            raise ValueError("newlines didn't stay apart")
+        raw = ids.tobytes()
+        starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+        out.update((c, raw[a:b]) for c, a, b in zip(some, starts, ends, strict=True))
+    rest = [c for c in chunks if c not in out]
+    for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+        out[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+    return [out[c] for c in chunks]
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids, as little-endian unsigned 32-bit numbers. Frequent chunks are encoded once in a worker."""
-    import re
-
-    tokenizer, known = _encoder(path)
-    blank_pairs = re.compile(r"\s\s")
-    split = [_chunks(t, blank_pairs) for t in texts]
-    new = list({c for chunks in split for c in chunks if c not in known})
-    local = known
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        local = {}
-        new = list({c for chunks in split for c in chunks})
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        for chunk, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            local[chunk] = np.asarray(e.ids, dtype="<u4").tobytes()
-    if local is not known and len(local) <= REMEMBERED:
-        known.update(local)
-    get = local.__getitem__
-    return [b"".join(map(get, chunks)) for chunks in split]
+    """Each text's ids, as little-endian unsigned 32-bit numbers.
+
+    The pre-tokenizer always cuts before a single blank between other characters, so a text without two blank characters in a row
+    is the sum of its words, each with the blank before it; words are encoded once and remembered.
+    """
+    tokenizer, lines, later, first = _encoder(path)
+    whole = [i for i, t in enumerate(texts) if _blank_pair.search(t)]
+    apart = set(whole)
+    words = [[] if i in apart or not t else t.split(" ") for i, t in enumerate(texts)]
+    heads = list({w[0] for w in words if w} - first.keys())
+    found = [list(map(later.get, w[1:])) for w in words]
+    new = list({x for w, ids in zip(words, found, strict=True) if None in ids for x, y in zip(w[1:], ids, strict=True) if y is None})
+    # a word with a comma or full stop after letters is the word and the mark
+    stems = {x[:-1] for x in new if x[-1:] in (",", ".") and x[:-1].isalpha()}
+    ask = [x for x in new if not (x[-1:] in (",", ".") and x[:-1].isalpha())]
+    ask += list(stems.difference(later.keys(), ask))
+    own = dict(zip(ask, _encoded(tokenizer, lines, [" " + x for x in ask]), strict=True))
+    marks = dict(zip(",.", _encoded(tokenizer, lines, [",", "."]), strict=True))
+    for x in new:
+        if x not in own:
+            stem = own.get(x[:-1])
+            own[x] = (later[x[:-1]] if stem is None else stem) + marks[x[-1]]
+    begin = dict(zip(heads, _encoded(tokenizer, lines, heads), strict=True))
+    out = []
+    for w, ids in zip(words, found, strict=True):
+        if not w:
+            out.append(b"")
+            continue
+        if None in ids:
+            ids = [own[x] if y is None else y for x, y in zip(w[1:], ids, strict=True)]
+        head = first.get(w[0])
+        out.append((begin[w[0]] if head is None else head) + b"".join(ids))
+    for i, ids in zip(whole, _encoded(tokenizer, False, [texts[i] for i in whole]), strict=True):
+        out[i] = ids
+    if len(later) < REMEMBERED:
+        later.update(own)
+    if len(first) < REMEMBERED // 10:
+        first.update(begin)
+    return out
 
 
 def pieces_of(path: str, capacity: int = CAPACITY, end: int = END):
