@@ -84,9 +84,7 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     if index is None:
         index = DigestIndex(spark, f"{shared_dir(spark)}/translatome-digests-{uuid.uuid4().hex}")
     batch = index.append(groups_of(docs))
-    keepers = index.rows().filter(F.col("batch") == batch).select(
-        F.col("text_sha256").alias("_digest"), F.col("keep_id").alias("_keep_id")
-    )
-    mine = docs.withColumn("_digest_of", F.sha2(without_blanks(F.col("text")), 256))
-    same = (F.col("_digest_of") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_keep_id"))
-    return mine.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "_digest_of"]).drop("_digest_of")
+    keepers = index.rows().filter(F.col("batch") == batch).select("text_sha256", "keep_id")
+    mine = docs.select("doc_id", F.sha2(without_blanks(F.col("text")), 256).alias("digest"), F.struct("*").alias("row"))
+    same = (F.col("digest") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return mine.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")

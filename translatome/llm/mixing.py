@@ -106,5 +106,6 @@ def planned(
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of docs as often as it is taken, with the columns of docs."""
+    rows = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
     copies = F.explode(F.expr("if(_times > 0, sequence(1, _times), cast(array() as array<bigint>))"))
-    return planned(docs, **how).withColumn("_copy", copies).select(*docs.columns)
+    return planned(rows, **how).withColumn("_copy", copies).select("row.*")

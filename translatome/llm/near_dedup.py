@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = written(
         same.join(reached, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "named"
     )
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return sketches.select("id", "n_shingles", "digest").join(named, "digest", "left").select(
         F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.col("id").isNull()).alias("kept"),
@@ -263,5 +263,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs that stay: one of each component, with the columns of docs."""
     gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    once = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return once.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.struct("*").alias("row"))
+    return rows.dropDuplicates(["doc_id", "digest"]).join(gone, "doc_id", "left_anti").select("row.*")

@@ -177,6 +177,5 @@ def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs; texts are read twice and never shuffled."""
     _, limits = judged(docs, labels)
-    again = docs.withColumn("_s", statistics(F.col("text")))
-    stats = again.select(F.struct(*docs.columns).alias("_row"), "lang", "_s.*")
-    return _judged(stats, limits).filter("kept").select("_row.*")
+    rows = docs.select("lang", statistics(F.col("text")).alias("s"), F.struct("*").alias("row"))
+    return _judged(rows.select("row", "lang", "s.*"), limits).filter("kept").select("row.*")
