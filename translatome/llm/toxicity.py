@@ -7,7 +7,7 @@ the span that the model finds worst, for others the worst and a random one; befo
 subwords' document frequencies stands in for the model. A logistic curve, fitted on a part of the
 sample that training never saw, turns the worst span's margin into a score.
 
-Defined cases: a null, blank or letterless text has the score of no evidence (the margin 0); rows that repeat are scored
+Defined cases: a null, blank or letterless text scores as one of ordinary words, and so do subwords that were never learned; rows that repeat are scored
 each; without labels of both kinds every score is 0.5; a null doc_id counts as the empty text in its fold; further columns are never read.
 """
 
@@ -159,12 +159,15 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
             weights -= 0.1 * step_w / np.sqrt(grown_w)
             bias -= 0.05 * p.mean(axis=0)
     worth = vectors @ (weights[:, 1] - weights[:, 0])
+    calm = [d for d, mark in zip(bags.docs, y, strict=True) if not mark and len(d)]
+    neutral = float(np.median(bags.margins(worth)[np.unique(np.concatenate(calm))])) if calm else 0.0
+    worth = np.where(often, worth, neutral)  # what was never learned is as an ordinary word
     words = bags.margins(worth)
-    margins = np.array([worst_span(words[d])[0] for d in bags.docs])
+    margins = np.array([worst_span(words[d])[0] if len(d) else neutral for d in bags.docs])
     seen = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
     spread = float(np.abs(margins).max()) or 1.0
     a, b = logistic(margins[seen] / spread * 10, y[seen])
-    return {"worth": worth.astype(np.float32), "slope": a * 10 / spread, "intercept": b}
+    return {"worth": worth.astype(np.float32), "slope": a * 10 / spread, "intercept": b, "neutral": neutral}
 
 
 def scored(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -188,7 +191,7 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
                 flat = m["worth"][np.fromiter((x for r in rows for x in r), np.int64, int(counts.sum()))]
                 known.update(zip(new, (np.add.reduceat(flat, np.cumsum(counts) - counts) / counts).tolist(), strict=True))
             get = known.__getitem__
-            worst = np.array([worst_span(np.fromiter(map(get, ws), np.float64, len(ws)))[0] for ws in texts])
+            worst = np.array([worst_span(np.fromiter(map(get, ws), np.float64, len(ws)))[0] if ws else m["neutral"] for ws in texts])
             margin = np.clip(m["slope"] * worst + m["intercept"], -30, 30)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-margin)), pa.float64())], ["doc_id", "score"])
 
