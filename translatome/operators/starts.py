@@ -147,8 +147,12 @@ def train_caller(examples: DataFrame, groups: int, positive_weight: float = 4.0,
     """A linear support vector machine on Fourier features (the RBF kernel's stand-in); examples: features, label."""
     known = examples.filter("features is not null").withColumn("weight", F.when(F.col("label") > 0, positive_weight).otherwise(1.0))
     vectors = known.withColumn("vector", array_to_vector(fourier_features(F.col("features"), groups, out)))
-    svm = LinearSVC(featuresCol="vector", labelCol="label", weightCol="weight", regParam=0.001, maxIter=50)
-    return svm.fit(vectors.select("vector", "label", "weight"))
+    svm = LinearSVC(featuresCol="vector", labelCol="label", weightCol="weight", regParam=0.001, maxIter=25, tol=1e-4)
+    ready = vectors.select("vector", "label", "weight").persist()  # each iteration reads it
+    try:
+        return svm.fit(ready)
+    finally:
+        ready.unpersist()
 
 
 def call_starts(model, rows: DataFrame, groups: int, out: int = 256) -> DataFrame:
