@@ -28,8 +28,8 @@ from translatome.llm.common import slices, written
 CAPACITY, END = 1024, 2
 #: Items of a part, parts merged in one round, tokens a bin may lack and still be emitted before the root.
 PART_ITEMS, FAN, SLACK = 30_000, 8, 2
-#: Words whose ids a worker remembers (about 200 MB); others are encoded again in each batch that has them.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers (about 110 MB); others are encoded again in each batch that has them.
+REMEMBERED = 500_000
 _NEWLINE = 198  # the id of a lone newline in a byte-level vocabulary of this family; checked when it is loaded
 
 _encoders: dict[str, tuple] = {}
