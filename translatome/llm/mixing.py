@@ -69,7 +69,7 @@ def _with_rates(sized: DataFrame, rates: DataFrame, few: bool) -> DataFrame:
     same = F.col("source").eqNullSafe(F.col("_source"))
     if few:
         return sized.join(F.broadcast(rates), same, "left").drop("_source")
-    there = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint")
+    there = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     salted = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_size"), F.lit(SALTS)))
     return salted.join(rates.withColumn("_there", there), same & (F.col("_salt") == F.col("_there")), "left").drop("_salt", "_there", "_source")
 

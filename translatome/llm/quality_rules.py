@@ -27,6 +27,8 @@ from translatome.llm.substring_dedup import hashed_words, mixed, rolled
 _BLANKS, _SYMBOLS, _CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_exclaims")
 
+#: Bytes of text whose words a task holds at a time.
+PART_BYTES = 4_000_000
 #: Permitted rate of false rejection of each rule in each stratum, and the chance that any of them is exceeded.
 RATE, CONFIDENCE = 0.01, 0.05
 GRID = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8)
@@ -76,8 +78,9 @@ def statistics(text: Column) -> Column:
     """A struct of the counts of a text."""
 
     def of(texts: pd.Series) -> pd.DataFrame:
-        found = [text_statistics([t if t is not None else None for t in texts.iloc[at : at + 4000]]) for at in range(0, len(texts), 4000)]
-        return pd.concat(found, ignore_index=True) if found else text_statistics([])
+        sizes = np.cumsum([len(t) if t else 0 for t in texts]) // PART_BYTES
+        cuts = [0, *(np.nonzero(np.diff(sizes))[0] + 1).tolist(), len(texts)]
+        return pd.concat([text_statistics(texts.iloc[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)], ignore_index=True)
 
     return F.pandas_udf(of, ", ".join(f"{f} bigint" for f in _FIELDS))(text.cast("binary"))
 
