@@ -123,6 +123,8 @@ def fit(texts: list[str], labels: list[int]) -> dict | None:
     filled = np.array([len(d) > 0 for d in bags.docs])
     held = draw.random(len(y)) < 0.25
     train = np.nonzero(filled & ~held)[0]
+    if len(set(y[train].tolist())) < 2:
+        return None
     vectors = draw.normal(0, 0.05, (BUCKETS, SIZE))
     weights = draw.normal(0, 0.5, (SIZE, 2))
     bias, grown, grown_w = np.zeros(2), np.full(BUCKETS, 1e-8), 1e-8
