@@ -37,6 +37,8 @@ COORDINATES, BANDS, ROWS = 96, 40, 6
 MARGIN = 0.16
 #: Members of one block of a cluster.
 BLOCK = 512
+#: Bytes of text whose words a task holds at a time.
+PART_BYTES = 1_000_000
 
 _SUBSETS = np.array([np.random.default_rng([11, b]).choice(COORDINATES, ROWS, replace=False) for b in range(BANDS)])
 _SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
@@ -91,7 +93,7 @@ _SKETCH = "id bigint, n_shingles bigint, digest binary, signature binary, bands
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, most=PART_BYTES):
         sets, digests = shingle_sets(batch.column("text").to_pylist())
         signatures = np.array([signature(s) for s in sets], dtype=np.uint32).reshape(-1, COORDINATES)
         bands = band_hashes(signatures).view(np.int64)
@@ -168,7 +170,7 @@ def _verify(percent: int):
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["a", "b"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=PART_BYTES):
             own, _ = shingle_sets(batch.column("text").to_pylist())
             keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "one", "two")), strict=True)
             for k, i, s in zip(keys, batch.column("id").to_pylist(), own, strict=True):

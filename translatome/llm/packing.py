@@ -28,8 +28,10 @@ from translatome.llm.common import slices, written
 CAPACITY, END = 1024, 2
 #: Items of a part, parts merged in one round, tokens a bin may lack and still be emitted before the root.
 PART_ITEMS, FAN, SLACK = 30_000, 8, 2
-#: Words whose ids a worker remembers (about 110 MB); others are encoded again in each batch that has them.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers (about 35 MB; reused workers keep them); others are encoded again in each batch that has them.
+REMEMBERED = 150_000
+#: Bytes of text whose words and ids a task holds at a time.
+PART_BYTES = 2_000_000
 _NEWLINE = 198  # the id of a lone newline in a byte-level vocabulary of this family; checked when it is loaded
 
 _encoders: dict[str, tuple] = {}
@@ -114,7 +116,7 @@ def pieces_of(path: str, capacity: int = CAPACITY, end: int = END):
     mark = np.asarray([end], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=8_000_000):
+        for batch in slices(batches, most=PART_BYTES):
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), token_bytes(texts, path), strict=True):

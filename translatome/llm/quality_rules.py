@@ -28,7 +28,7 @@ _BLANKS, _SYMBOLS, _CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65,
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_exclaims")
 
 #: Bytes of text whose words a task holds at a time.
-PART_BYTES = 4_000_000
+PART_BYTES = 1_000_000
 #: Permitted rate of false rejection of each rule in each stratum, and the chance that any of them is exceeded.
 RATE, CONFIDENCE = 0.01, 0.05
 GRID = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8)
