@@ -114,6 +114,56 @@ def test_near_chains_and_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_near_pairs_between_dissimilar_ends(spark):
+    """In every bucket that a pair shares, the smallest and the largest id are of texts unlike it."""
+    draw = random.Random(4)
+    one = [f"p{i}" for i in range(300)]
+    two = [*one[:150], "other", *one[151:]]
+    sets = [near_dedup.shingle_sets([" ".join(w).encode()])[0][0] for w in (one, two)]
+    marks = np.array([near_dedup.signature(s) for s in sets])
+    bands = near_dedup.band_hashes(marks)
+    assert (marks[0] == marks[1]).mean() > 0.85
+
+    def like(band):
+        """A text of other words but for the shingles that decide this band of the pair."""
+        starts = {}
+        for at in range(296):
+            own = near_dedup.shingle_sets([" ".join(one[at : at + 5]).encode()])[0][0]
+            for c in near_dedup._SUBSETS[band]:
+                if near_dedup.signature(own)[c] == marks[0][c]:
+                    starts[at] = None
+        pieces = [one[at : at + 5] for at in starts]
+        while True:
+            draw.shuffle(pieces)
+            text = " ".join(w for piece in pieces for w in [*piece, f"n{draw.randrange(10**6)}"])
+            mark = near_dedup.signature(near_dedup.shingle_sets([text.encode()])[0][0])
+            if near_dedup.band_hashes(mark[None])[0, band] == bands[0, band]:
+                return text
+
+    rows = [(1000, " ".join(one), "en", "a", 1), (1001, " ".join(two), "en", "a", 1)]
+    for band in np.nonzero(bands[0] == bands[1])[0]:
+        rows += [(int(band), like(band), "en", "a", 1), (2000 + int(band), like(band), "en", "a", 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == fixtures.components(rows) and got[1001][1] == 1000
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+@pytest.mark.parametrize("n", [40, 400])
+def test_agreeing_pairs_join_clusters(n, blocks):
+    draw = np.random.default_rng(n)
+    lanes = draw.integers(0, 2, (n, near_dedup.COORDINATES)).astype(np.uint8)
+    clusters = draw.integers(0, n // 2, n) * 10
+    block = np.arange(n) % blocks
+    least = 60 if n == 40 else 65
+    links = (lanes[:, None] == lanes[None]).sum(axis=2) >= least
+    if blocks == 2:
+        links &= block[:, None] != block[None]
+    links |= clusters[:, None] == clusters[None]
+    want = dict(zip(clusters, near_dedup.local_components(links, clusters), strict=True))
+    got = dict(zip(*near_dedup.agreeing_clusters(lanes, clusters, block, least), strict=True))
+    assert {c: got.get(c, c) for c in want} == want and 0 < len(got) < len(want) - 1
+
+
 def test_links_are_exact():
     draw = np.random.default_rng(3)
     base = draw.integers(0, 2**63, 300).astype(np.uint64)

@@ -5,11 +5,13 @@ permutations of 32-bit numbers give all signature coordinates: the first one sca
 one, shifted circularly by k, gives coordinate k. Bands are fixed subsets of the coordinates.
 
 1. Documents with the same words are reduced to the one with the smallest id.
-2. In each band bucket, members are tied to the bucket's smallest and largest id, never to one another; ties whose
-   signatures agree too little for the threshold are dropped. Connected ties make clusters.
-3. All pairs of a cluster's members are compared on their full sets, block by block, as products of incidence
+2. In each band bucket, members are tied to the bucket's smallest and largest id; ties whose signatures agree too
+   little for the threshold are dropped. Connected ties make clusters.
+3. In buckets with members of several clusters, all pairs across clusters are compared on their signatures, block by
+   block; those that agree enough join their clusters. So any two members of a bucket that agree enough share a cluster.
+4. All pairs of a cluster's members are compared on their full sets, block by block, as products of incidence
    matrices; a block returns no more rows than it has members.
-4. Linked documents are joined up to components, named by their smallest id.
+5. Linked documents are joined up to components, named by their smallest id.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; with fewer than 5 words the whole
 sequence is the one shingle; rows that repeat (same doc_id and text) are one document, each row is returned;
@@ -35,8 +37,8 @@ SHINGLE = 5
 COORDINATES, BANDS, ROWS = 96, 40, 6
 #: At a similarity of 0.85, 96 coordinates agree on 0.69 of them or more but for 1 pair in 100,000.
 MARGIN = 0.16
-#: Members of one block of a cluster.
-BLOCK = 512
+#: Members of one block of a cluster, and of one block of a bucket.
+BLOCK, BUCKET_BLOCK = 512, 1024
 #: Bytes of text whose words a task holds at a time.
 PART_BYTES = 1_000_000
 
@@ -189,6 +191,89 @@ def _verify(percent: int):
     return verify
 
 
+def agreeing_clusters(signatures: np.ndarray, clusters: np.ndarray, blocks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ties (cluster, smallest cluster reached) by pairs across clusters, and across blocks if there are two, with `least` equal bytes or more."""
+    low, high = blocks == blocks.min(), blocks == blocks.max()
+    one, two = signatures[low], signatures[high]
+    if one.size * len(two) <= 1_000_000:
+        equal = (one[:, None] == two[None]).sum(axis=2)
+    else:
+        equal = np.zeros((len(one), len(two)), np.uint8)
+        for a, b in zip(np.ascontiguousarray(one.T), np.ascontiguousarray(two.T), strict=True):
+            equal += a[:, None] == b[None]
+    known, at = np.unique(clusters, return_inverse=True)
+    a, b = np.nonzero((equal >= least) & (clusters[low][:, None] != clusters[high][None]))
+    a, b = np.unique(np.stack([at[low][a], at[high][b]]), axis=1)
+    names, last = np.arange(len(known)), None
+    while last is None or (names != last).any():
+        last = names.copy()
+        np.minimum.at(names, a, last[b])
+        np.minimum.at(names, b, last[a])
+    moved = names != np.arange(len(known))
+    return known[moved], known[names[moved]]
+
+
+def _compare(percent: int):
+    """Rows sorted by (band, one, two) in; ties between clusters out."""
+    least = int(np.ceil((percent / 100 - MARGIN) * COORDINATES))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ties(final: bool) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([rows.column(c).to_numpy() for c in ("band", "one", "two", "mine", "cluster")])
+            cuts = np.nonzero((np.diff(keys[:3]) != 0).any(axis=0))[0] + 1
+            ends = [*cuts.tolist(), *([rows.num_rows] if final else [])]
+            raw = b"".join(rows.column("lanes").to_pylist())
+            lanes = np.frombuffer(raw, np.uint8).reshape(-1, COORDINATES)
+            out, start = [], 0
+            for end in ends:
+                if end - start > 1:
+                    out.append(agreeing_clusters(lanes[start:end], keys[4, start:end], keys[3, start:end], least))
+                start = end
+            held[:] = rows.slice(start).to_batches()
+            both = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            yield ties(False)
+        if held:
+            yield ties(True)
+
+    return compare
+
+
+def _lanes(signatures: pd.Series) -> pd.Series:
+    """The lowest byte of each coordinate: enough to tell which pairs may agree."""
+    return signatures.map(lambda s: np.frombuffer(s, np.uint32).astype(np.uint8).tobytes())
+
+
+def ties_across(members: DataFrame, clusters: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Ties between clusters whose members meet in a bucket and agree enough.
+
+    members: band, id; clusters: id, cluster, for some ids (others are clusters of one); marks: id, signature. Members of a bucket's
+    largest cluster are compared with all others, never with one another.
+    """
+    named = written(members.join(clusters, "id", "left").select("band", "id", F.coalesce("cluster", "id").alias("cluster")), "named-members")
+    counts = named.groupBy("band", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("band").agg(F.max(F.struct("n", "cluster")).alias("most"), F.sum("n").alias("n")).filter("n > most.n")
+    size = lambda n: F.ceil(n / BUCKET_BLOCK).cast("bigint")
+    most = most.select("band", F.col("most.cluster").alias("largest"), size(F.col("n") - F.col("most.n")).alias("others"), size(F.col("most.n")).alias("own"))
+    hashed, of_largest = F.xxhash64("id"), F.col("cluster") == F.col("largest")
+    lanes = F.pandas_udf(_lanes, "binary")
+    dealt = (
+        named.join(most, "band")
+        .withColumn("mine", F.when(of_largest, F.col("others") + F.pmod(hashed, F.col("own"))).otherwise(F.pmod(hashed, F.col("others"))))
+        .withColumn("with", F.when(of_largest, F.col("others")).otherwise(F.col("others") + F.col("own")))
+        .join(marks.select("id", lanes("signature").alias("lanes")), "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("with") - 1)))
+        .select("band", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "cluster", "lanes")
+    )
+    return dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_compare(percent), "a bigint, b bigint")
+
+
 def components(ties: DataFrame) -> DataFrame:
     """id, component for the ends of ties (a, b): labels spread along ties and jump to their label's label."""
     both = written(ties.select("a", "b").union(ties.select("b", "a")).distinct(), "ties")
@@ -214,11 +299,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = same.select(F.col("rep").alias("id"))
 
     bands = sketches.select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    ends = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
     ends = written(ends, "buckets")
+    members = written(bands.join(ends, "band"), "members")
     pairs = (
-        bands.join(ends, "band")
-        .select("id", F.explode(F.array("low", "high")).alias("end"))
+        members.select("id", F.explode(F.array("low", "high")).alias("end"))
         .filter("id != end")
         .select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b"))
         .distinct()
@@ -233,6 +318,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "ties",
     )
     clusters = components(ties).withColumnRenamed("component", "cluster")
+    across = written(ties_across(members.filter("n > 2"), clusters, marks, percent), "ties-across")
+    if not across.isEmpty():
+        joined = components(across).withColumnRenamed("id", "cluster")
+        alone = joined.select(F.col("cluster").alias("id"), "cluster").join(clusters, "id", "left_anti")
+        clusters = clusters.unionByName(alone).join(joined, "cluster", "left").select("id", F.coalesce("component", "cluster").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
     clusters = written(clusters.join(sizes, "cluster").select("id", "cluster", "blocks"), "clusters")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
