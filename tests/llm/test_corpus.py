@@ -49,6 +49,20 @@ def test_packing(spark, rows):
         assert got.sequence_id.nunique() <= 1.05 * got.length.sum() / 1024 + 2
 
 
+def test_packing_parts_stay_bounded(spark, monkeypatch):
+    """Articles that don't fit together: no part gets what all others leave, and bins are as few as packed in one part."""
+    tables, write = [], packing.written
+    monkeypatch.setattr(packing, "written", lambda df, what: tables.append((what, write(df, what))) or tables[-1][1])
+    sizes = np.random.default_rng(2).integers(600, 1001, 400).tolist() + [5, 30, 300, 400, 500, 500]
+    rows = [(i, " ".join(["a"] * (n - 1)), "en", "a", 1) for i, n in enumerate(sizes)]
+    got = packing.packed(frame(spark, rows), tokenizer_path(), part_items=40).toPandas()
+    assert sorted(got.length) == sorted(sizes) and got.groupby("sequence_id").length.sum().max() <= 1024
+    assert got.sequence_id.nunique() == len(set(packing.best_fit(np.array(sizes)).tolist()))
+    bins = [t for what, t in tables if what == "bins"]
+    for t in bins:
+        assert t.groupBy("part").agg(F.sum(F.size("members")).alias("n")).agg(F.max("n")).first()[0] <= 80
+
+
 def test_best_fit():
     sizes = np.random.default_rng(0).integers(1, 1025, 3000)
     bins = packing.best_fit(sizes)

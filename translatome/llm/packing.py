@@ -2,8 +2,10 @@
 
 Documents are tokenized in map tasks; only those above the sequence length are cut, from the end, into full
 pieces and a first one that may be shorter. Full pieces are sequences of their own. The others are dealt out at
-random into local parts; each part packs its items best-fit with the longest first and emits the nearly full bins.
-What is left underfull becomes items of the next round, in which FAN parts are merged into one, up to the root.
+random into local parts; each part packs its items best-fit with the longest first. No two bins of a part fit together
+then, so a part has one bin at most that is half full or less, and only such bins can still go into others. They
+become items of the next round with as many others, the emptiest of those that are more than half full (if a bin fits
+into any others, then into these); all else is emitted. The number of parts follows from the items that are left.
 Items carry their pieces (a sequence has room for 1024 of them at most), so that no round needs a join.
 
 Defined cases: a null text is empty (its only id is the end mark); rows that repeat are packed each; an empty
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from translatome.llm.common import slices, written
 
 CAPACITY, END = 1024, 2
-#: Items of a part, parts merged in one round, tokens a bin may lack and still be emitted before the root.
-PART_ITEMS, FAN, SLACK = 30_000, 8, 2
+#: Items of a part, on average.
+PART_ITEMS = 30_000
 #: Words whose ids a worker remembers (about 35 MB; reused workers keep them); others are encoded again in each batch that has them.
 REMEMBERED = 150_000
 #: Bytes of text whose words and ids a task holds at a time.
@@ -160,11 +162,11 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return bins
 
 
-_ITEM = "part bigint, size bigint, done boolean, members array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
+_ITEM = "part bigint, size bigint, members array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
-def _round(capacity: int, slack: int):
-    """Packs one part: items in, bins out; a bin is done if it lacks no more than slack."""
+def _round(capacity: int):
+    """Packs one part: items in, bins out."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         bins = best_fit(part["size"].to_numpy(np.int64), capacity)
@@ -173,7 +175,7 @@ def _round(capacity: int, slack: int):
         members, sizes = part["members"].to_numpy(), part["size"].to_numpy(np.int64)
         merged = [[m for i in own for m in members[i]] for own in np.split(order, cuts[1:])] if len(part) else []
         total = np.add.reduceat(sizes[order], cuts) if len(part) else sizes
-        return pd.DataFrame({"part": part["part"].iloc[0], "size": total, "done": total >= capacity - slack, "members": merged})
+        return pd.DataFrame({"part": part["part"].iloc[0], "size": total, "members": merged})
 
     return pack
 
@@ -189,20 +191,30 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     full = pieces.filter(F.col("length") == capacity).select(F.array(member).alias("members"))
     short = pieces.filter(F.col("length") < capacity)
-    parts = max(1, -(-short.count() // part_items))
-    items = short.select(
-        F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).alias("part"),
-        F.col("length").alias("size"), F.lit(False).alias("done"), F.array(member).alias("members"),
-    )
+    left = short.count()
+    items = short.select(F.col("length").alias("size"), F.array(member).alias("members"))
     finished = [full]
-    while True:
-        root = parts == 1
-        bins = written(items.groupBy("part").applyInPandas(_round(capacity, capacity if root else SLACK), _ITEM), "bins")
-        finished.append(bins.filter("done").select("members"))
-        if root:
+    while left:
+        parts = -(-left // part_items)
+        # rows that repeat are dealt out too
+        dealt = items.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
+        bins = written(dealt.select("part", "size", "members").groupBy("part").applyInPandas(_round(capacity), _ITEM), "bins")
+        small = F.col("size") <= capacity // 2
+        n, least = bins.filter(small).agg(F.count(F.lit(1)), F.min("size")).first()
+        if parts == 1 or n == 0:
+            finished.append(bins.select("members"))
+            break
+        fits = F.col("size") <= capacity - least
+        key = F.struct("size", F.monotonically_increasing_id().alias("at"))
+        keyed = bins.withColumn("key", key)
+        last = keyed.filter(~small & fits).select("key").orderBy("key").limit(n).agg(F.max("key").alias("key")).first().key
+        again = small if last is None else small | (F.col("key") <= F.struct(F.lit(last.size).alias("size"), F.lit(last["at"]).alias("at")))
+        finished.append(keyed.filter(~again).select("members"))
+        items = written(keyed.filter(again).select("size", "members"), "left")
+        before, left = left, items.count()
+        if left >= before:
+            finished.append(items.select("members"))
             break
-        parts = -(-parts // FAN)
-        items = bins.filter("not done").withColumn("part", F.pmod(F.col("part"), F.lit(parts)))
     sequences = finished[0]
     for more in finished[1:]:
         sequences = sequences.unionByName(more)
