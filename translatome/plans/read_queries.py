@@ -234,6 +234,14 @@ def peak_depletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.running_depletion(_tops(spark, sf_dir))
 
 
+@query(None)
+def peak_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All greedy peaks with their edges and the running depletion; picking is sequential, so there is no SQL."""
+    peaks = greedy_peaks(spark, sf_dir)
+    counts = ref_pos_len(spark, sf_dir).filter("pos >= 0")
+    return windows.running_depletion(peaks).join(windows.peak_edges(counts, peaks.select("ref", "peak")), ["ref", "peak"])
+
+
 #: For duplicates reads are dealt to sites of 50 bases, so that sites have several.
 SITES = f"""{READS}, site AS (SELECT read_ord, ref, pos // 500 AS pos, strand, CASE WHEN tag = 'view' THEN '' ELSE tag END AS tag FROM reads)"""
 
