@@ -29,6 +29,23 @@ def test_word_tokens_are_text_tokens(text):
     assert np.frombuffer(packing.token_bytes([text], tokenizer_path())[0], "<u4").tolist() == encoded(text)
 
 
+def test_ranks_are_merges():
+    """What makes the ranks give the ids of the merges: every token, encoded alone, is itself."""
+    from tokenizers import Tokenizer
+
+    packing.token_bytes([""], tokenizer_path())
+    encoder = packing._encoders[tokenizer_path()]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    assert encoder.ranked is not None
+    alone = {t: [x.id for x in tokenizer.model.tokenize(t)] for t in tokenizer.get_vocab(with_added_tokens=False) if t not in encoder.special}
+    assert all(ids == [tokenizer.token_to_id(t)] for t, ids in alone.items())
+    texts = [p % chr(c) for c in range(0x250) for p in ("a%sb", " %s1", "1 %s", ".%s.", "x%s", " %s %s" % ("%s", "y"))]
+    draw = np.random.default_rng(1)
+    texts += ["".join(draw.choice(list("etaoin   \n\t.,'sdm12é\u0085\x1c"), 30)) for _ in range(2000)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert packing.token_bytes(texts, tokenizer_path()) == want
+
+
 @CASES
 def test_packing(spark, rows):
     got = packing.packed(frame(spark, rows).withColumn("part", F.lit(1)), tokenizer_path(), part_items=20).toPandas()
