@@ -194,6 +194,43 @@ def test_rules_reject_the_bad_and_spare_the_good(spark):
     assert limits.collect()[0]["symbols"] is not None
 
 
+def test_cutoffs_like_brute_force(spark):
+    """Cutoffs and verdicts from the definition, with a stratum of too few labels and one without any."""
+    from math import comb
+
+    draw = np.random.default_rng(6)
+    rows, good = [], []
+    for i in range(2600):
+        lang = "en" if i < 2300 else ["few", "none", None][i % 3]
+        words = [f"w{draw.integers(0, 9999)}" + ("#" * int(draw.integers(1, 9)) if draw.random() < 0.02 * (i % 7) else "") for _ in range(55)]
+        rows.append((i, " ".join(w.upper() if i % 50 == 0 else w for w in words), lang, "a", 1))
+        if lang != "none" and i % 7 < 3:
+            good.append(i)
+    labels = spark.createDataFrame([(i, 1, 0) for i in sorted(set(good))], "doc_id bigint, quality int, toxic int")
+    judged, limits = quality_rules.judged(frame(spark, rows), labels)
+    stats = {r.doc_id: r for r in judged.collect()}
+    ratios = lambda r: {k: getattr(r, a) / getattr(r, b) if getattr(r, b) else 0.0 for k, (a, b) in quality_rules.RULES.items()}
+    strata = {}
+    for i in set(good):
+        strata.setdefault(stats[i].lang, []).append(ratios(stats[i]))
+    rate, tests = 0.05 / 5, 12 * 5 * len(strata)
+    want = {}
+    for lang, own in strata.items():
+        for rule in quality_rules.RULES:
+            held = []
+            for cut in quality_rules.GRID:
+                k = sum(r[rule] > cut for r in own)
+                chance = sum(comb(len(own), x) * rate**x * (1 - rate) ** (len(own) - x) for x in range(k + 1))
+                held += [cut] if chance <= 0.05 / tests else []
+            want[lang, rule] = min(held, default=None)
+    got = {(r.lang, rule): r[rule] for r in limits.collect() for rule in quality_rules.RULES}
+    assert got == want and set(want.values()) > {None} and all(want["few", rule] is None for rule in quality_rules.RULES)
+    for r in stats.values():
+        passed = all(want.get((r.lang, rule)) is None or x <= want[r.lang, rule] for rule, x in ratios(r).items())
+        assert r.kept == (passed and not r.base_failed)
+    assert any(not r.kept for r in stats.values())
+
+
 def test_pipeline(spark):
     """Each stage on its own input, against the brute-force versions."""
     import corpus_pipeline as p

@@ -1,15 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a ratio that grows as a text gets worse. For each stratum (language) and rule, every cutoff of a fixed
-grid is tested on labelled good documents, which took no part in choosing the grid: a cutoff holds if a binomial with
-the permitted rate of false rejection would show as few rejections as were seen with a probability of at most
-confidence / number of all tests (the exact Clopper-Pearson bound with Bonferroni's correction). The lowest cutoff of
-those that hold is used; a stratum without such a cutoff doesn't apply the rule. With the confidence given, no rule
-rejects more than the permitted rate of good documents in any stratum.
-
-Defined cases: a null text has no words (it fails the base rules); a null language is a stratum; labels without a document,
-with null or with contradicting quality are left out; without labels only the base rules count; rows that repeat are judged each;
-further columns are never read.
+Each rule is a ratio that grows as a text gets worse. The rate of false rejection permitted in a stratum (language) is shared
+out evenly over the rules. For each stratum and rule, every cutoff of a fixed grid is tested on labelled good documents, which
+took no part in choosing the grid: a cutoff holds if a binomial with the rule's share of the rate would show as few
+rejections as were seen with a probability of at most CONFIDENCE / number of all tests (the exact Clopper-Pearson bound with
+Bonferroni's correction). The lowest cutoff of those that hold is used; a stratum without such a cutoff doesn't apply
+the rule, so strata with few labels only have the base rules. But for a chance of CONFIDENCE, the rules together reject
+at most STRATUM_RATE of the good documents in every stratum.
+
+Defined cases: a null or empty text has no words (it fails the base rules); very long texts are counted whole, one at a time; a ratio
+equal to its cutoff passes; a null language is a stratum; labels without a document, with null or with contradicting quality are
+left out; without labels only the base rules count; rows that repeat are judged each; an empty table gives an empty result;
+further columns are carried by `filtered` and never read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 #: Bytes of text whose words a task holds at a time.
 PART_BYTES = 1_000_000
-#: Permitted rate of false rejection of each rule in each stratum, and the chance that any of them is exceeded.
-RATE, CONFIDENCE = 0.01, 0.05
+#: Permitted rate of false rejection by all rules together in each stratum, and the chance that it is exceeded in any.
+STRATUM_RATE, CONFIDENCE = 0.05, 0.05
 GRID = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8)
 #: Numerator and denominator of each rule.
 RULES = {
@@ -40,6 +42,8 @@ RULES = {
     "capitals": ("n_capitals", "word_chars"),
     "exclaims": ("n_exclaims", "n_words"),
 }
+#: The share of the rate that each rule has.
+RATE = STRATUM_RATE / len(RULES)
 
 
 def text_statistics(texts: list[bytes | None]) -> pd.DataFrame:
@@ -141,7 +145,7 @@ def cutoffs(good: DataFrame) -> DataFrame:
     chance = F.pandas_udf(_false_rejection, "double")(F.col("k"), F.col("n"))
     held = long.crossJoin(F.broadcast(strata)).withColumn("holds", chance <= CONFIDENCE / tests)
     grid = F.array(*[F.lit(c) for c in GRID])
-    lowest = F.element_at(grid, (F.min(F.when(F.col("holds"), F.col("at"))) + 1).cast("int"))
+    lowest = F.get(grid, F.min(F.when(F.col("holds"), F.col("at"))))  # null without a cutoff that holds
     return held.groupBy("lang").pivot("rule", list(RULES)).agg(lowest)
 
 
