@@ -9,9 +9,13 @@ windows around it, and only those are hashed whole (96 bits) and counted.
 Copies never meet as pairs. Equal texts are reduced to one beforehand; within a batch of a map task equal hashes
 are reduced to one row with a key of its own, the others are marked as known, so a hash has one row for each batch at most.
 
-A word is [^\\x20\\x09-\\x0D]+. Defined cases: a null text has no words; texts below the window keep all their words;
-overlapping copies inside one document count; rows that repeat (same doc_id and text) count as copies of each
-other; doc_id must name one text; a null doc_id is an id; an empty table gives an empty result; further columns are never read.
+Rows are known by a 64-bit hash of doc_id and text, so neither needs to be unique or there (of n rows, about n * n / 2**65 pairs
+share a hash by chance).
+
+A word is [^\\x20\\x09-\\x0D]+. Defined cases: a null text has no words; texts below the window keep all their words; very long
+texts are read whole, 4 MB at a time; overlapping copies inside one document count; rows that repeat (same doc_id and text) count as
+copies of each other; rows with one doc_id, or none, and several texts are documents each; an empty table gives an empty result;
+further columns are never read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,6 @@ from translatome.llm.common import slices
 #: {0, 1, 4, 14, 16} is a perfect difference set modulo 21.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 WINDOW = 35
-_NO_ID = -(2**63)
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -165,7 +168,7 @@ def _cleaned(window: int, ids_back: bool):
                 columns["kept_text"].append(joined.decode() if ids_back else None)
             types = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(v, t) for v, t in zip(columns.values(), types, strict=True))], ["id", *columns]
+                [batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(columns.values(), types, strict=True))], ["doc_id", *columns]
             )
 
     return cleaned
@@ -176,7 +179,8 @@ def repeated_passages_removed(docs: DataFrame, with_text: bool = False, window:
     width = window - PERIOD + 1
     if width < 1:
         raise ValueError(f"a window has {PERIOD} words at least")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col("text").cast("binary").alias("text"))
+    doc_id = F.col("doc_id").cast("bigint")
+    texts = docs.select(F.xxhash64(doc_id, "text").alias("id"), doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text"))
     twins = texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("twins"))
     twins = twins.filter("sha is not null").select("id", "twins")
 
@@ -197,8 +201,7 @@ def repeated_passages_removed(docs: DataFrame, with_text: bool = False, window:
     sure = windows.withColumn("again", elsewhere).filter("(again or known) and pos >= 0")
     sure = sure.groupBy("id").agg(F.collect_list("pos").alias("starts"))
 
-    last = first.join(sure.hint("shuffle_hash"), "id", "left").select("id", "text", "twins", "starts")
-    done = last.mapInArrow(
-        _cleaned(window, with_text), "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+    last = first.join(sure.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "twins", "starts")
+    return last.mapInArrow(
+        _cleaned(window, with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     )
-    return done.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
