@@ -86,3 +86,74 @@ def test_backoff_goes_to_shorter_grams():
     assert language_id.unseen_score("xy", model).tolist() == [0.0, -3.0]
     assert language_id.unseen_score("q", model).tolist() == [-2.0, 0.0]
     assert language_id.unseen_score("z", model).tolist() == [0.0, 0.0]
+
+
+def test_language_like_plain_scoring(spark):
+    """Every score from the model alone: words first, then n-grams from long to short; no letter is und, unknown letters are not."""
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    texts = [r[1] for r in rows if r[1] and r[2]]
+    model = language_id.fit(texts, [r[2] for r in rows if r[1] and r[2]])
+    asked = [(r[0], r[1]) for r in rows] + [(10**6 + k, t) for k, t in enumerate(["", None, "12 ½ --", "\u4e2d\u6587", "zzzqq xkw", "\u2167"])]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predicted(spark.createDataFrame(asked, "doc_id bigint, text string"), model).collect()}
+    for doc_id, text in asked:
+        words = language_id.words_of(text)
+        if not any(c.isalpha() for c in text or ""):
+            assert got[doc_id] == ("und", 0.0)
+            continue
+        total = np.zeros(len(model["languages"]))
+        for w in words:
+            if w in model["words"]:
+                total += model["words"][w]
+                continue
+            for n, table in zip(range(5, 0, -1), model["grams"], strict=True):
+                marked = f"<{w}>" if n > 1 else w
+                found = [table[marked[i : i + n]] for i in range(len(marked) - n + 1) if marked[i : i + n] in table]
+                if found:
+                    total += sum(found) / len(found)
+                    break
+        shares = np.exp(total - total.max())
+        assert got[doc_id][1] == pytest.approx(shares.max() / shares.sum() if total.any() else 1 / len(shares), abs=1e-6)
+        name = got[doc_id][0]
+        assert name in model["languages"] and total[model["languages"].index(name)] == pytest.approx(total.max(), abs=1e-6)
+
+
+def test_one_language_is_never_und(spark):
+    docs = spark.createDataFrame([(i, f"some words here {i}", "en", "a", 1) for i in range(20)] + [(50, "\u4e2d", None, "a", 1)], fixtures.SCHEMA)
+    assert {r.lang_pred for r in language_id.identified(docs).collect()} == {"en"}
+
+
+def test_too_many_labels_are_an_error(spark):
+    from translatome.llm.fitting import labelled_sample
+
+    docs = spark.createDataFrame([(i, "text", f"l{i}", "a", 1) for i in range(5)], fixtures.SCHEMA)
+    with pytest.raises(ValueError, match="labels"):
+        labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("label")), 3, most_labels=4)
+
+
+def test_toxicity_like_plain_scoring(spark):
+    """A text's score is a logistic curve of its worst span's mean worth."""
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + [(10**6, ""), (10**6 + 1, None)]
+    draw = np.random.default_rng(4)
+    model = {"worth": draw.normal(0, 1, toxicity.BUCKETS).astype(np.float32), "slope": 1.7, "intercept": -0.4, "neutral": 0.2}
+    got = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for doc_id, text in rows:
+        each = [float(np.mean([model["worth"][k] for k in toxicity.subwords(w)])) for w in toxicity.words_of(text)]
+        spans = [each[i : i + toxicity.SPAN] for i in range(max(1, len(each) - toxicity.SPAN + 1))]
+        worst = max(sum(s) / len(s) for s in spans) if each else 0.2
+        assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-(1.7 * worst - 0.4))), abs=1e-5)
+
+
+def test_quality_like_plain_scoring(spark):
+    """A text's score is a logistic curve of the sum of its n-grams' worth."""
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + [(10**6, ""), (10**6 + 1, None)]
+    draw = np.random.default_rng(4)
+    model = {"worth": draw.normal(0, 0.1, quality_classifier.COLUMNS), "b": 0.3, "slope": 0.8, "intercept": -0.1}
+    got = {r.doc_id: r.score for r in quality_classifier.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    for doc_id, text in rows:
+        own = quality_classifier.columns_of(text)
+        assert len(set(own.tolist())) == len(own)
+        margin = min(20, max(-20, sum(model["worth"][k] for k in own) + 0.3))
+        assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-(0.8 * margin - 0.1))), abs=1e-9)

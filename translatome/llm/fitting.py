@@ -16,12 +16,14 @@ from translatome.llm.common import written
 def labelled_sample(docs: DataFrame, labelled: DataFrame, per_label: int, most_labels: int = 1000) -> DataFrame:
     """text and label of about per_label documents of each label, chosen by a hash of doc_id.
 
-    labelled: doc_id, label. Ids are chosen before any text is read; their number is bounded by
-    per_label * most_labels (the commonest labels), so they can be broadcast.
+    labelled: doc_id, label. Ids are chosen before any text is read; their number is bounded by per_label * most_labels, so they
+    can be broadcast. More than most_labels labels are an error; none is left out.
     """
     one = labelled.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
     one = one.filter("label = other").select("doc_id", "label")
-    counts = one.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels)
+    counts = one.groupBy("label").count()
+    if counts.limit(most_labels + 1).count() > most_labels:
+        raise ValueError(f"there are more than {most_labels} labels")
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(97)), 11) / F.lit(float(1 << 53))
     ids = one.join(F.broadcast(counts), "label").filter(uniform * F.col("count") < per_label).select("doc_id", "label")
     return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(written(ids, "sample")), "doc_id").dropDuplicates(["doc_id"])

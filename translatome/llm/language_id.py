@@ -4,8 +4,10 @@ Known words give their log frequency in each language. An unseen word is scored
 any of them is known, else by those of 4, and so on down to single characters; words none of whose characters
 are known count for nothing. The text's score in a language is the sum over its words.
 
-Defined cases: a null text, a text without a letter, or one of unknown letters only is `und` with score 0; ties go to the
-language that is first in order; without any labelled text all are `und`; rows that repeat are predicted each; further columns are never read.
+Defined cases: a null text or one without a letter is `und` with score 0; a text of unknown letters only gets the language with
+most sampled texts, at the score of a guess; ties go to the language that is first in order; very long texts are read whole, 4 MB
+at a time; without any labelled text all are `und`; rows that repeat are predicted each; an empty table gives an empty result;
+further columns are never read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from translatome.llm.fitting import fitted, labelled_sample
 
 UNKNOWN = "und"
 LONGEST = 5
-#: Documents of each language that are learned from; words and n-grams (of each order) that are kept.
-PER_LANGUAGE, KEPT_WORDS, KEPT_GRAMS = 2500, 60_000, 20_000
+#: Documents of each language that are learned from; its most frequent words and n-grams (of each order) that the model has.
+PER_LANGUAGE, KEPT_WORDS, KEPT_GRAMS = 2500, 20_000, 6_000
 LEAST_COUNT, SMOOTHING = 3, 0.5
 REMEMBERED = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,11 +42,17 @@ def _grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def has_letter(words: list[str]) -> bool:
+    return any(w.isalpha() for w in words) or any(c.isalpha() for w in words for c in w)
+
+
 def _table(counts: dict[str, np.ndarray], kept: int) -> dict[str, np.ndarray]:
-    """Log frequencies by language of the most frequent entries."""
+    """Log frequencies by language of the entries that are among the `kept` most frequent of any language."""
     if not counts:
         return {}
-    names = sorted(counts, key=lambda k: (-counts[k].sum(), k))[:kept]
+    every = sorted(counts)
+    ranked = np.argsort(-np.array([counts[k] for k in every]), axis=0, kind="stable")
+    names = [every[i] for i in np.unique(ranked[:kept])]
     table = np.array([counts[k] for k in names]) + SMOOTHING
     table = np.log(table / table.sum(axis=0))
     return dict(zip(names, table - table.max(axis=1, keepdims=True), strict=True))
@@ -72,7 +80,9 @@ def fit(texts: list[str], labels: list[str]) -> dict | None:
                     grams[g] = c
         tables.append(_table({g: c for g, c in grams.items() if c.sum() >= LEAST_COUNT or n == 1}, KEPT_GRAMS))
     words = _table({w: c for w, c in by_word.items() if c.sum() >= LEAST_COUNT}, KEPT_WORDS)
-    return {"languages": languages, "words": words, "grams": tables}
+    sampled = Counter(labels)
+    commonest = min(range(len(languages)), key=lambda k: (-sampled[languages[k]], k))
+    return {"languages": languages, "words": words, "grams": tables, "commonest": commonest}
 
 
 def unseen_score(word: str, model: dict) -> np.ndarray:
@@ -87,34 +97,31 @@ def unseen_score(word: str, model: dict) -> np.ndarray:
 def predicted(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict[str, int] = {}
-    store: list[np.ndarray] = []
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table = np.zeros((0, len(m["languages"]))) if m else None
+        known: dict[str, int] = {}
+        table = np.zeros((1 << 16, len(m["languages"]))) if m else None  # grows by doubling
         for batch in slices(batches):
             names, scores = [], []
             texts = [words_of(t) for t in batch.column("text").to_pylist()] if m else [[]] * batch.num_rows
             if m:
                 if len(known) > REMEMBERED:
                     known.clear()
-                    store.clear()
-                before = len(store)
                 for w in {w for ws in texts for w in ws if w not in known}:
-                    known[w] = len(store)
+                    at = known[w] = len(known)
+                    if at == len(table):
+                        table = np.concatenate([table, np.zeros_like(table)])
                     own = m["words"].get(w)
-                    store.append(unseen_score(w, m) if own is None else own)
-                if len(store) != len(table) or before != len(store):
-                    table = np.array(store).reshape(-1, len(m["languages"]))
+                    table[at] = unseen_score(w, m) if own is None else own
             get = known.__getitem__
             for ws in texts:
-                total = table[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0) if ws else None
-                if total is None or not total.any():
+                if not has_letter(ws):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                best = int(total.argmax())
+                total = table[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0)
+                best = int(total.argmax()) if total.any() else m["commonest"]
                 names.append(m["languages"][best])
                 scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
             yield pa.RecordBatch.from_arrays(
