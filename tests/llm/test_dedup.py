@@ -28,6 +28,18 @@ def test_substring_like_brute_force(spark, rows):
     assert sorted(map(tuple, got), key=str) == sorted(fixtures.without_repeats(rows), key=str)
 
 
+def test_substring_ids_that_name_several_texts(spark):
+    """Rows without an id, and rows that share one, are documents each."""
+    draw = random.Random(9)
+    text = lambda n: " ".join(f"q{draw.randrange(10**6)}" for _ in range(n))
+    shared, one = text(50), text(60)
+    texts = [text(40), text(41), f"{text(5)} {shared} {text(6)}", f"{text(9)} {shared}", one, one, text(20), None]
+    rows = [(k, t, "en", "a", 1) for k, t in zip([None, None, 5, 5, 6, 6, 7, 7], texts, strict=True)]
+    got = substring_dedup.repeated_passages_removed(frame(spark, rows)).drop("kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(fixtures.without_repeats(rows), key=str)
+    assert sorted(r.n_removed for r in got) == [0, 0, 0, 0, 50, 50, 60, 60]
+
+
 def test_substring_text(spark):
     rows = fixtures.corpus(40)
     for r in substring_dedup.repeated_passages_removed(frame(spark, rows), with_text=True).collect():
@@ -147,6 +159,49 @@ def test_near_pairs_between_dissimilar_ends(spark):
     assert got == fixtures.components(rows) and got[1001][1] == 1000
 
 
+def test_near_ids_that_name_several_texts(spark):
+    """Each text of an id, and of no id, is compared; one row of each component stays."""
+    draw = random.Random(3)
+    a, b, c = ([f"t{draw.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    text = " ".join
+    rows = [(5, text(a)), (5, text(b)), (3, text([*b, "more"])), (4, text([*a, "more"])), (None, text(c)), (None, text([*c, "end"])), (9, text([*b, "x"])), (9, text([*b, "y"])), (None, text([*a, "z"]))]
+    docs = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], fixtures.SCHEMA)
+    got = near_dedup.near_duplicates(docs).collect()
+    key = lambda x: (x is None, x or 0)
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=lambda r: (key(r[0]), key(r[1]))) == [
+        (3, 3, True), (4, 4, True), (5, 3, False), (5, 4, False), (9, 3, False), (9, 3, False), (None, 4, False), (None, None, True), (None, None, True),
+    ]
+    stay = near_dedup.deduplicated(docs).collect()
+    assert len(stay) == 3 and {r.doc_id for r in stay} == {3, 4, None} and {r.n_chars for r in stay} - {4, 5} == {2, 3}
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A path through shuffled ids, a star and a pair."""
+    ids, written, seen = list(range(400)), near_dedup.written, []
+    random.Random(5).shuffle(ids)
+    ties = [*zip(ids, ids[1:]), *((1000, k) for k in range(1001, 1040)), (2001, 2000), (2000, 2000)]
+    monkeypatch.setattr(near_dedup, "written", lambda df, what: seen.append(what) or written(df, what))
+    got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(ties, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 if i < 400 else 1000 if i < 2000 else 2000 for i in {x for t in ties for x in t}}
+    assert seen.count("small-stars") <= 12
+
+
+def test_boilerplate_falls_apart(spark, monkeypatch):
+    """Documents that share most of their shingles, none linked but for a few pairs, aren't all compared with one another."""
+    monkeypatch.setattr(near_dedup, "LARGE", 50)
+    tables, written = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, what: tables.setdefault(what, written(df, what)) if what == "cluster-members" else written(df, what))
+    draw = random.Random(8)
+    shared = [f"s{i}" for i in range(80)]
+    own = [shared + [f"u{k}x{i}" for i in range(20)] for k in range(300)]
+    own += [[*w[:-1], "last"] for w in own[:10]] + [[*w[2:]] for w in own[20:25]]
+    rows = [(i, " ".join(w), "en", "a", 1) for i, w in enumerate(own)]
+    draw.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == fixtures.components(rows) and sum(i != c for i, (_, c) in got.items()) == 15
+    assert tables["cluster-members"].count() <= 60
+
+
 @pytest.mark.parametrize("blocks", [1, 2])
 @pytest.mark.parametrize("n", [40, 400])
 def test_agreeing_pairs_join_clusters(n, blocks):

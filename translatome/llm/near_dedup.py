@@ -4,19 +4,25 @@ A document's set holds its distinct shingles of 5 words (A-Z lower-cased, words
 permutations of 32-bit numbers give all signature coordinates: the first one scatters the shingles, the second
 one, shifted circularly by k, gives coordinate k. Bands are fixed subsets of the coordinates.
 
-1. Documents with the same words are reduced to the one with the smallest id.
+1. Documents with the same words are reduced to one node, whatever their ids are.
 2. In each band bucket, members are tied to the bucket's smallest and largest id; ties whose signatures agree too
    little for the threshold are dropped. Connected ties make clusters.
 3. In buckets with members of several clusters, all pairs across clusters are compared on their signatures, block by
    block; those that agree enough join their clusters. So any two members of a bucket that agree enough share a cluster.
-4. All pairs of a cluster's members are compared on their full sets, block by block, as products of incidence
+4. Clusters of more than LARGE members are split: with its shingles ordered from those that few members of the cluster have to those that
+   many have, a document shares one of its first n - ceil(threshold * n) + 1 with every document it is linked with. Only members
+   connected by such shingles stay together, so what merely shares the same boilerplate falls apart.
+5. All pairs of a cluster's members are compared on their full sets, block by block, as products of incidence
    matrices; a block returns no more rows than it has members.
-5. Linked documents are joined up to components, named by their smallest id.
+6. Linked documents are joined up to components, named by their smallest id.
+
+Rows are known by a 64-bit hash of doc_id and text together with a digest of the words, so doc_id needs to be neither unique nor there.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; with fewer than 5 words the whole
-sequence is the one shingle; rows that repeat (same doc_id and text) are one document, each row is returned;
-doc_id must name one text; a null doc_id is returned with null component and kept; an empty table gives an empty result;
-further columns are carried by `deduplicated` and never read.
+sequence is the one shingle; very long texts are read whole, 1 MB of texts at a time; rows that repeat (same doc_id and text) are one
+document, each row is returned; rows with one doc_id and several texts are documents each; a null doc_id is never a component's name
+unless all its rows have none, it is linked as any other and kept only then; an empty table gives an empty result;
+further columns are carried by `deduplicated`, which keeps one row of each component, and never read.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from translatome.llm.common import slices, written
@@ -39,6 +45,8 @@ COORDINATES, BANDS, ROWS = 96, 40, 6
 MARGIN = 0.16
 #: Members of one block of a cluster, and of one block of a bucket.
 BLOCK, BUCKET_BLOCK = 512, 1024
+#: Members above which a cluster is split by the shingles that few of them have.
+LARGE = 4096
 #: Bytes of text whose words a task holds at a time.
 PART_BYTES = 1_000_000
 
@@ -91,7 +99,7 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = "id bigint, n_shingles bigint, digest binary, signature binary, bands array<bigint>"
+_SKETCH = "id bigint, key bigint, n_shingles bigint, digest binary, lanes binary, bands array<bigint>"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,19 +111,20 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
+                batch.column("key"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
-                pa.array([s.tobytes() for s in signatures], pa.binary()),
+                pa.array([s.tobytes() for s in signatures.astype(np.uint8)], pa.binary()),  # the lowest bytes tell which pairs may agree
                 pa.ListArray.from_arrays(offsets, pa.array(bands.ravel())),
             ],
-            ["id", "n_shingles", "digest", "signature", "bands"],
+            ["id", "key", "n_shingles", "digest", "lanes", "bands"],
         )
 
 
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of coordinates on which two signatures agree."""
-    one = np.frombuffer(b"".join(a), np.uint32).reshape(-1, COORDINATES)
-    two = np.frombuffer(b"".join(b), np.uint32).reshape(-1, COORDINATES)
+    """Share of coordinates on which the lanes of two signatures agree."""
+    one = np.frombuffer(b"".join(a), np.uint8).reshape(-1, COORDINATES)
+    two = np.frombuffer(b"".join(b), np.uint8).reshape(-1, COORDINATES)
     return pd.Series((one == two).mean(axis=1) if len(one) else np.zeros(0))
 
 
@@ -173,9 +182,12 @@ def _verify(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["a", "b"])
 
         for batch in slices(batches, most=PART_BYTES):
-            own, _ = shingle_sets(batch.column("text").to_pylist())
+            own, digests = shingle_sets(batch.column("text").to_pylist())
             keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "one", "two")), strict=True)
-            for k, i, s in zip(keys, batch.column("id").to_pylist(), own, strict=True):
+            same = [a == b for a, b in zip(digests, batch.column("digest").to_pylist(), strict=True)]
+            for k, i, s, right in zip(keys, batch.column("node").to_pylist(), own, same, strict=True):
+                if not right:  # another text with the same key
+                    continue
                 if k != key:
                     if len(ids) > 1:
                         out.append(ties(ids, sets))
@@ -245,29 +257,23 @@ def _compare(percent: int):
     return compare
 
 
-def _lanes(signatures: pd.Series) -> pd.Series:
-    """The lowest byte of each coordinate: enough to tell which pairs may agree."""
-    return signatures.map(lambda s: np.frombuffer(s, np.uint32).astype(np.uint8).tobytes())
-
-
 def ties_across(members: DataFrame, clusters: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Ties between clusters whose members meet in a bucket and agree enough.
 
-    members: band, id; clusters: id, cluster, for some ids (others are clusters of one); marks: id, signature. Members of a bucket's
+    members: band, node; clusters: node, cluster, for some nodes (others are clusters of one); marks: node, lanes. Members of a bucket's
     largest cluster are compared with all others, never with one another.
     """
-    named = written(members.join(clusters, "id", "left").select("band", "id", F.coalesce("cluster", "id").alias("cluster")), "named-members")
+    named = written(members.join(clusters, "node", "left").select("band", "node", F.coalesce("cluster", "node").alias("cluster")), "named-members")
     counts = named.groupBy("band", "cluster").agg(F.count(F.lit(1)).alias("n"))
     most = counts.groupBy("band").agg(F.max(F.struct("n", "cluster")).alias("most"), F.sum("n").alias("n")).filter("n > most.n")
     size = lambda n: F.ceil(n / BUCKET_BLOCK).cast("bigint")
     most = most.select("band", F.col("most.cluster").alias("largest"), size(F.col("n") - F.col("most.n")).alias("others"), size(F.col("most.n")).alias("own"))
-    hashed, of_largest = F.xxhash64("id"), F.col("cluster") == F.col("largest")
-    lanes = F.pandas_udf(_lanes, "binary")
+    hashed, of_largest = F.xxhash64("node"), F.col("cluster") == F.col("largest")
     dealt = (
         named.join(most, "band")
         .withColumn("mine", F.when(of_largest, F.col("others") + F.pmod(hashed, F.col("own"))).otherwise(F.pmod(hashed, F.col("others"))))
         .withColumn("with", F.when(of_largest, F.col("others")).otherwise(F.col("others") + F.col("own")))
-        .join(marks.select("id", lanes("signature").alias("lanes")), "id")
+        .join(marks.select("node", "lanes"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("with") - 1)))
         .select("band", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "cluster", "lanes")
     )
@@ -275,85 +281,145 @@ def ties_across(members: DataFrame, clusters: DataFrame, marks: DataFrame, perce
 
 
 def components(ties: DataFrame) -> DataFrame:
-    """id, component for the ends of ties (a, b): labels spread along ties and jump to their label's label."""
-    both = written(ties.select("a", "b").union(ties.select("b", "a")).distinct(), "ties")
-    labels = written(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("component")).withColumnRenamed("a", "id"), "labels")
+    """id, component (the smallest id reached) for the ends of ties (a, b).
+
+    Large and small stars in turn: each node ties its larger neighbours, then its smaller ones, to the smallest it knows. That
+    halves the depth of what is left at least, so that the rounds grow as the logarithm of the longest path.
+    """
+    edge = [F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")]
+    edges, mark = written(ties.filter("a != b").select(*edge).distinct(), "edges"), None
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        lowest = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "component", F.least("component", "near").alias("lower"))
-        jump = labels.select(F.col("id").alias("lower"), F.col("component").alias("beyond"))
-        moved = lowest.join(jump, "lower").select("id", F.col("component").alias("before"), F.least("lower", "beyond").alias("component"))
-        after = written(moved, "labels")
-        labels = after.select("id", "component")
-        if after.filter("before != component").isEmpty():
-            return labels
+        both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = written(both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.union(least.select("u", "m")).distinct(), "small-stars")
+        before, mark = mark, edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if mark == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each text."""
+    for batch in slices(batches, most=PART_BYTES):
+        sets, digests = shingle_sets(batch.column("text").to_pylist())
+        sets = [s if a == b else s[:0] for s, a, b in zip(sets, digests, batch.column("digest").to_pylist(), strict=True)]
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        each = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)) for c in ("cluster", "node")]
+        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        yield pa.RecordBatch.from_arrays([*each, pa.array(np.repeat(n, n)), pa.array(every.view(np.int64))], ["cluster", "node", "n", "shingle"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("binary").alias("text"))
-    sketches = written(texts.mapInArrow(_sketches, _SKETCH), "sketches")
-    same = written(
-        sketches.filter("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "same"
+def split_clusters(members: DataFrame, percent: int) -> DataFrame:
+    """node, cluster: members (cluster, node, digest, text) that a shingle among the rarest of both connects; others are left out.
+
+    Linked sets of n and k shingles share percent % of the larger one at least, so that each has one of the shared shingles, and both
+    have the same first one, among its rarest n - ceil(percent % of n) + 1. Shingles of one member only come first of all.
+    """
+    shingles = written(members.mapInArrow(_shingles, "cluster bigint, node bigint, n bigint, shingle bigint").distinct(), "shingles")
+    shared = shingles.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("node")
+    ranked = (
+        shingles.join(shared, ["cluster", "shingle"])
+        .withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))
+        .withColumn("rank", F.row_number().over(own.orderBy("df", "shingle")) + F.col("alone"))
     )
-    reps = same.select(F.col("rep").alias("id"))
+    first = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("cluster", "shingle", "node")
+    first = written(first, "rare-shingles")
+    low = first.groupBy("cluster", "shingle").agg(F.min("node").alias("low"))
+    ties = first.join(low, ["cluster", "shingle"]).filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return components(ties).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+
+
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    doc_id = F.col("doc_id").cast("bigint")
+    return docs.select(doc_id.alias("id"), F.xxhash64(doc_id, "text").alias("key"), F.col("text").cast("binary").alias("text"), *more)
+
+
+def _named(docs: DataFrame, percent: int) -> DataFrame:
+    """id, key, n_shingles, component_id and stays (one document of each component) for each row of docs."""
+    texts = _keyed(docs).select("id", "key", "text")
+    sketches = written(texts.mapInArrow(_sketches, _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    nodes = sketches.filter("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("first"))
+    nodes = written(nodes, "nodes")
+    marks = written(sketches.join(nodes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "key", "digest", "lanes", "bands"), "marks")
 
-    bands = sketches.select("id", "bands").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    bands = marks.select("node", F.explode("bands").alias("band"))
+    ends = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
     ends = written(ends, "buckets")
     members = written(bands.join(ends, "band"), "members")
     pairs = (
-        members.select("id", F.explode(F.array("low", "high")).alias("end"))
-        .filter("id != end")
-        .select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b"))
+        members.select("node", F.explode(F.array("low", "high")).alias("end"))
+        .filter("node != end")
+        .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
         .distinct()
     )
-    marks = sketches.select("id", "signature")
+    lanes = marks.select("node", "lanes")
     agree = F.pandas_udf(agreement, "double")
     ties = written(
-        pairs.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("one")), "a")
-        .join(marks.select(F.col("id").alias("b"), F.col("signature").alias("two")), "b")
+        pairs.join(lanes.select(F.col("node").alias("a"), F.col("lanes").alias("one")), "a")
+        .join(lanes.select(F.col("node").alias("b"), F.col("lanes").alias("two")), "b")
         .filter(agree("one", "two") >= percent / 100 - MARGIN)
         .select("a", "b"),
         "ties",
     )
-    clusters = components(ties).withColumnRenamed("component", "cluster")
-    across = written(ties_across(members.filter("n > 2"), clusters, marks, percent), "ties-across")
+    clusters = components(ties).select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    across = written(ties_across(members.filter("n > 2"), clusters, lanes, percent), "ties-across")
     if not across.isEmpty():
         joined = components(across).withColumnRenamed("id", "cluster")
-        alone = joined.select(F.col("cluster").alias("id"), "cluster").join(clusters, "id", "left_anti")
-        clusters = clusters.unionByName(alone).join(joined, "cluster", "left").select("id", F.coalesce("component", "cluster").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
-    clusters = written(clusters.join(sizes, "cluster").select("id", "cluster", "blocks"), "clusters")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        alone = joined.select(F.col("cluster").alias("node"), "cluster").join(clusters, "node", "left_anti")
+        clusters = clusters.unionByName(alone).join(joined, "cluster", "left").select("node", F.coalesce("component", "cluster").alias("cluster"))
+    clusters = written(clusters, "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    marked = marks.select("node", "key", "digest")
+    large = sizes.filter(F.col("members") > LARGE).select("cluster")
+    if not large.isEmpty():
+        whole = texts.join(clusters.join(large, "cluster", "left_semi").join(marked, "node"), "key")
+        smaller = split_clusters(whole.select("cluster", "node", "digest", "text"), percent)
+        clusters = written(clusters.join(large, "cluster", "left_anti").select("node", "cluster").unionByName(smaller), "split-clusters")
+        sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    sizes = sizes.select("cluster", F.ceil(F.col("members") / BLOCK).cast("bigint").alias("blocks"))
+    clusters = written(clusters.join(sizes, "cluster").join(marked, "node"), "cluster-members")
     blocks = (
-        texts.join(clusters, "id")
-        .withColumn("mine", mine)
+        texts.select("key", "text").join(clusters, "key")
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .select("cluster", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "id", "text")
+        .select("cluster", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "node", "digest", "text")
     )
     links = written(
         blocks.repartition("cluster", "one", "two")
-        .sortWithinPartitions("cluster", "one", "two", "id")
+        .sortWithinPartitions("cluster", "one", "two", "node")
         .mapInArrow(_verify(percent), "a bigint, b bigint"),
         "links",
     )
     if clusters.filter("blocks > 1").isEmpty():
-        reached = links.select(F.col("a").alias("rep"), F.col("b").alias("component"))
+        reached = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     else:
-        reached = components(links).withColumnRenamed("id", "rep")
+        reached = components(links).select(F.col("id").alias("node"), "component")
     named = written(
-        same.join(reached, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "named"
+        nodes.join(reached, "node", "left").select("digest", "node", "first", F.coalesce("component", "node").alias("component")), "named"
     )
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return sketches.select("id", "n_shingles", "digest").join(named, "digest", "left").select(
-        F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.col("id").isNull()).alias("kept"),
+    best = named.groupBy("component").agg(
+        F.min("first").alias("name"),
+        F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("best"),
+    )
+    named = named.join(best.select("component", "name", F.col("best.node").alias("best")), "component").select("digest", "node", "first", "name", "best")
+    rows = sketches.select("id", "key", "n_shingles", "digest").join(named, "digest", "left")
+    return rows.select(
+        "id", "key", "n_shingles",
+        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("name")).alias("component_id"),
+        (F.col("node").isNull() | ((F.col("node") == F.col("best")) & F.col("id").eqNullSafe(F.col("first")))).alias("stays"),
     )
 
 
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return _named(docs, percent).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs that stay: one of each component, with the columns of docs."""
-    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.struct("*").alias("row"))
-    return rows.dropDuplicates(["doc_id", "digest"]).join(gone, "doc_id", "left_anti").select("row.*")
+    staying = written(_named(docs, percent).filter("stays").select("key").distinct(), "staying")
+    return _keyed(docs, F.struct("*").alias("row")).select("key", "row").join(staying, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
