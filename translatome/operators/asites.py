@@ -26,16 +26,44 @@ def overlapping(reads: DataFrame, transcripts: DataFrame, margin: int = 0, same_
     return overlap_join(r, t.drop("strand"), ["ref"], ("read_from", "read_to"), ("trx_from", "trx_to"), bin_size)
 
 
-def placed(reads: DataFrame, transcripts: DataFrame, margin: int = MARGIN, bin_size: int = BIN) -> DataFrame:
-    """Pairs of a read and a transcript of its strand whose splice structure it fits; lo: coordinate of its 5' base.
+def with_strands(transcripts: DataFrame, strands: str) -> DataFrame:
+    """Transcripts as they meet reads of the same strand, the opposite strand or any (strand: that of the reads, trx_strand: their own)."""
+    own = transcripts.withColumn("trx_strand", F.col("strand"))
+    if strands == "opposite":
+        return own.withColumn("strand", coords.flipped(F.col("strand")))
+    if strands == "any":
+        return own.withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    return own
 
-    lo is relative to the transcript itself and may be negative or beyond its length by up to margin.
+
+def placed(reads: DataFrame, transcripts: DataFrame, margin: int = MARGIN, bin_size: int = BIN, strands: str = "same") -> DataFrame:
+    """Pairs of a read and a transcript whose splice structure it fits; lo: transcript coordinate of the read's transcript-wise first base.
+
+    lo is relative to the transcript itself and may be negative or beyond its length (trx_len) by up to margin. Reads of one block
+    meet exons, which takes plain comparisons only; spliced reads meet whole transcripts.
     """
-    pairs = overlapping(reads, transcripts, margin, bin_size=bin_size)
+    t = with_strands(transcripts, strands).withColumn("trx_len", coords.blocks_length(F.col("blocks"))).withColumnRenamed("blocks", "trx_blocks")
     outer = coords.extended(F.col("trx_blocks"), margin)
-    return pairs.filter(coords.compatible(F.col("blocks"), outer)).withColumn(
-        "lo", coords.five_prime(F.col("blocks"), outer, F.col("trx_strand")) - margin
+    whole = F.col("trx_len") + 2 * margin
+    r = with_extent(reads, "blocks", "read_from", "read_to")
+    keys, read = ["ref", "strand"], ("read_from", "read_to")
+
+    exon = F.transform(
+        outer,
+        lambda b, i: F.struct(b["start"].alias("exon_from"), (b["start"] + b["len"]).alias("exon_to"), coords.blocks_length(F.slice(outer, F.lit(1), i)).alias("exon_before")),
     )
+    exons = t.withColumn("exon", F.explode(exon)).select(*t.columns, "exon.*").drop("trx_blocks")
+    inside = (F.col("exon_from") <= F.col("read_from")) & (F.col("read_to") <= F.col("exon_to"))
+    single = overlap_join(r.filter(F.size("blocks") == 1), exons, keys, read, ("exon_from", "exon_to"), bin_size, extra=inside)
+    left = F.col("exon_before") + F.col("read_from") - F.col("exon_from")
+    right = whole - F.col("exon_before") - F.col("read_to") + F.col("exon_from")
+    single = single.withColumn("lo", F.when(F.col("trx_strand") == "+", left).otherwise(right) - margin).drop("exon_from", "exon_to", "exon_before")
+
+    spans = with_extent(t, "trx_blocks", "trx_from", "trx_to", margin)
+    spliced = overlap_join(r.filter(F.size("blocks") > 1), spans, keys, read, ("trx_from", "trx_to"), bin_size)
+    lo = coords.five_prime(F.col("blocks"), outer, F.col("trx_strand")) - margin
+    spliced = spliced.filter(coords.compatible(F.col("blocks"), outer)).withColumn("lo", lo).drop("trx_blocks", "trx_from", "trx_to")
+    return single.unionByName(spliced).drop("read_from", "read_to")
 
 
 def with_asite(pairs: DataFrame, asites: DataFrame) -> DataFrame:
@@ -44,12 +72,25 @@ def with_asite(pairs: DataFrame, asites: DataFrame) -> DataFrame:
     asites (read_len, delta) has one row for each read length of an experiment, so at most a few hundred.
     """
     site = F.col("lo") + F.col("delta")
-    inside = (site >= 0) & (site < coords.blocks_length(F.col("trx_blocks")))
+    inside = (site >= 0) & (site < F.col("trx_len"))
     joined = pairs.join(F.broadcast(asites), F.col("len") == F.col("read_len"), "left").drop("read_len")
     status = F.when(F.col("delta").isNull(), "BadLength").when(inside, "ReadASite").otherwise("Outside")
     return joined.withColumn("status", status).withColumn("off", F.when(F.col("status") == "ReadASite", site)).drop("delta")
 
 
+def sites(reads: DataFrame, transcripts: DataFrame, asites: DataFrame, reverse: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Reads with their A-site in a transcript, at off; n of them are alike in place, length and the columns of keep.
+
+    Reads of lengths without an A-site never reach the join, and equal ones reach it once. reverse: reads are of the strand opposite to
+    their transcript's.
+    """
+    r = reads.withColumn("strand", coords.flipped(F.col("strand"))) if reverse else reads
+    known = r.join(F.broadcast(asites), F.col("len") == F.col("read_len"))
+    alike = known.groupBy("ref", "strand", "blocks", "len", "delta", *keep).agg(F.count(F.lit(1)).alias("n"))
+    off = F.col("lo") + F.col("delta")
+    return placed(alike, transcripts).withColumn("off", off).filter((F.col("off") >= 0) & (F.col("off") < F.col("trx_len")))
+
+
 def cds_offset() -> Column:
     """A-site offset from the CDS start; null without a CDS."""
     return F.col("off") - F.col("cds_start")
@@ -64,17 +105,23 @@ def in_cds(inset5: int, inset3: int) -> Column:
 
 
 def counted(
-    reads: DataFrame, transcripts: DataFrame, asites: DataFrame, whole: bool = False, by_hits: bool = False, insets: tuple[int, int] = (15, 5)
+    reads: DataFrame,
+    transcripts: DataFrame,
+    asites: DataFrame,
+    whole: bool = False,
+    by_hits: bool = False,
+    insets: tuple[int, int] = (15, 5),
+    reverse: bool = False,
 ) -> DataFrame:
     """trx_id, length, n: reads (or the sum of 1/NH) with their A-site in each transcript's CDS or in all of it.
 
     Every transcript has a row; length is null for transcripts without a CDS unless whole.
     """
-    hits = with_asite(placed(reads, transcripts), asites).filter("status = 'ReadASite'")
+    hits = sites(reads, transcripts, asites, reverse, ("nh",) if by_hits else ())
     if not whole:
         hits = hits.filter(in_cds(*insets))
     weight = F.coalesce(1 / F.col("nh"), F.lit(0.0)) if by_hits else F.lit(1.0)
-    counts = hits.groupBy("trx_id").agg(F.sum(weight).alias("n"))
+    counts = hits.groupBy("trx_id").agg(F.sum(weight * F.col("n")).alias("n"))
     if whole:
         length = coords.codon_length(coords.blocks_length(F.col("blocks")))
     else:
@@ -82,11 +129,10 @@ def counted(
     return transcripts.select("trx_id", length.alias("length")).join(counts, "trx_id", "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
 
 
-def profile(reads: DataFrame, transcripts: DataFrame, asites: DataFrame, by_length: bool = False) -> DataFrame:
+def profile(reads: DataFrame, transcripts: DataFrame, asites: DataFrame, by_length: bool = False, reverse: bool = False) -> DataFrame:
     """A-sites of each transcript base: trx_id, nt (and len), n; bases without any are left out."""
-    hits = with_asite(placed(reads, transcripts), asites).filter("status = 'ReadASite'")
     keys = ["trx_id", F.col("off").alias("nt")] + (["len"] if by_length else [])
-    return hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sites(reads, transcripts, asites, reverse).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def dense(profile_rows: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from translatome.functions import sequences
+from translatome.functions import coords, sequences
 from translatome.functions.statistics import l2_normalized, ratio
 
 #: Groups of offsets whose counts make the default features; training positions around a start.
@@ -75,6 +75,49 @@ def uorf_candidates(items: DataFrame, downstream: bool = False) -> DataFrame:
     )
 
 
+def uorf_sums(counts: Column, nt: Column, quant_end: Column, cds_start: Column) -> list[Column]:
+    """Sum over a candidate's bases nt + 2 .. quant_end (null if one is off the profile), and over the leader 0 .. cds_start - 2."""
+    total = lambda low, count: F.aggregate(F.slice(counts, (low + 1).cast("int"), count.cast("int")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    count = F.greatest(quant_end - nt - 1, F.lit(0).cast("bigint"))
+    of_uorf = F.when((count == 0) | (quant_end < F.size(counts)), total(nt + 2, count))
+    of_leader = F.when((cds_start > 1) & (cds_start - 1 <= F.size(counts)), total(F.lit(0), cds_start - 1))
+    return [F.when(quant_end.isNotNull(), of_uorf).alias("uorf_sum"), of_leader.alias("leader_sum")]
+
+
+def uorf_transcripts(candidates: DataFrame) -> DataFrame:
+    """Each candidate that reaches beyond its first base as a transcript that is all CDS.
+
+    candidates: trx_id, ref, strand, blocks, nt, quant_end.
+    """
+    rows = candidates.filter(F.col("quant_end") > F.col("nt"))
+    length = F.col("quant_end") - F.col("nt") + 1
+    own = coords.sub_blocks(F.col("blocks"), F.col("strand"), F.col("nt"), length)
+    name = F.concat_ws("_", F.col("trx_id").cast("string"), F.col("nt").cast("string"))
+    return rows.select(name.alias("name"), "ref", "strand", own.alias("blocks"), F.lit(0).cast("bigint").alias("cds_start"), length.alias("cds_len"))
+
+
+def peak_cds(seq: Column, codons: Column) -> list[Column]:
+    """CDS of a peak with one start codon: from there to the base before the stop codon's last, or to the end; null otherwise."""
+    at = F.get(codons, F.lit(0))
+    rest = F.substr(seq, at + 1, F.length(seq))
+    length = F.coalesce(first_stop(rest) + 2, F.length(rest))
+    one = F.size(codons) == 1
+    return [F.when(one, at).cast("bigint").alias("cds_start"), F.when(one, length).cast("bigint").alias("cds_len")]
+
+
+def first_stop(seq: Column) -> Column:
+    return sequences.first_stop_codon(seq) * 3
+
+
+def start_ratio(ltm: Column, chx: Column, st: Column) -> Column:
+    """Counts of ltm at st + 2 .. st + 4 over what chx lets expect; -1 without chx, the counts alone if chx has none there, 0 off the end."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    window = lambda c: F.get(c, st + 2) + F.get(c, st + 3) + F.get(c, st + 4)
+    expected = window(chx) * total(ltm) / total(chx)
+    found = F.when(total(chx) == 0, -1.0).when(window(chx) == 0, window(ltm).cast("double")).otherwise(window(ltm) / expected)
+    return F.when(st + 4 >= F.size(ltm), 0.0).otherwise(found)
+
+
 def codon_count(counts: Column, nt: Column) -> Column:
     """Sum over nt - 1 .. nt + 1; null if any of them leaves the profile."""
     inside = (nt >= 1) & (nt + 1 < F.size(counts))

@@ -42,6 +42,8 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 
 def _folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(named or 'file://' + tempfile.mkdtemp(prefix='translatome-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
