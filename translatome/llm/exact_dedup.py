@@ -57,13 +57,13 @@ class DigestIndex:
 
 def groups_of(docs: DataFrame) -> DataFrame:
     """One row per digest: who stays, and how many rows have it. Partial aggregation takes hot groups."""
-    best = F.max(F.struct(F.col("n"), (-F.col("doc_id")).alias("minus_id")))
+    best = F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id")))
     return (
         docs.select("doc_id", F.length("text").alias("n"), F.sha2(without_blanks(F.col("text")), 256).alias("text_sha256"))
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .groupBy("text_sha256")
         .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select("text_sha256", (-F.col("best.minus_id")).alias("keep_id"), "group_size")
+        .select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size")
     )
 
 
