@@ -382,7 +382,7 @@ def _named(docs: DataFrame, percent: int) -> DataFrame:
     sizes = sizes.select("cluster", F.ceil(F.col("members") / BLOCK).cast("bigint").alias("blocks"))
     clusters = written(clusters.join(sizes, "cluster").join(marked, "node"), "cluster-members")
     blocks = (
-        texts.select("key", "text").join(clusters, "key")
+        texts.select("key", "text").join(clusters.hint("merge"), "key")  # at every size: clusters grow with the input
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         .select("cluster", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "node", "digest", "text")
