@@ -119,6 +119,9 @@ def test_mixing(spark, rows, few, monkeypatch):
         assert r._size == 0 or r._times in (int(rate + 1e-9), int(rate + 1e-9) + 1)
     again = {(r.doc_id, r.text): r._times for r in mixing.planned(frame(spark, rows)).collect()}
     assert again == {(r.doc_id, r.text): r._times for r in got}
+    columns = ["doc_id", "_size", "_source_size", "_target", "_times"]
+    same = mixing.planned_sizes(frame(spark, rows).withColumn("_size", F.lit("x"))).select(columns).collect()
+    assert sorted(map(str, same)) == sorted(str(r) for r in mixing.planned(frame(spark, rows)).select(columns).collect())
     mixed = mixing.mix(frame(spark, rows).withColumn("_size", F.lit("x")))
     assert mixed.columns[-1] == "_size" and mixed.count() == sum(r._times for r in got)
 

@@ -74,15 +74,27 @@ def _with_rates(sized: DataFrame, rates: DataFrame, few: bool) -> DataFrame:
     return salted.join(rates.withColumn("_there", there), same & (F.col("_salt") == F.col("_there")), "left").drop("_salt", "_there", "_source")
 
 
-def planned(
-    docs: DataFrame,
+def planned(docs: DataFrame, **how) -> DataFrame:
+    """docs with _size, _source_size, _target and _times (how often the mix takes the row)."""
+    sized = docs.withColumn("_size", word_count(F.col("text")))
+    return _planned(sized, written(sized.select("doc_id", "source", "_size"), "sizes"), **how)
+
+
+def planned_sizes(docs: DataFrame, **how) -> DataFrame:
+    """The same without the texts, which are read once: doc_id, source, _size, _source_size, _target and _times."""
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size")), "sizes")
+    return _planned(sized, sized, **how)
+
+
+def _planned(
+    rows: DataFrame,
+    sized: DataFrame,
     share: float = 1.5,
     ceiling: float = 2.0,
     weights: tuple[int, ...] = (5, 2, 1),
     seeds: tuple[int, ...] = tuple(range(1, 33)),
 ) -> DataFrame:
-    """docs with _size, _source_size, _target and _times (how often the mix takes the row)."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
+    """rows, planned by the sizes of all of them (sized: doc_id, source, _size)."""
     sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
     rates = written(source_targets(sizes, share, ceiling, weights), "rates").select(
         F.col("source").alias("_source"),
@@ -91,7 +103,7 @@ def planned(
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"),
     )
     few = rates.count() <= BROADCAST_SOURCES
-    drawn = _with_rates(sized.select("doc_id", "source", "_size"), rates, few)
+    drawn = _with_rates(sized, rates, few)
     misses = [
         F.abs(F.sum(F.col("_size") * _times(F.col("_size"), F.col("_rate"), F.lit(k))) - F.first("_target")) for k in seeds
     ]
@@ -100,7 +112,7 @@ def planned(
     seeded = rates.join(
         nearest.select(F.col("source").alias("_of"), best.alias("_seed")), F.col("_source").eqNullSafe(F.col("_of"))
     ).drop("_of")
-    joined = _with_rates(sized, written(seeded, "seeds"), few)
+    joined = _with_rates(rows, written(seeded, "seeds"), few)
     return joined.withColumn("_times", _times(F.col("_size"), F.col("_rate"), F.col("_seed"))).drop("_rate", "_seed")
 
 

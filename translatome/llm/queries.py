@@ -37,7 +37,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at 150 % of all words, as words taken of each document."""
-    return mixing.planned(documents(spark, sf_dir).select("doc_id", "text", "source")).select(
+    return mixing.planned_sizes(documents(spark, sf_dir)).select(
         "doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
