@@ -84,7 +84,10 @@ def deduplicated(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
     if index is None:
         index = DigestIndex(spark, f"{shared_dir(spark)}/translatome-digests-{uuid.uuid4().hex}")
     batch = index.append(groups_of(docs))
-    keepers = index.rows().filter(F.col("batch") == batch).select("text_sha256", "keep_id")
-    mine = docs.select("doc_id", F.sha2(without_blanks(F.col("text")), 256).alias("digest"), F.struct("*").alias("row"))
-    same = (F.col("digest") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return mine.join(keepers, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
+    # the join and the removal of repeated rows have the same keys, so that one exchange of the rows serves both
+    id_keys = lambda c: [F.coalesce(c, F.lit(0)).alias("id"), c.isNull().alias("none")]
+    keepers = index.rows().filter(F.col("batch") == batch).select(F.col("text_sha256").alias("digest"), *id_keys(F.col("keep_id")))
+    digest = F.sha2(without_blanks(F.col("text")), 256).alias("digest")
+    mine = docs.select(digest, *id_keys(F.col("doc_id").cast("bigint")), F.struct("*").alias("row"))
+    keys = ["digest", "id", "none"]
+    return mine.join(keepers, keys, "left_semi").dropDuplicates(keys).select("row.*")
