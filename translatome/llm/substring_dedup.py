@@ -10,7 +10,7 @@ Copies never meet as pairs. Equal texts are reduced to one beforehand; within a
 are reduced to one row with a key of its own, the others are marked as known, so a hash has one row for each batch at most.
 
 Rows are known by a 64-bit hash of doc_id and text, so neither needs to be unique or there (of n rows, about n * n / 2**65 pairs
-share a hash by chance).
+share a hash by chance). Anchors and windows carry a number of their text instead, which takes less room.
 
 A word is [^\\x20\\x09-\\x0D]+. Defined cases: a null text has no words; texts below the window keep all their words; very long
 texts are read whole, 4 MB at a time; overlapping copies inside one document count; rows that repeat (same doc_id and text) count as
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from translatome.llm.common import slices
+from translatome.llm.common import slices, written
 
 #: {0, 1, 4, 14, 16} is a perfect difference set modulo 21.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -180,28 +180,30 @@ def repeated_passages_removed(docs: DataFrame, with_text: bool = False, window:
     if width < 1:
         raise ValueError(f"a window has {PERIOD} words at least")
     doc_id = F.col("doc_id").cast("bigint")
-    texts = docs.select(F.xxhash64(doc_id, "text").alias("id"), doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    twins = texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("twins"))
-    twins = twins.filter("sha is not null").select("id", "twins")
-
-    # each join keeps all rows and columns of texts, so that the three of them share one exchange of the texts
-    first = texts.join(twins.hint("shuffle_hash"), "id", "left")
-    anchors = first.filter("twins is not null").select("id", "text").mapInArrow(
+    texts = docs.select(F.xxhash64(doc_id, "text").alias("key"), doc_id.alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    twins = texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("twins"))
+    twins = twins.filter("sha is not null").select("key", "twins", F.monotonically_increasing_id().alias("id"))
+    twins = written(twins, "distinct-texts")
+    keys = twins.select("key", "id")
+
+    # each join keeps all rows of texts and each map all their columns, so that the three of them share one exchange of the texts
+    first = texts.join(twins.hint("shuffle_hash"), "key", "left")
+    anchors = first.filter("twins is not null").select("id", "doc_id", "text").mapInArrow(
         _anchors(width, PERIOD, COVER), "hash bigint, id bigint, pos int, known boolean"
     )
     elsewhere = F.count(F.lit(1)).over(Window.partitionBy("hash")) > 1
     found = anchors.withColumn("again", elsewhere).filter("again or known")
-    found = found.groupBy("id").agg(F.collect_list("pos").alias("anchors"))
+    found = found.groupBy("id").agg(F.collect_list("pos").alias("anchors")).join(keys, "id").select("key", "anchors")
 
-    second = first.join(found.hint("shuffle_hash"), "id", "left").filter("anchors is not null and twins is not null")
-    windows = second.select("id", "text", "twins", "anchors").mapInArrow(
+    second = first.join(found.hint("shuffle_hash"), "key", "left").filter("anchors is not null and twins is not null")
+    windows = second.select("id", "doc_id", "text", "twins", "anchors").mapInArrow(
         _windows(window, PERIOD - 1), "hash bigint, rest int, id bigint, pos int, known boolean"
     )
     elsewhere = F.count(F.lit(1)).over(Window.partitionBy("hash", "rest")) > 1
     sure = windows.withColumn("again", elsewhere).filter("(again or known) and pos >= 0")
-    sure = sure.groupBy("id").agg(F.collect_list("pos").alias("starts"))
+    sure = sure.groupBy("id").agg(F.collect_list("pos").alias("starts")).join(keys, "id").select("key", "starts")
 
-    last = first.join(sure.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "twins", "starts")
+    last = first.join(sure.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "twins", "starts")
     return last.mapInArrow(
         _cleaned(window, with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     )
