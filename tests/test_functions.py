@@ -167,6 +167,28 @@ def test_barcodes(spark):
         barcodes.sample_lookup(clash).collect()
 
 
+def test_nearest_barcode_as_all_pairs(spark):
+    import random
+
+    draw = random.Random(3)
+    lists = [
+        [(i, "".join(draw.choice("ACGT") for _ in range(6))) for i in range(60)] + [(100, None), (101, "acgtac"), (102, "ACGTAC"), (103, "ACGTAC")],
+        [(1, "AAAA"), (2, "CCCC"), (3, "GGGG")],  # no letter in common
+        [(1, "AAAACC"), (2, "AAAT"), (3, "CAATGGG"), (4, "GGG")],  # of different lengths
+        [(1, "A")],
+        [],
+    ]
+    for rows in lists:
+        want = {}
+        known = [(n, s.upper()) for n, s in rows if s is not None]
+        for n, s in known:
+            others = [(sum(x != y for x, y in zip(s, t, strict=False)), m) for m, t in known if m != n]
+            if others:
+                want[n] = min(others)
+        got = {r.name: (r.distance, r.nearest) for r in barcodes.nearest(spark.createDataFrame(rows, "name bigint, seq string")).collect()}
+        assert got == want
+
+
 def test_enrichment(spark):
     ltm, chx = [0] * 20, [0] * 20
     ltm[7], ltm[15], chx[8], chx[18] = 10, 90, 2, 48

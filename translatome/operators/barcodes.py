@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from translatome.functions import sequences
@@ -19,11 +19,50 @@ def distances(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.crossJoin(right).withColumn("distance", sequences.hamming(F.col("seq_a"), F.col("seq_b")))
 
 
+def _close(some: DataFrame, every: DataFrame, most: int, least: int) -> DataFrame:
+    """Pairs (seq_a of some, seq_b, first_b of every) of different sequences with at most `most` mismatches, some others too.
+
+    Of most + 1 pieces of the first `least` letters, such a pair has one in common.
+    """
+    cuts = [i * least // (most + 1) for i in range(most + 2)]
+    pieces = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.substr(F.col("seq"), F.lit(a + 1), F.lit(b - a)).alias("t")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]))
+    left = some.select(F.col("seq").alias("seq_a"), pieces.alias("piece"))
+    right = every.select(F.col("seq").alias("seq_b"), F.col("first").alias("first_b"), pieces.alias("piece"))
+    return left.join(right, "piece").filter("seq_a != seq_b").select("seq_a", "seq_b", "first_b")
+
+
 def nearest(barcodes: DataFrame) -> DataFrame:
-    """For each barcode the other one at the least distance, the first by name on ties."""
-    pairs = distances(barcodes, barcodes).filter("name_a != name_b")
-    best = F.min(F.struct("distance", "name_b")).alias("best")
-    return pairs.groupBy(F.col("name_a").alias("name")).agg(best).select("name", F.col("best.name_b").alias("nearest"), F.col("best.distance").alias("distance"))
+    """For each barcode (name, seq; distinct names, case ignored, null sequences left out) the other one at the least distance, the first by name on ties.
+
+    Equal sequences are found by grouping. For the others, pairs of distinct sequences that share one of 2, 4, 8, ... pieces are
+    compared until each has a neighbour; what shares no letter in place with any other (no two of those start with the same
+    letter, so they are no more than the alphabet) is compared with all.
+    """
+    named = barcodes.filter("seq is not null").select("name", F.upper("seq").alias("seq"))
+    groups = named.groupBy("seq").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("n"))
+    least = groups.agg(F.min(F.length("seq")).alias("least")).first().least or 0
+    left, found = groups.filter("n = 1").select("seq"), None
+
+    def best(pairs: DataFrame, most: int | None) -> DataFrame:
+        rows = pairs.withColumn("distance", sequences.hamming(F.col("seq_a"), F.col("seq_b"), ignore_case=False))
+        rows = rows if most is None else rows.filter(F.col("distance") <= most)
+        return rows.groupBy(F.col("seq_a").alias("seq")).agg(F.min(F.struct("distance", F.col("first_b").alias("nearest"))).alias("best"))
+
+    most = min(1, least - 1)
+    while most >= 0:
+        own = best(_close(left, groups, most, least), most)
+        found = own if found is None else found.unionByName(own)
+        left = left.join(own.select("seq"), "seq", "left_anti")
+        most = -1 if most == least - 1 else min(2 * most + 1, least - 1)
+    rest = F.broadcast(left.withColumnRenamed("seq", "seq_a")) if least else left.withColumnRenamed("seq", "seq_a")
+    own = best(groups.select(F.col("seq").alias("seq_b"), F.col("first").alias("first_b")).join(rest, F.col("seq_a") != F.col("seq_b")), None)
+    single = own if found is None else found.unionByName(own)
+    order = Window.partitionBy("seq").orderBy("name")
+    second = named.withColumn("k", F.row_number().over(order)).filter("k = 2").select("seq", F.col("name").alias("second"))
+    several = groups.filter("n > 1").select("seq", "first").join(second, "seq")
+    equal = named.join(several, "seq").select("name", F.when(F.col("name") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("nearest"), F.lit(0).cast("bigint").alias("distance"))
+    other = named.join(single, "seq").select("name", F.col("best.nearest").alias("nearest"), F.col("best.distance").alias("distance"))
+    return equal.unionByName(other)
 
 
 def generated(spark: SparkSession, length: int) -> DataFrame:

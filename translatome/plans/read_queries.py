@@ -13,6 +13,8 @@ from translatome.plans.views import ASITES, READS, TRX, placed
 
 #: Length of every reference in the views, and reads with a mismatch count.
 REF_LENGTH = 12000
+#: A length that holds all reads of the views.
+WHOLE_LENGTH = 60000
 HITS = f"""WITH {READS}, {TRX}, {ASITES}, {placed(100)},
 hits AS (SELECT p.*, p.lo + a.delta AS off FROM placed p JOIN asites a ON p.len = a.read_len WHERE p.lo + a.delta >= 0 AND p.lo + a.delta < p.total)"""
 IN_CDS = "cds_start IS NOT NULL AND floor((off - cds_start + 1) / 3.0) >= 15 AND floor((off - cds_start + 1) / 3.0) < (cds_len + 1) // 3 - 5"
@@ -285,18 +287,18 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.totals(dedup_sites(spark, sf_dir))
 
 
-def _window_sql(step: int) -> str:
-    return f"""WITH {READS}, grid AS (SELECT r.range AS ref, w.range * {step} AS win_start, least({REF_LENGTH}, w.range * {step} + 1000) AS win_end
- FROM range(0, 50) r CROSS JOIN range(0, {2 + (REF_LENGTH - 1000) // step}) w),
+def _window_sql(step: int, length: int = REF_LENGTH) -> str:
+    return f"""WITH {READS}, grid AS (SELECT r.range AS ref, w.range * {step} AS win_start, least({length}, w.range * {step} + 1000) AS win_end
+ FROM range(0, 50) r CROSS JOIN range(0, {2 + (length - 1000) // step}) w),
 c AS (SELECT g.ref, g.win_start, g.win_end, count(x.pos) AS raw, count(CASE WHEN x.nh = 1 THEN 1 END) AS uniq, count(CASE WHEN x.read_ord % 4 = 0 THEN 1 END) AS perf,
  round(coalesce(sum(1.0::DOUBLE / x.nh), 0), 6) AS scaled FROM grid g LEFT JOIN reads x ON x.ref = g.ref AND x.pos >= g.win_start AND x.pos < g.win_end GROUP BY 1, 2, 3)
 SELECT CAST(ref AS BIGINT) AS ref, CAST(win_start AS BIGINT) AS win_start, CAST(win_end AS BIGINT) AS win_end, raw, uniq, perf, scaled,
  round(uniq::DOUBLE / nullif(raw, 0), 6) AS uniq_ratio, round(perf::DOUBLE / nullif(raw, 0), 6) AS perf_ratio FROM c"""
 
 
-def _windows(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
+def _windows(spark: SparkSession, sf_dir: str, step: int, length: int = REF_LENGTH) -> DataFrame:
     reads = views.reads(spark, sf_dir).withColumn("nm", F.col("read_ord") % 4)
-    refs = spark.range(50).select(F.col("id").alias("ref"), F.lit(REF_LENGTH).cast("bigint").alias("length"))
+    refs = spark.range(50).select(F.col("id").alias("ref"), F.lit(length).cast("bigint").alias("length"))
     w = windows.reference_windows(reads, refs, 1000, step).drop("scaled_ratio")
     return w.select(*[F.round(c, 6).alias(c) if c in ("scaled", "uniq_ratio", "perf_ratio") else c for c in w.columns])
 
@@ -311,6 +313,16 @@ def window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, 250)
 
 
+@query(_window_sql(1000, WHOLE_LENGTH))
+def window_tumbling_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, 1000, WHOLE_LENGTH)
+
+
+@query(_window_sql(250, WHOLE_LENGTH))
+def window_sliding_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, 250, WHOLE_LENGTH)
+
+
 @query(f"""WITH {READS}, {TRX}, {placed(100)}, grid AS (SELECT trx_id, w.range * 100 AS win_start FROM trx CROSS JOIN range(0, 9) w WHERE w.range <= total // 100)
 SELECT g.trx_id, CAST(g.win_start AS BIGINT) AS win_start, count(p.lo) AS raw, count(CASE WHEN p.nh = 1 THEN 1 END) AS uniq, round(coalesce(sum(1.0::DOUBLE / p.nh), 0), 6) AS scaled
 FROM grid g LEFT JOIN placed p ON p.trx_id = g.trx_id AND p.lo >= g.win_start AND p.lo < g.win_start + 100 GROUP BY 1, 2""")
