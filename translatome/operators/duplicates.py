@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SITE = ["ref", "pos", "strand"]
+#: The site of a spliced or clipped alignment; pass it as site where rows have a cigar.
+ALIGNED_SITE = [*SITE, "cigar"]
 
 
 def umi_tag(name: Column) -> Column:

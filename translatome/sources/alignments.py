@@ -1,8 +1,11 @@
-"""Alignments: SAM text and BAM files in, SAM text out."""
+"""Alignments: SAM text and BAM files in and out."""
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -10,7 +13,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Fixed values of the format: flag bits, CIGAR operations in code order, bases in code order.
 UNMAPPED, REVERSE = 4, 16
@@ -174,6 +177,85 @@ def bam_rows(stream) -> Iterator[tuple]:
         )
 
 
+def _bgzf(data: bytes) -> bytes:
+    """One block: a gzip member whose extra field has its size."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _index_bin(start: int, end: int) -> int:
+    """The smallest bin of the index's six levels (of 2^29, 2^26, ... 2^14 bases) that holds start .. end - 1."""
+    for level in range(5, -1, -1):
+        shift = 29 - 3 * level
+        if start >> shift == (end - 1) >> shift:
+            return ((1 << 3 * level) - 1) // 7 + (start >> shift)
+    return 0
+
+
+def bam_record(row, numbers: dict[str, int]) -> bytes:
+    """One alignment (a row of FIELDS with seq and qual) in the binary form; numbers has each reference's place in the header."""
+    name, seq = row["qname"].encode() + b"\0", row["seq"] or ""
+    cigar = [(int(n), CIGAR_OPS.index(k)) for n, k in re.findall("([0-9]+)([A-Z=])", row["cigar"] or "")]
+    if len(name) > 255 or len(cigar) > 65535:
+        raise ValueError(f"too long for BAM: {row['qname']}")
+    ref = -1 if row["ref"] is None else numbers[row["ref"]]
+    pos = -1 if row["pos"] is None else row["pos"]
+    span = sum(n for n, k in cigar if CIGAR_OPS[k] in "MDN=X") or 1
+    codes = [BAM_BASES.index(c) for c in seq.upper()] + [0] * (len(seq) % 2)
+    qual = bytes([255] * len(seq)) if row["qual"] is None else bytes(ord(c) - 33 for c in row["qual"])
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 255, _index_bin(max(pos, 0), max(pos, 0) + span) if pos >= 0 else 4680, len(cigar), row["flag"], len(seq), -1, -1, 0)
+    body += name + b"".join(struct.pack("<I", n << 4 | k) for n, k in cigar) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual
+    for tag, value in sorted((row["tags"] or {}).items()):
+        whole = re.fullmatch("-?[0-9]{1,9}", value)
+        body += tag.encode() + (b"i" + struct.pack("<i", int(value)) if whole else b"Z" + value.encode() + b"\0")
+    return struct.pack("<i", len(body)) + body
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, name: str | None) -> None:
+        self.name = name
+
+
+class _BamWriter(DataSourceWriter):
+    """One file for each task, under a name that readers pass over until all tasks have ended."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.refs = options["path"], json.loads(options["refs"])
+
+    def write(self, iterator) -> WriterCommitMessage:
+        files, base = pyarrow.fs.FileSystem.from_uri(self.path)
+        files.create_dir(base, recursive=True)
+        name = f"part-{uuid.uuid4().hex}.bam"
+        numbers = {n: i for i, (n, _) in enumerate(self.refs)}
+        text = "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in self.refs).encode()
+        data = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.refs)))
+        for n, size in self.refs:
+            data += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
+        with files.open_output_stream(f"{base}/{name}.unfinished", compression=None) as out:
+            for row in iterator:
+                data += bam_record(row, numbers)
+                while len(data) >= 65280:
+                    out.write(_bgzf(bytes(data[:65280])))
+                    del data[:65280]
+            while data:
+                out.write(_bgzf(bytes(data[:65280])))
+                del data[:65280]
+            out.write(_bgzf(b""))  # the mark of the end
+        return _Written(name)
+
+    def commit(self, messages) -> None:
+        files, base = pyarrow.fs.FileSystem.from_uri(self.path)
+        for m in filter(None, messages):
+            files.move(f"{base}/{m.name}.unfinished", f"{base}/{m.name}")
+
+    def abort(self, messages) -> None:
+        files, base = pyarrow.fs.FileSystem.from_uri(self.path)
+        for m in filter(None, messages):
+            files.delete_file(f"{base}/{m.name}.unfinished")
+
+
 class BamSource(DataSource):
     """format("bam"): one task for each file; any file system that pyarrow knows."""
 
@@ -187,6 +269,9 @@ class BamSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _BamReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _BamWriter(self.options)
+
 
 class _BamReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
@@ -221,3 +306,19 @@ def read_bam(spark: SparkSession, uri: str) -> DataFrame:
     """Rows of FIELDS and what with_derived adds, from a BAM file or a folder of them (a file:, hdfs: or s3: URI)."""
     spark.dataSource.register(BamSource)
     return with_derived(spark.read.format("bam").load(uri))
+
+
+def write_bam(df: DataFrame, refs: list[tuple[str, int]], uri: str) -> None:
+    """Rows of FIELDS with seq and qual as BAM files of a folder, one for each task; refs (name, length) are the header's."""
+    spark = df.sparkSession
+    spark.dataSource.register(BamSource)
+    rows = df.select("qname", "flag", "ref", "pos", "cigar", "query_len", "tags", "seq", "qual")
+    rows.write.format("bam").option("refs", json.dumps(refs)).mode("append").save(uri)
+
+
+def write_alignments(df: DataFrame, refs: list[tuple[str, int]], uri: str, text: bool = False) -> None:
+    """SAM text lines if text is set, else BAM."""
+    if text:
+        write_sam(df, uri)
+    else:
+        write_bam(df, refs, uri)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.functions import coords
+from translatome.sources.reads import prefixed
 
 BED12 = (
     "ref string, start bigint, end bigint, name string, score string, strand string, thick_start bigint, thick_end bigint, rgb string, "
@@ -72,3 +73,26 @@ def write_wig(track: DataFrame, path: str) -> None:
     rows = track.select("ref", F.col("at").cast("bigint").alias("at"), F.concat_ws(" ", (F.col("at") + 1).cast("string"), F.format_string("%.2f", F.col("n").cast("double"))).alias("value"))
     heads = track.select("ref").distinct().select("ref", F.lit(-1).cast("bigint").alias("at"), F.concat(F.lit("variableStep chrom="), F.col("ref").cast("string"), F.lit(" span=1")).alias("value"))
     rows.unionByName(heads).orderBy("ref", "at").select("value").write.text(path)
+
+
+def write_wig_pair(track: DataFrame, path: str, scale: float = 1.0) -> None:
+    """A track of both strands (ref, strand, at, n) as two, path_fwd.wig and path_rev.wig, with n times scale."""
+    for strand, name in (("+", "fwd"), ("-", "rev")):
+        write_wig(track.filter(F.col("strand") == strand).select("ref", "at", (F.col("n") * scale).alias("n")), f"{path}_{name}.wig")
+
+
+def read_wig(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """ref, at (0-based) and n of variable-step tracks of span 1."""
+    head = F.when(F.col("value").startswith("variableStep"), F.regexp_extract("value", "chrom=(\\S+)", 1))
+    lines = prefixed(spark, path, head).filter("not is_head and head is not null and value <> ''")
+    f = F.split("value", "\\s+")
+    return lines.select(F.col("head").alias("ref"), (F.get(f, F.lit(0)).cast("bigint") - 1).alias("at"), F.get(f, F.lit(1)).cast("double").alias("n"))
+
+
+def write_sizes(refs: DataFrame, path: str) -> None:
+    """Lengths of references (ref, length) as tab-separated lines."""
+    refs.select("ref", "length").write.csv(path, sep="\t")
+
+
+def read_sizes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", schema="ref string, length bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from translatome.functions import sequences
 
 
-def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """value, file and line (from 0 in each file) of text files, from counts of lines in each split."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id")
@@ -19,9 +19,66 @@ def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.join(splits, ["file", "split"]).select("value", "file", (F.col("id") - F.col("base") + F.col("first")).alias("line"))
 
 
+def prefixed(spark: SparkSession, path: str | list[str], head: Column) -> DataFrame:
+    """value, file, line, head (the last non-null head up to the line) and before (letters of lines without a head since then).
+
+    Sums run within splits; one row for each split carries them on.
+    """
+    lines = spark.read.text(path).select(
+        F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")
+    )
+    within = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    own = lines.withColumn("own", head).withColumn("letters", F.when(F.col("own").isNull(), F.length("value")).otherwise(0))
+    own = own.withColumn("part", F.count("own").over(within)).withColumn("near", F.last("own", ignorenulls=True).over(within))
+    run = Window.partitionBy("file", "split", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("inside", F.coalesce(F.sum("letters").over(run), F.lit(0)))
+    tail = own.groupBy("file", "split", "part").agg(F.sum("letters").alias("n"), F.max_by("near", "line").alias("near"))
+    splits = tail.groupBy("file", "split").agg(F.max_by("n", "part").alias("n"), F.max_by("near", "part").alias("near"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
+    splits = splits.withColumn("far", F.last("near", ignorenulls=True).over(before)).withColumn("block", F.count("near").over(upto))
+    # what the splits since the last head hold: the one with the head has block b, as have those after it without one
+    same = Window.partitionBy("file", "block").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
+    splits = splits.withColumn("total", F.sum("n").over(same))
+    splits = splits.withColumn("carried", F.coalesce(F.lag("total").over(Window.partitionBy("file").orderBy("split")), F.lit(0)))
+    joined = own.join(splits.select("file", "split", "far", "carried"), ["file", "split"])
+    first = F.col("part") == 0
+    return joined.select(
+        "value", "file", "line", F.when(first, F.col("far")).otherwise(F.col("near")).alias("head"), F.col("own").isNotNull().alias("is_head"),
+        (F.col("inside") + F.when(first, F.col("carried")).otherwise(0)).alias("before"),
+    )
+
+
+def read_fasta_chunks(spark: SparkSession, path: str | list[str], size: int = 65536) -> DataFrame:
+    """ref, chunk and text: the sequence of each reference, upper case, in pieces of `size` bases, whatever its lines are."""
+    head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", "^>\\s*(\\S+)", 1))
+    lines = prefixed(spark, path, head).filter("not is_head and head is not null and value <> ''")
+    at, n = F.col("before"), F.length("value")
+    dealt = lines.select(F.col("head").alias("ref"), at.alias("at"), F.upper("value").alias("value"), F.explode(F.sequence(F.floor(at / size), F.floor((at + n - 1) / size))).alias("chunk"))
+    low, high = F.greatest(F.col("chunk") * size, F.col("at")), F.least((F.col("chunk") + 1) * size, F.col("at") + F.length("value"))
+    piece = F.struct(low.alias("low"), F.substr("value", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("text"))
+    body = F.sort_array(F.collect_list(piece))
+    return dealt.groupBy("ref", "chunk").agg(body.alias("body")).select("ref", "chunk", F.array_join(F.transform("body", lambda b: b["text"]), "").alias("text"))
+
+
+def fetched(regions: DataFrame, chunks: DataFrame, key: str, size: int = 65536) -> DataFrame:
+    """key and seq of spliced regions (key, ref, strand, blocks) from chunks of references, by an equi-join on the chunks that blocks touch.
+
+    Bases beyond a reference are left out; a region without any base there has no row.
+    """
+    block = regions.select(key, "ref", "strand", F.explode("blocks").alias("b"))
+    at, end = F.col("b.start"), F.col("b.start") + F.col("b.len")
+    dealt = block.filter("b.len > 0").select(key, "ref", "strand", at.alias("at"), end.alias("end"), F.explode(F.sequence(F.floor(at / size), F.floor((end - 1) / size))).alias("chunk"))
+    low, high = F.greatest(F.col("chunk") * size, F.col("at")), F.least((F.col("chunk") + 1) * size, F.col("end"))
+    piece = F.struct(low.alias("low"), F.substr("text", (low - F.col("chunk") * size + 1).cast("int"), (high - low).cast("int")).alias("text"))
+    found = dealt.join(chunks, ["ref", "chunk"]).groupBy(key, "strand").agg(F.sort_array(F.collect_list(piece)).alias("body"))
+    joined = F.array_join(F.transform("body", lambda b: b["text"]), "")
+    return found.select(key, F.when(F.col("strand") == "-", sequences.reverse_complement(joined)).otherwise(joined).alias("seq"))
+
+
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """name (without @), seq, qual, file and ord; a record that isn't four lines, or starts with no @, is an error."""
-    lines = _numbered(spark, path)
+    lines = numbered(spark, path)
     part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
     rows = lines.groupBy("file", F.floor(F.col("line") / 4).alias("ord")).agg(part(0).alias("head"), part(1).alias("seq"), part(2).alias("plus"), part(3).alias("qual"))
     ok = F.coalesce(F.col("head").startswith("@") & F.col("plus").startswith("+") & F.col("qual").isNotNull(), F.lit(False))
@@ -43,7 +100,7 @@ def write_fastq_by_sample(df: DataFrame, path: str, sample: str = "fate") -> Non
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """ref (first word of the head line) and seq, upper case, of each record."""
-    lines = _numbered(spark, path)
+    lines = numbered(spark, path)
     upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     heads = F.when(F.col("value").startswith(">"), F.col("line"))
     owned = lines.withColumn("head", F.max(heads).over(upto))

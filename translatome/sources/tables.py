@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from translatome.sources.reads import numbered
+
 
 def _field(text: Column, k: int) -> Column:
     return F.get(text, F.lit(k))
@@ -20,12 +24,34 @@ def read_asites(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(_field(f, 0).cast("bigint").alias("read_len"), _field(f, 1).cast("bigint").alias("delta"))
 
 
+def _map_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines that are neither blank nor comments, with their fields and ord: place of the path, name of the file, line."""
+    paths = [path] if isinstance(path, str) else path
+    parts = [numbered(spark, p).select("value", F.struct(F.lit(k).alias("path"), "file", "line").alias("ord")) for k, p in enumerate(paths)]
+    lines = reduce(DataFrame.unionByName, parts)
+    return lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t"))
+
+
 def read_gene_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """trx_id, gene_id (null: suppressed); of repeated transcripts the last line counts."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    f = F.split("value", "\t")
-    rows = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#") & (F.size(f) <= 2)).select(_field(f, 0).alias("trx_id"), _field(f, 1).alias("gene_id"), "ord")
-    return rows.groupBy("trx_id").agg(F.max(F.struct("ord", "gene_id")).alias("m")).select("trx_id", "m.gene_id")
+    """trx_id, gene_id (null: suppressed); of repeated transcripts the last line of the last path counts. See bad_map_lines."""
+    rows = _map_lines(spark, path).filter(F.size("f") <= 2).select(_field(F.col("f"), 0).alias("trx_id"), _field(F.col("f"), 1).alias("gene_id"), "ord")
+    return rows.groupBy("trx_id").agg(F.max_by(F.struct("gene_id"), "ord").alias("m")).select("trx_id", "m.gene_id")
+
+
+def bad_map_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value: the lines of a gene map that have more than two fields and are passed over."""
+    return _map_lines(spark, path).filter(F.size("f") > 2).select("value")
+
+
+def known_only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in a list of ids."""
+    return rows.join(ids.select(F.col("id").alias(key)), key, "left_semi")
+
+
+def write_quant_matrix(wide: DataFrame, path: str) -> None:
+    """A gene, its size and one column for each sample, tab-separated, under the header that read_quant_matrix takes."""
+    gene, *rest = wide.columns
+    wide.select(F.col(gene).alias("# gene"), *rest).write.csv(path, sep="\t", header=True)
 
 
 def remapped(transcripts: DataFrame, gene_map: DataFrame) -> DataFrame:

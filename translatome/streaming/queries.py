@@ -6,14 +6,13 @@ on the same rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.plans.registry import query
+from translatome.sources import folders
 
 
 def position_windows(reads: DataFrame, size: int, step: int) -> DataFrame:
@@ -40,13 +39,6 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='translatome-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -58,7 +50,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position windows of reads, counted by a stream and read back from the table that it completes."""
     e = F.col("event_id")
     reads = _event_stream(spark, sf_dir).select((e % 50).alias("ref"), F.round(F.col("value") * 100).cast("bigint").alias("pos"), (1 + e % 3).alias("nh"))
-    folder = _folder(spark)
+    folder = folders.fresh(spark, "stream")
     run_available(position_windows(reads, 1000, 1000), lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/state", "complete")
     return spark.read.parquet(f"{folder}/out")
 
@@ -66,7 +58,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) // 3600 AS hour, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time windows of events, counted by a stream with a watermark."""
-    folder = _folder(spark)
+    folder = folders.fresh(spark, "stream")
     events = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = event_windows(events).select("event_type", F.floor(F.unix_timestamp("w.start") / 3600).alias("hour"), "n")
     run_available(counts, lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/state", "complete")
