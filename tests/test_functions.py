@@ -215,6 +215,39 @@ def test_start_caller_finds_planted_starts(spark):
     assert hit >= 55 and false <= 30
 
 
+def test_caller_kept_and_scored_everywhere(spark, tmp_path):
+    draw = random.Random(2)
+    rows = [(i, [60 if j == 40 else draw.randint(0, 3) for j in range(90)], 40) for i in range(30)]
+    items = spark.createDataFrame(rows, "trx bigint, ltm array<bigint>, cds_start int")
+    examples = starts.start_features(starts.training_positions(items), F.col("at"), ["ltm"], 5)
+    groups = len(starts.GROUPS)
+    model = starts.train_caller(examples, groups, out=32)
+    starts.write_caller(model, ["ltm"], 5, 32, str(tmp_path / "m"))
+    again, config = starts.read_caller(spark, str(tmp_path / "m"))
+    assert config == {"samples": ["ltm"], "least_total": 5, "groups": [list(g) for g in starts.GROUPS], "out": 32}
+    every = starts.start_features(starts.every_position(items, F.size("ltm")), F.col("at"), ["ltm"], 5)
+    mine = starts.call_starts(again, every, groups, out=32).select("trx", "at", "score", "called").collect()
+    assert sorted((r.trx, r.at) for r in mine) == [(i, at) for i in range(30) for at in range(91)]
+    assert all((r.score is None) == (r.at < 6 or r.at > 81) for r in mine if r.at < 6 or r.at > 81 or r.at == 40)
+    theirs = {(r.trx, r.at): r.score for r in starts.call_starts(model, every, groups, out=32).collect()}
+    assert all(theirs[r.trx, r.at] == r.score for r in mine)
+    bucketed = starts.score_buckets(starts.call_starts(again, examples, groups, out=32))
+    starts.write_scores(bucketed, str(tmp_path / "s"))
+    key = lambda r: (r.bucket, r.score is None, r.score or 0)
+    assert sorted(starts.read_scores(spark, str(tmp_path / "s")).collect(), key=key) == sorted(bucketed.select("bucket", "score").collect(), key=key)
+    want = {(True, True): "tp", (False, True): "fp", (True, False): "fn", (False, False): "tn"}
+    assert all(want[r.label > 0, r.called] == r.bucket for r in bucketed.collect())
+
+
+def test_missing_predictors(spark):
+    positions = spark.createDataFrame([(1, i) for i in range(4)], "trx bigint, nt bigint")
+    a = spark.createDataFrame([(1, 0, True), (1, 1, False)], "trx bigint, nt bigint, called boolean")
+    rows = lambda *p: [tuple(r)[1:] for r in starts.predicted(positions, *p).orderBy("nt").collect()]
+    assert rows(a, None) == [(0, True, None), (1, False, None), (2, False, None), (3, False, None)]
+    assert rows(None, a) == [(0, None, True), (1, None, False), (2, None, False), (3, None, False)]
+    assert rows(None, None) == [(i, None, None) for i in range(4)]
+
+
 def test_bedpe(spark):
     row = lambda **k: {n: F.lit(v) for n, v in k.items()}
     good = dict(ref1="c", left1=10, right1=20, strand1="+", ref2="c", left2=50, right2=60, strand2="-")

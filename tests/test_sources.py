@@ -132,3 +132,48 @@ def test_wig(spark, tmp_path):
     track = spark.createDataFrame([("c1", 4, 2), ("c1", 1, 1)], "ref string, at bigint, n bigint")
     annotations.write_wig(track, str(tmp_path / "w"))
     assert [r.value for r in spark.read.text(str(tmp_path / "w")).collect()] == ["variableStep chrom=c1 span=1", "2 1.00", "5 2.00"]
+
+
+def test_written_bam_as_read(spark, tmp_path):
+    df = alignments.read_sam(spark, put(tmp_path, "a.sam", SAM))
+    out = f"file://{tmp_path}/bam"
+    alignments.write_bam(df.repartition(3), [("c1", 100), ("c2", 50)], out)
+    columns = ["qname", "flag", "ref", "pos", "cigar", "tags", "seq"]
+    assert alignments.read_bam(spark, out).select(*columns).orderBy("qname").collect() == df.select(*columns).orderBy("qname").collect()
+    data = gzip.decompress(next(p for p in (tmp_path / "bam").iterdir() if p.suffix == ".bam").read_bytes())
+    assert data[:4] == b"BAM\1" and not list((tmp_path / "bam").glob("*.unfinished"))
+    with pytest.raises(Exception, match="too long for BAM"):
+        alignments.write_bam(df.limit(1).withColumn("qname", F.repeat(F.lit("x"), F.lit(300))), [("c1", 100)], f"file://{tmp_path}/bad")
+    assert [alignments._index_bin(a, b) for a, b in ((0, 1), (16384, 16385), (16383, 16385), (0, 1 << 29))] == [4681, 4682, 585, 0]
+
+
+def test_fasta_chunks_across_splits(spark, tmp_path):
+    seqs = {f"c{i}": "".join("ACGT"[(i * 7 + j * j) % 4] for j in range(n)) for i, n in enumerate((1, 10, 64, 333, 1000, 0, 77))}
+    text = "".join(f">{name} x\n" + "".join(seq[k : k + 13].lower() + "\n" for k in range(0, len(seq), 13)) for name, seq in seqs.items())
+    path = put(tmp_path, "a.fa", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        chunks = reads.read_fasta_chunks(spark, path, 32).cache()
+        got = {}
+        for r in chunks.orderBy("ref", "chunk").collect():
+            assert len(r.text) == 32 or (r.chunk + 1) * 32 > len(seqs[r.ref])
+            got[r.ref] = got.get(r.ref, "") + r.text
+        assert got == {k: v for k, v in seqs.items() if v}
+        regions = spark.createDataFrame([(1, "c4", "+", [(0, 40), (100, 5)]), (2, "c4", "-", [(990, 30)]), (3, "c9", "+", [(0, 5)])], "id int, ref string, strand string, blocks array<struct<start:bigint,len:bigint>>")
+        back = seqs["c4"][990:].translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        assert {r.id: r.seq for r in reads.fetched(regions, chunks, "id", 32).collect()} == {1: seqs["c4"][:40] + seqs["c4"][100:105], 2: back}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_map_lines_of_several_files(spark, tmp_path):
+    paths = [put(tmp_path, "z", "t1\ta\nt2\tb\nx\ty\tz\n"), put(tmp_path, "a", "t1\nt3\tc\n")]
+    assert {r.trx_id: r.gene_id for r in tables.read_gene_map(spark, paths).collect()} == {"t1": None, "t2": "b", "t3": "c"}
+    assert [r.value for r in tables.bad_map_lines(spark, paths).collect()] == ["x\ty\tz"]
+
+
+def test_wig_pair(spark, tmp_path):
+    track = spark.createDataFrame([("c1", "+", 4, 2), ("c2", "+", 0, 3), ("c1", "-", 1, 1)], "ref string, strand string, at bigint, n bigint")
+    annotations.write_wig_pair(track, str(tmp_path / "w"), 2.0)
+    both = [sorted(map(tuple, annotations.read_wig(spark, str(tmp_path / f"w_{s}.wig")).collect())) for s in ("fwd", "rev")]
+    assert both == [[("c1", 4, 4.0), ("c2", 0, 6.0)], [("c1", 1, 2.0)]]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.ml.classification import LinearSVC
+from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.functions import coords, sequences
@@ -208,6 +209,58 @@ def call_starts(model, rows: DataFrame, groups: int, out: int = 256) -> DataFram
     return scored.unionByName(rest).withColumn("called", F.coalesce(F.col("score") > 0, F.lit(False)))
 
 
+def every_position(items: DataFrame, length: Column) -> DataFrame:
+    """items at each position 0 .. length, the last included: adds at."""
+    return items.withColumn("at", F.explode(sequences.safe_range(F.lit(0), length.cast("int"))))
+
+
+def score_buckets(called: DataFrame) -> DataFrame:
+    """Adds bucket (tp, fp, tn, fn) to rows of label and called; rows without a score count as not called."""
+    actual = F.col("label") > 0
+    return called.withColumn("bucket", F.when(actual & F.col("called"), "tp").when(F.col("called"), "fp").when(actual, "fn").otherwise("tn"))
+
+
+def write_scores(bucketed: DataFrame, path: str) -> None:
+    """Scores as text in one folder for each bucket, one a line; NaN where there is none."""
+    bucketed.select("bucket", F.coalesce(F.col("score").cast("string"), F.lit("NaN")).alias("value")).write.partitionBy("bucket").mode("errorifexists").text(path)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """bucket and score (null where there is none)."""
+    rows = spark.read.text(path)
+    return rows.select("bucket", F.when(F.col("value") != "NaN", F.col("value").cast("double")).alias("score"))
+
+
+def predicted(positions: DataFrame, a: DataFrame | None, b: DataFrame | None) -> DataFrame:
+    """positions (trx, nt) with a and b of two predictors (trx, nt, called); the column of a missing predictor is null.
+
+    A position that a predictor has no row for is not called by it.
+    """
+    out = positions
+    for name, rows in (("a", a), ("b", b)):
+        if rows is None:
+            out = out.withColumn(name, F.lit(None).cast("boolean"))
+        else:
+            out = out.join(rows.select("trx", "nt", F.col("called").alias(name)), ["trx", "nt"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
+
+
+def write_caller(model, samples: list[str], least_total: int, out: int, path: str) -> None:
+    """The trained model and what it was trained with, as a folder of the model and one line of JSON."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    config = json.dumps({"samples": samples, "least_total": least_total, "groups": [list(g) for g in GROUPS], "out": out})
+    spark.createDataFrame([(config,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def read_caller(spark: SparkSession, path: str) -> tuple[LinearSVCModel, dict]:
+    """The model and its configuration; one that was trained on other groups of offsets is an error."""
+    config = json.loads(spark.read.text(f"{path}/config").first().value)
+    if config["groups"] != [list(g) for g in GROUPS]:
+        raise ValueError(f"the model in {path} was trained on other groups of offsets")
+    return LinearSVCModel.load(f"{path}/model"), config
+
+
 def pars_windows(items: DataFrame) -> DataFrame:
     """Sums of 30 scores around a CDS start: gene, size, total, average, first30, start30, max30_pos, max30, plus15 .. plus75.
 

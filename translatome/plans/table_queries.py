@@ -11,6 +11,7 @@ from translatome.operators import barcodes, quantities, starts, windows
 from translatome.plans import views
 from translatome.plans.registry import query
 from translatome.plans.views import DNA, table
+from translatome.sources import folders
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -266,6 +267,53 @@ def start_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return starts.call_starts(model, examples, 2 * len(starts.GROUPS), out=64).select("trx", "at", "label", F.round("score", 3).alias("score"), "called")
 
 
+def _caller(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles, and the training positions called by a model that was written and read again."""
+    rows = _arrays(spark, sf_dir).withColumn("cds_start", F.lit(20))
+    examples = starts.start_features(starts.training_positions(rows), F.col("at"), ["ltm", "chx"], 10)
+    folder, groups = folders.fresh(spark, "caller"), 2 * len(starts.GROUPS)
+    starts.write_caller(starts.train_caller(examples, groups, out=64), ["ltm", "chx"], 10, 64, folder)
+    model, config = starts.read_caller(spark, folder)
+    every = starts.start_features(starts.every_position(rows, F.size("ltm")), F.col("at"), config["samples"], config["least_total"])
+    call = lambda r: starts.call_starts(model, r, len(config["samples"]) * len(config["groups"]), config["out"])
+    return call(every), call(examples)
+
+
+@query(None)
+def start_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores at positions 0 .. length of each transcript, null near its ends; a trained model has no SQL."""
+    every, _ = _caller(spark, sf_dir)
+    return every.select("trx", "at", F.round("score", 3).alias("score"), "called")
+
+
+@query(None)
+def start_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the training positions by bucket, from the files of the buckets; a trained model has no SQL."""
+    _, examples = _caller(spark, sf_dir)
+    folder = folders.fresh(spark, "scores")
+    starts.write_scores(starts.score_buckets(examples), folder)
+    return starts.read_scores(spark, folder).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("scored"), F.round(F.avg("score"), 3).alias("mean_score"))
+
+
+@query(None)
+def start_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of the trained caller and of enrichment, with what they share; a trained model has no SQL."""
+    every, _ = _caller(spark, sf_dir)
+    a = every.select("trx", F.col("at").cast("bigint").alias("nt"), "called")
+    b = starts.enrichment(_arrays(spark, sf_dir)).select("trx", F.col("st").alias("nt"), F.col("is_start").alias("called"))
+    track = starts.predicted(_profiles(spark, sf_dir).select("trx", "nt"), a, b)
+    return windows.peak_hulls(track, ["trx"]).withColumn("kind", windows.peak_type())
+
+
+@query(f"""WITH {LTM}, r AS (SELECT trx, st, st - row_number() OVER (PARTITION BY trx ORDER BY st) AS run FROM enriched WHERE is_start)
+SELECT trx, min(st) AS "first", max(st) AS "last", min(st) AS b_first, max(st) AS b_last, 'L' AS kind FROM r GROUP BY trx, run""")
+def start_sites_untrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks where the trained caller is missing."""
+    b = starts.enrichment(_arrays(spark, sf_dir)).select("trx", F.col("st").alias("nt"), F.col("is_start").alias("called"))
+    track = starts.predicted(_profiles(spark, sf_dir).select("trx", "nt"), None, b)
+    return windows.peak_hulls(track, ["trx"]).withColumn("kind", windows.peak_type()).select("trx", "first", "last", "b_first", "b_last", "kind")
+
+
 _CODON = "CASE {0} " + " ".join(
     f"WHEN '{a}{b}{c}' THEN '{sequences.CODE[16 * i + 4 * j + k]}'"
     for i, a in enumerate(sequences.CODE_BASES) for j, b in enumerate(sequences.CODE_BASES) for k, c in enumerate(sequences.CODE_BASES)

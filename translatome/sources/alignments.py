@@ -196,15 +196,18 @@ def _index_bin(start: int, end: int) -> int:
 
 def bam_record(row, numbers: dict[str, int]) -> bytes:
     """One alignment (a row of FIELDS with seq and qual) in the binary form; numbers has each reference's place in the header."""
-    name, seq = row["qname"].encode() + b"\0", row["seq"] or ""
+    name = row["qname"].encode() + b"\0"
+    seq, quals = ("" if row[c] in (None, "*") else row[c] for c in ("seq", "qual"))  # a star is SAM's for none
     cigar = [(int(n), CIGAR_OPS.index(k)) for n, k in re.findall("([0-9]+)([A-Z=])", row["cigar"] or "")]
     if len(name) > 255 or len(cigar) > 65535:
         raise ValueError(f"too long for BAM: {row['qname']}")
+    if quals and len(quals) != len(seq):
+        raise ValueError(f"{len(quals)} qualities of {len(seq)} bases: {row['qname']}")
     ref = -1 if row["ref"] is None else numbers[row["ref"]]
     pos = -1 if row["pos"] is None else row["pos"]
     span = sum(n for n, k in cigar if CIGAR_OPS[k] in "MDN=X") or 1
     codes = [BAM_BASES.index(c) for c in seq.upper()] + [0] * (len(seq) % 2)
-    qual = bytes([255] * len(seq)) if row["qual"] is None else bytes(ord(c) - 33 for c in row["qual"])
+    qual = bytes(ord(c) - 33 for c in quals) if quals else bytes([255] * len(seq))
     body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 255, _index_bin(max(pos, 0), max(pos, 0) + span) if pos >= 0 else 4680, len(cigar), row["flag"], len(seq), -1, -1, 0)
     body += name + b"".join(struct.pack("<I", n << 4 | k) for n, k in cigar) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual
     for tag, value in sorted((row["tags"] or {}).items()):
