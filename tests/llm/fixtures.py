@@ -81,7 +81,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
-def components(rows, percent=85):
+def components(rows, percent=80):
     """doc_id -> (n_shingles, component_id)."""
     sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
     parent = {i: i for i in sets}

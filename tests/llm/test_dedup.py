@@ -99,20 +99,32 @@ def test_index_persists(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan  # the buckets are the partitioning
 
 
+@pytest.mark.parametrize("percent", [80, 85])
 @pytest.mark.parametrize("rows", [fixtures.corpus(), fixtures.corpus(150, 5), fixtures.awkward(), []], ids=["corpus", "other", "awkward", "empty"])
-def test_near_like_brute_force(spark, rows):
-    want = fixtures.components(rows)
-    got = near_dedup.near_duplicates(clashing(frame(spark, rows))).collect()
+def test_near_like_brute_force(spark, rows, percent):
+    want = fixtures.components(rows, percent)
+    got = near_dedup.near_duplicates(clashing(frame(spark, rows)), percent).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
             assert r.component_id is None and r.kept
         else:
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
-    kept = near_dedup.deduplicated(clashing(frame(spark, rows))).collect()
+    kept = near_dedup.deduplicated(clashing(frame(spark, rows)), percent).collect()
     assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == sorted({i for i, (_, c) in want.items() if c == i})
 
 
+def test_near_default_is_four_fifths(spark):
+    """Two edits apart in a text of 110 words: 96 of 116 shingles, which are linked at 0.8 and not at 0.85."""
+    w = [f"w{i}" for i in range(110)]
+    x = [*w[:30], "one", *w[31:70], "two", *w[71:]]
+    rows = [(1, " ".join(w), "en", "a", 1), (2, " ".join(x), "en", "a", 1)]
+    docs = frame(spark, rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 85).collect()} == {1: 1, 2: 2}
+    assert near_dedup.deduplicated(docs).count() == 1
+
+
 def test_near_chains_and_blocks(spark, monkeypatch):
     """Copies of copies, more than one block of them: every link counts, also between blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)

@@ -40,8 +40,10 @@ from translatome.llm.common import slices, written
 from translatome.llm.substring_dedup import hashed_words, mixed, rolled
 
 SHINGLE = 5
+#: Least similarity of linked documents, in percent, unless a caller states another.
+PERCENT = 80
 COORDINATES, BANDS, ROWS = 96, 40, 6
-#: At a similarity of 0.85, 96 coordinates agree on 0.69 of them or more but for 1 pair in 100,000.
+#: Independent coordinates would agree on the threshold less this, or more, but for 1 pair in 20,000 at a similarity of 0.85, in 7000 at 0.8.
 MARGIN = 0.16
 #: Members of one block of a cluster, and of one block of a bucket.
 BLOCK, BUCKET_BLOCK = 512, 1024
@@ -413,13 +415,13 @@ def _named(docs: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     kept = F.col("id").eqNullSafe(F.col("component_id"))
     return _named(docs, percent).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
-def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay: one of each component, with the columns of docs."""
     staying = written(_named(docs, percent).filter("stays").select("key").distinct(), "staying")
     return _keyed(docs, F.struct("*").alias("row")).select("key", "row").join(staying, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
