@@ -79,14 +79,17 @@ def text_statistics(texts: list[bytes | None]) -> pd.DataFrame:
 
 
 def statistics(text: Column) -> Column:
-    """A struct of the counts of a text."""
+    """A struct of the counts of a text.
+
+    It is declared as not deterministic, or a filter on a count would be pushed below the others and run the function once more.
+    """
 
     def of(texts: pd.Series) -> pd.DataFrame:
         sizes = np.cumsum([len(t) if t else 0 for t in texts]) // PART_BYTES
         cuts = [0, *(np.nonzero(np.diff(sizes))[0] + 1).tolist(), len(texts)]
         return pd.concat([text_statistics(texts.iloc[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)], ignore_index=True)
 
-    return F.pandas_udf(of, ", ".join(f"{f} bigint" for f in _FIELDS))(text.cast("binary"))
+    return F.pandas_udf(of, ", ".join(f"{f} bigint" for f in _FIELDS)).asNondeterministic()(text.cast("binary"))
 
 
 def base_failed() -> Column:
