@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.llm import (
-    exact_dedup, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, toxicity,
+    exact_dedup, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity,
 )
 from translatome.llm.common import documents, labels
 
@@ -78,10 +78,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each document and its component of fingerprints within 4 bits."""
+    return simhash.near_duplicates(documents(spark, sf_dir), 4, 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_substring_dedup, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_language_id,
-        op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_minhash_near_dedup, op10_quality_rules,
+        op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_minhash_near_dedup, op10_quality_rules, op11_simhash_near_dedup,
     )
     return {f.__name__: f for f in every}
 
