@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.llm import (
-    exact_dedup, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity,
+    exact_dedup, filter_audit, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity,
 )
 from translatome.llm.common import documents, labels
 
@@ -83,10 +83,16 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), 4, 4)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, in every order, for each language."""
+    return filter_audit.audited(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_substring_dedup, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_language_id,
         op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_minhash_near_dedup, op10_quality_rules, op11_simhash_near_dedup,
+        op12_filter_audit,
     )
     return {f.__name__: f for f in every}
 
@@ -104,4 +110,5 @@ SELECT doc_id,
        doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS kept,
        text_sha256
 FROM d""",
+        "op12_filter_audit": filter_audit.SQL,
     }
