@@ -44,6 +44,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def word_count(text: Column) -> Column:
     """Number of words [^\\x20\\x09-\\x0D]+ as bigint; null text has none.
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.llm import (
-    exact_dedup, filter_audit, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity,
+    exact_dedup, filter_audit, language_id, mixing, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity,
 )
-from translatome.llm.common import documents, labels
+from translatome.llm.common import conversations, documents, labels
 
 
 def tokenizer_path() -> str:
@@ -88,11 +88,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node of the trie of all rebuilt conversations."""
+    return prefix_trie.trie(conversations(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_substring_dedup, op2_toxicity, op3_best_fit_packing, op4_mix_sources, op5_language_id,
         op6_exact_dedup, op7_quality_classifier, op8_sharding, op9_minhash_near_dedup, op10_quality_rules, op11_simhash_near_dedup,
-        op12_filter_audit,
+        op12_filter_audit, op13_conversation_trie,
     )
     return {f.__name__: f for f in every}
 
@@ -111,4 +116,5 @@ SELECT doc_id,
        text_sha256
 FROM d""",
         "op12_filter_audit": filter_audit.SQL,
+        "op13_conversation_trie": prefix_trie.SQL,
     }
