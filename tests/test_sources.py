@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from translatome.sources import alignments, annotations, reads, tables
+from translatome.sources.bam import bin_of
 
 
 def put(tmp_path, name, text):
@@ -144,7 +145,7 @@ def test_written_bam_as_read(spark, tmp_path):
     assert data[:4] == b"BAM\1" and not list((tmp_path / "bam").glob("*.unfinished"))
     with pytest.raises(Exception, match="too long for BAM"):
         alignments.write_bam(df.limit(1).withColumn("qname", F.repeat(F.lit("x"), F.lit(300))), [("c1", 100)], f"file://{tmp_path}/bad")
-    assert [alignments._index_bin(a, b) for a, b in ((0, 1), (16384, 16385), (16383, 16385), (0, 1 << 29))] == [4681, 4682, 585, 0]
+    assert [bin_of(a, b) for a, b in ((0, 1), (16384, 16385), (16383, 16385), (0, 1 << 29))] == [4681, 4682, 585, 0]
 
 
 def test_fasta_chunks_across_splits(spark, tmp_path):

@@ -43,6 +43,34 @@ def bam_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments.read_bam(spark, folder).select("qname", "flag", "ref", "pos", "cigar", "strand", "nh", "len")
 
 
+@query(ALIGNED)
+def bam_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from one file, read in many splits that are cut anywhere."""
+    folder = folders.fresh(spark, "bam")
+    alignments.write_bam(_aligned(spark, sf_dir), REFS, folder)
+    return alignments.read_bam(spark, folder, split_bytes=40_000).select("qname", "flag", "ref", "pos", "cigar", "strand", "nh", "len")
+
+
+@query(f"SELECT * FROM ({ALIGNED}) WHERE ref IN ('c3', 'c7', 'c49') AND pos >= 10000 AND pos < 30000")
+def bam_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in order of place; the filter reads what their indexes name."""
+    folder = folders.fresh(spark, "bam")
+    alignments.write_bam(_aligned(spark, sf_dir), REFS, folder, ordered=True)
+    found = alignments.read_bam(spark, folder).filter(F.col("ref").isin("c3", "c7", "c49") & (F.col("pos") >= 10_000) & (F.col("pos") < 30_000))
+    return found.select("qname", "flag", "ref", "pos", "cigar", "strand", "nh", "len")
+
+
+@query(f"""SELECT * FROM ({ALIGNED}) a WHERE EXISTS (SELECT 1 FROM nation n WHERE a.ref = 'c' || (n.n_nationkey * 2)::VARCHAR
+ AND a.pos < 2000 * n.n_regionkey + 1500 + 100 AND a.pos + a.len > 2000 * n.n_regionkey + 500 - 100)""")
+def bam_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments over a region for each nation, 100 bases wider at both ends, by index."""
+    folder = folders.fresh(spark, "bam")
+    alignments.write_bam(_aligned(spark, sf_dir), REFS, folder, ordered=True)
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()  # one region each
+    regions = [(f"c{2 * n.n_nationkey}", 2000 * n.n_regionkey + 500, 2000 * n.n_regionkey + 1500) for n in nations]
+    return alignments.read_bam_regions(spark, folder, regions, 100).select("qname", "flag", "ref", "pos", "cigar", "strand", "nh", "len")
+
+
 @query(f"""WITH {READS}, g AS (SELECT ref, pos, strand, len, tag, count(*) AS n FROM reads GROUP BY ALL)
 SELECT 'c' || ref::VARCHAR AS ref, pos, strand, len::VARCHAR || 'M' AS cigar, CAST(sum(n) AS BIGINT) AS total, count(*) AS "unique" FROM g GROUP BY ref, pos, strand, len""")
 def dedup_sites_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,23 +3,14 @@
 from __future__ import annotations
 
 import json
-import re
-import struct
-import uuid
-import zlib
-from collections.abc import Iterator
 
-import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-#: Fixed values of the format: flag bits, CIGAR operations in code order, bases in code order.
-UNMAPPED, REVERSE = 4, 16
-CIGAR_OPS, BAM_BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+from translatome.sources.bam import MOST_REGIONS, BamSource
 
-FIELDS = "qname string, flag int, ref string, pos bigint, cigar string, query_len int, tags map<string,string>"
+#: Fixed values of the format: flag bits.
+UNMAPPED, REVERSE = 4, 16
 
 
 def cigar_blocks(pos: Column, cigar: Column) -> Column:
@@ -45,7 +36,7 @@ def cigar_blocks(pos: Column, cigar: Column) -> Column:
 
 
 def with_derived(df: DataFrame) -> DataFrame:
-    """Adds is_reverse, strand, blocks, nh, hi, nm and len to rows of FIELDS; unmapped rows have null blocks."""
+    """Adds is_reverse, strand, blocks, nh, hi, nm and len to rows of bam.FIELDS; unmapped rows have null blocks."""
     mapped = (F.col("flag").bitwiseAND(UNMAPPED) == 0) & F.col("pos").isNotNull()
     reverse = F.col("flag").bitwiseAND(REVERSE) != 0
     tag = lambda t: F.try_element_at("tags", F.lit(t)).cast("int")
@@ -59,7 +50,7 @@ def with_derived(df: DataFrame) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows of FIELDS and what with_derived adds; positions are 0-based, header lines are left out."""
+    """Rows of bam.FIELDS and what with_derived adds; positions are 0-based, header lines are left out."""
     f = F.split("value", "\t")
     star = lambda c: F.when(c != "*", c)
     pairs = F.transform(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))), lambda x: F.split(x, ":", 3))
@@ -80,7 +71,7 @@ def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sam(df: DataFrame, path: str) -> None:
-    """Rows of FIELDS with seq and qual as SAM text lines (no header); tags are written as strings or integers."""
+    """Rows of bam.FIELDS with seq and qual as SAM text lines (no header); tags are written as strings or integers."""
     tags = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws(":", e["key"], F.when(e["value"].rlike("^-?[0-9]+$"), "i").otherwise("Z"), e["value"]))
     star = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
     line = F.concat_ws(
@@ -90,231 +81,42 @@ def write_sam(df: DataFrame, path: str) -> None:
     df.select(line.alias("value")).write.text(path)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-
-def _inflated(stream) -> Iterator[bytes]:
-    """The blocks of a BGZF file, which is a row of gzip members."""
-    inflate, data = zlib.decompressobj(31), b""
-    while True:
-        data = data or stream.read(1 << 20)
-        if not data:
-            return
-        piece = inflate.decompress(data)
-        if piece:
-            yield piece
-        data = inflate.unused_data if inflate.eof else b""
-        if inflate.eof:
-            inflate = zlib.decompressobj(31)
-
-
-class _Bytes:
-    """Exactly n bytes at a time from an iterator of pieces."""
-
-    def __init__(self, pieces: Iterator[bytes]) -> None:
-        self.pieces, self.rest = pieces, bytearray()
-
-    def take(self, n: int) -> bytes:
-        while len(self.rest) < n:
-            piece = next(self.pieces, None)
-            if piece is None:
-                if self.rest:
-                    raise ValueError("the BAM file is cut off")
-                return b""
-            self.rest += piece
-        out = bytes(self.rest[:n])
-        del self.rest[:n]
-        return out
-
-
-def _bam_tags(data: bytes) -> dict[str, str]:
-    sizes, at, out = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}, 0, {}
-    while at < len(data):
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            end = data.index(0, at)
-            out[name] = data[at:end].decode()
-            at = end + 1
-        elif kind == "B":
-            form, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            values = struct.unpack_from(f"<{n}{sizes[form]}", data, at + 5)
-            out[name] = ",".join(map(str, (form, *values)))
-            at += 5 + struct.calcsize(f"<{n}{sizes[form]}")
-        else:
-            value = struct.unpack_from(f"<{sizes[kind]}", data, at)[0]
-            out[name] = value.decode() if isinstance(value, bytes) else str(value)
-            at += struct.calcsize(f"<{sizes[kind]}")
-    return out
-
-
-def bam_rows(stream) -> Iterator[tuple]:
-    """Tuples of FIELDS, seq and qual from an open BAM file."""
-    data = _Bytes(_inflated(stream))
-    if data.take(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    data.take(struct.unpack("<i", data.take(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", data.take(4))[0]):
-        names.append(data.take(struct.unpack("<i", data.take(4))[0])[:-1].decode())
-        data.take(4)
-    while head := data.take(4):
-        record = data.take(struct.unpack("<i", head)[0])
-        ref, pos, name_len, _, _, n_cigar, flag, n, _, _, _ = struct.unpack_from("<iiBBHHHiiii", record)
-        at = 32 + name_len
-        cigar = "".join(f"{x >> 4}{CIGAR_OPS[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", record, at))
-        at += 4 * n_cigar
-        packed = record[at : at + (n + 1) // 2]
-        seq = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:n]
-        at += (n + 1) // 2
-        quals = record[at : at + n]
-        qual = None if not n or quals[0] == 255 else "".join(chr(q + 33) for q in quals)
-        yield (
-            record[32 : 32 + name_len - 1].decode(), flag, names[ref] if ref >= 0 else None, pos if pos >= 0 else None, cigar or None,
-            n or None, _bam_tags(record[at + n :]), seq or None, qual,
-        )
-
-
-def _bgzf(data: bytes) -> bytes:
-    """One block: a gzip member whose extra field has its size."""
-    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = deflate.compress(data) + deflate.flush()
-    head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff\x06\x00BC\x02\x00" + struct.pack("<H", len(body) + 25)
-    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-
-def _index_bin(start: int, end: int) -> int:
-    """The smallest bin of the index's six levels (of 2^29, 2^26, ... 2^14 bases) that holds start .. end - 1."""
-    for level in range(5, -1, -1):
-        shift = 29 - 3 * level
-        if start >> shift == (end - 1) >> shift:
-            return ((1 << 3 * level) - 1) // 7 + (start >> shift)
-    return 0
-
+def read_bam(spark: SparkSession, uri: str, split_bytes: int | None = None) -> DataFrame:
+    """Rows of bam.FIELDS and what with_derived adds, from a BAM file or a folder of them (a file:, hdfs: or s3: URI).
 
-def bam_record(row, numbers: dict[str, int]) -> bytes:
-    """One alignment (a row of FIELDS with seq and qual) in the binary form; numbers has each reference's place in the header."""
-    name = row["qname"].encode() + b"\0"
-    seq, quals = ("" if row[c] in (None, "*") else row[c] for c in ("seq", "qual"))  # a star is SAM's for none
-    cigar = [(int(n), CIGAR_OPS.index(k)) for n, k in re.findall("([0-9]+)([A-Z=])", row["cigar"] or "")]
-    if len(name) > 255 or len(cigar) > 65535:
-        raise ValueError(f"too long for BAM: {row['qname']}")
-    if quals and len(quals) != len(seq):
-        raise ValueError(f"{len(quals)} qualities of {len(seq)} bases: {row['qname']}")
-    ref = -1 if row["ref"] is None else numbers[row["ref"]]
-    pos = -1 if row["pos"] is None else row["pos"]
-    span = sum(n for n, k in cigar if CIGAR_OPS[k] in "MDN=X") or 1
-    codes = [BAM_BASES.index(c) for c in seq.upper()] + [0] * (len(seq) % 2)
-    qual = bytes(ord(c) - 33 for c in quals) if quals else bytes([255] * len(seq))
-    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 255, _index_bin(max(pos, 0), max(pos, 0) + span) if pos >= 0 else 4680, len(cigar), row["flag"], len(seq), -1, -1, 0)
-    body += name + b"".join(struct.pack("<I", n << 4 | k) for n, k in cigar) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual
-    for tag, value in sorted((row["tags"] or {}).items()):
-        whole = re.fullmatch("-?[0-9]{1,9}", value)
-        body += tag.encode() + (b"i" + struct.pack("<i", int(value)) if whole else b"Z" + value.encode() + b"\0")
-    return struct.pack("<i", len(body)) + body
+    Filters on ref (equal to, one of) and pos (ranges) read only what the files' indexes say may pass.
+    """
+    return with_derived(_bam_reader(spark, split_bytes).load(uri))
 
 
-class _Written(WriterCommitMessage):
-    def __init__(self, name: str | None) -> None:
-        self.name = name
-
-
-class _BamWriter(DataSourceWriter):
-    """One file for each task, under a name that readers pass over until all tasks have ended."""
-
-    def __init__(self, options: dict[str, str]) -> None:
-        self.path, self.refs = options["path"], json.loads(options["refs"])
-
-    def write(self, iterator) -> WriterCommitMessage:
-        files, base = pyarrow.fs.FileSystem.from_uri(self.path)
-        files.create_dir(base, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.bam"
-        numbers = {n: i for i, (n, _) in enumerate(self.refs)}
-        text = "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in self.refs).encode()
-        data = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.refs)))
-        for n, size in self.refs:
-            data += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size)
-        with files.open_output_stream(f"{base}/{name}.unfinished", compression=None) as out:
-            for row in iterator:
-                data += bam_record(row, numbers)
-                while len(data) >= 65280:
-                    out.write(_bgzf(bytes(data[:65280])))
-                    del data[:65280]
-            while data:
-                out.write(_bgzf(bytes(data[:65280])))
-                del data[:65280]
-            out.write(_bgzf(b""))  # the mark of the end
-        return _Written(name)
-
-    def commit(self, messages) -> None:
-        files, base = pyarrow.fs.FileSystem.from_uri(self.path)
-        for m in filter(None, messages):
-            files.move(f"{base}/{m.name}.unfinished", f"{base}/{m.name}")
-
-    def abort(self, messages) -> None:
-        files, base = pyarrow.fs.FileSystem.from_uri(self.path)
-        for m in filter(None, messages):
-            files.delete_file(f"{base}/{m.name}.unfinished")
-
-
-class BamSource(DataSource):
-    """format("bam"): one task for each file; any file system that pyarrow knows."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return f"{FIELDS}, seq string, qual string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _BamReader(self.options)
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _BamWriter(self.options)
-
-
-class _BamReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
+def _bam_reader(spark: SparkSession, split_bytes: int | None):
+    spark.dataSource.register(BamSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses readers that take filters
+    reader = spark.read.format("bam")
+    return reader.option("splitBytes", split_bytes) if split_bytes else reader
 
-    def partitions(self) -> list[InputPartition]:
-        files, base = pyarrow.fs.FileSystem.from_uri(self.path)
-        info = files.get_file_info(base)
-        if info.type == pyarrow.fs.FileType.File:
-            return [_File(self.path)]
-        found = files.get_file_info(pyarrow.fs.FileSelector(base))
-        return [_File(self.path.rstrip("/") + "/" + f.base_name) for f in found if f.base_name.endswith(".bam")]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([
-            ("qname", pa.string()), ("flag", pa.int32()), ("ref", pa.string()), ("pos", pa.int64()), ("cigar", pa.string()), ("query_len", pa.int32()),
-            ("tags", pa.map_(pa.string(), pa.string())), ("seq", pa.string()), ("qual", pa.string()),
-        ])
-        files, path = pyarrow.fs.FileSystem.from_uri(partition.path)
-        with files.open_input_stream(path, compression=None) as stream:
-            rows: list[tuple] = []
-            for row in bam_rows(stream):
-                rows.append((*row[:6], list(row[6].items()), *row[7:]))
-                if len(rows) == 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+def read_bam_regions(spark: SparkSession, uri: str, regions: list[tuple[str, int, int]], margin: int = 0, split_bytes: int | None = None) -> DataFrame:
+    """As read_bam, but only alignments that overlap any of the regions (ref, start, end; half-open), widened by margin at both ends.
 
+    The regions go to every task, so they are a bounded list; for those of a whole annotation, join its table.
+    """
+    if len(regions) > MOST_REGIONS:
+        raise ValueError(f"over {MOST_REGIONS} regions: join them as a table")
+    wide = [(ref, max(0, start - margin), end + margin) for ref, start, end in regions]
+    return with_derived(_bam_reader(spark, split_bytes).option("regions", json.dumps(wide)).load(uri))
 
-def read_bam(spark: SparkSession, uri: str) -> DataFrame:
-    """Rows of FIELDS and what with_derived adds, from a BAM file or a folder of them (a file:, hdfs: or s3: URI)."""
-    spark.dataSource.register(BamSource)
-    return with_derived(spark.read.format("bam").load(uri))
 
+def write_bam(df: DataFrame, refs: list[tuple[str, int]], uri: str, ordered: bool = False) -> None:
+    """Rows of bam.FIELDS with seq and qual as BAM files of a folder, one for each task; refs (name, length) are the header's.
 
-def write_bam(df: DataFrame, refs: list[tuple[str, int]], uri: str) -> None:
-    """Rows of FIELDS with seq and qual as BAM files of a folder, one for each task; refs (name, length) are the header's."""
+    With `ordered`, rows are dealt by ranges of place first, so that each file is in order and has an index beside it.
+    """
     spark = df.sparkSession
     spark.dataSource.register(BamSource)
+    if ordered:
+        place = [F.array_position(F.lit([n for n, _ in refs]), F.col("ref")).asc_nulls_last(), F.col("pos").asc_nulls_last()]
+        df = df.repartitionByRange(*place).sortWithinPartitions(*place)
     rows = df.select("qname", "flag", "ref", "pos", "cigar", "query_len", "tags", "seq", "qual")
     rows.write.format("bam").option("refs", json.dumps(refs)).mode("append").save(uri)
 
