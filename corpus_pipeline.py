@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from translatome.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
-from translatome.llm.common import documents, labels, written
+from translatome.llm.common import documents, labels, small_batches, written
 from translatome.llm.queries import tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled rules."""
+    small_batches(spark)
     return quality_rules.filtered(docs, labels(spark, sf_dir))
 
 
@@ -25,6 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates, at a Jaccard similarity of 0.8."""
+    small_batches(spark)
     return near_dedup.deduplicated(docs)
 
 
@@ -35,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents as pieces in sequences of 1024 tokens."""
+    small_batches(spark)
     return packing.packed(docs, tokenizer_path())
 
 

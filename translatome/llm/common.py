@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of 4 MB, whatever their number: the default allows 64 MB in the JVM and in each worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, is computed once, survives lost executors."""
     spark = df.sparkSession

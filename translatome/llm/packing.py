@@ -59,15 +59,22 @@ class _Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self._tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or ()]
         self.ranked = self._ranked(spec)
 
+    @property
+    def tokenizer(self):
+        """Loaded with the first text that needs it: it takes as much memory as the ranks."""
+        if self._tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
     def _ranked(self, spec: dict) -> tuple | None:
         model, before, letters = spec["model"], spec.get("pre_tokenizer") or {}, _byte_letters()
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
@@ -197,15 +204,14 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
         parts = -(-left // part_items)
         # rows that repeat are dealt out too
         dealt = items.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
-        bins = written(dealt.select("part", "size", "members").groupBy("part").applyInPandas(_round(capacity), _ITEM), "bins")
+        bins = written(dealt.select("part", "size", "members").groupBy("part").applyInPandas(_round(capacity), _ITEM).withColumn("at", F.monotonically_increasing_id()), "bins")
         small = F.col("size") <= capacity // 2
         n, least = bins.filter(small).agg(F.count(F.lit(1)), F.min("size")).first()
         if parts == 1 or n == 0:
             finished.append(bins.select("members"))
             break
         fits = F.col("size") <= capacity - least
-        key = F.struct("size", F.monotonically_increasing_id().alias("at"))
-        keyed = bins.withColumn("key", key)
+        keyed = bins.withColumn("key", F.struct("size", "at"))
         last = keyed.filter(~small & fits).select("key").orderBy("key").limit(n).agg(F.max("key").alias("key")).first().key
         again = small if last is None else small | (F.col("key") <= F.struct(F.lit(last.size).alias("size"), F.lit(last["at"]).alias("at")))
         finished.append(keyed.filter(~again).select("members"))
