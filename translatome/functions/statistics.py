@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from translatome.functions import ordered
+
 
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom; null where undefined."""
@@ -24,12 +26,13 @@ def quantiles_type8(df: DataFrame, keys: list[str], value: str, wanted: dict[str
     """Median-unbiased quantiles (Hyndman and Fan's type 8) of value in each group.
 
     Equal values are counted first (with partial aggregation), so that the ordered pass sees one row for each
-    distinct value; `total` names a column of group sizes to return.
+    distinct value; it is dealt out by ranges of values, so that a group may have any size. `total` names a column of group sizes to return.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(group))
+    counted = ordered.ranged(counted, keys, [value])
+    sizes = counted.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.sum("_c").alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    ranked = ordered.running(counted, keys, [value], {"_hi": ("sum", F.col("_c"))}).join(sizes, same).drop(*(f"_of_{k}" for k in keys))
     aggregates = []
     for name, p in wanted.items():
         t = F.lit(1 / 3) + F.lit(p) * (F.col("_n") + F.lit(1 / 3))
@@ -45,10 +48,23 @@ def quantiles_type8(df: DataFrame, keys: list[str], value: str, wanted: dict[str
 
 
 def mid_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row per distinct value of a group: value, its count and its mid-rank."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counted.withColumn("rank", F.sum("ties").over(upto) - (F.col("ties") - 1) / 2)
+    """One row per distinct value of a group (of all rows without keys): value, its count, upto (rows up to it) and its mid-rank."""
+    counted = ordered.ranged(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties")), keys, [value])
+    upto = ordered.running(counted, keys, [value], {"upto": ("sum", F.col("ties"))}).drop(ordered.BLOCK)
+    return upto.withColumn("rank", F.col("upto") - (F.col("ties") - 1) / 2)
+
+
+def values_at_ranks(ranked: DataFrame, targets: DataFrame, value: str, stretch: int = 4096) -> DataFrame:
+    """targets (with rank, 1 for the least) and the value at each rank; ranked: value, ties, upto (as of mid_ranks without keys).
+
+    Each value is dealt to the stretches of ranks that it takes up: one for each value and one for each `stretch` rows, and a target
+    meets those of its stretch.
+    """
+    first = F.floor((F.col("upto") - F.col("ties")) / stretch)
+    dealt = ranked.select(F.col(value), "upto", "ties", F.explode(F.sequence(first, F.floor((F.col("upto") - 1) / stretch))).alias("_stretch"))
+    inside = (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("ties"))
+    own = targets.withColumn("_stretch", F.floor((F.col("rank") - 1) / stretch))
+    return own.join(dealt, "_stretch").filter(inside).drop("_stretch", "upto", "ties")
 
 
 def normal_tail(z: Column) -> Column:

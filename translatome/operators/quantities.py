@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from translatome.functions.statistics import mid_ranks, normal_tail, quantiles_type8, ratio
+from translatome.functions import ordered
+from translatome.functions.statistics import mid_ranks, normal_tail, quantiles_type8, ratio, values_at_ranks
 
 
 def quant_matrix(quants: DataFrame, samples: list[str]) -> DataFrame:
@@ -71,7 +72,8 @@ def rank_sums(data: DataFrame, sets: DataFrame, least: int = 1) -> DataFrame:
 
     Mid-ranks are taken once over all data, so no set is crossed with the data: U follows from the ranks of its members.
     """
-    ranks = mid_ranks(data.withColumn("_all", F.lit(0)), ["_all"], "value").select("value", "rank")
+    data = data.filter("value IS NOT NULL")
+    ranks = mid_ranks(data, [], "value").select("value", "rank")
     members = sets.dropDuplicates(["set_name", "key"]).join(data, "key").join(ranks, "value")
     n_in, sums = F.count(F.lit(1)).alias("n_in"), F.sum("rank").alias("r_in")
     total = data.agg(F.count(F.lit(1)).alias("n_all"))
@@ -85,45 +87,88 @@ def rank_sums(data: DataFrame, sets: DataFrame, least: int = 1) -> DataFrame:
 def subset_medians(data: DataFrame, sets: DataFrame) -> DataFrame:
     """set_name, median_in, median_out and their difference.
 
-    The data are reduced to counts by value; the counts outside of a set are all counts less the set's own.
+    All data are ranked once. The k-th value outside of a set has, among all data, the rank k plus the set's own members up to it,
+    which are those that fewer than k values outside of the set are below; so a set only ever looks at its own members.
     """
-    from pyspark.sql import Window
+    data = data.filter("value IS NOT NULL")
+    ranked = mid_ranks(data, [], "value").select("value", "ties", "upto")
+    own = sets.dropDuplicates(["set_name", "key"]).join(data, "key").groupBy("set_name", "value").agg(F.count(F.lit(1)).alias("c"))
+    own = ordered.running(ordered.ranged(own, ["set_name"], ["value"]), ["set_name"], ["value"], {"upto_in": ("sum", F.col("c"))})
+    sizes = own.groupBy("set_name").agg(F.sum("c").alias("n_in")).withColumn("n_out", data.count() - F.col("n_in")).filter("n_out > 0")
+    rows = own.join(ranked, "value").join(sizes, "set_name")
+    outside_below = (F.col("upto") - F.col("ties")) - (F.col("upto_in") - F.col("c"))
+    middle = lambda n: [F.floor((n + k) / 2) for k in (1, 2)]
+    at_in = [F.max(F.when((F.col("upto_in") - F.col("c") < k) & (k <= F.col("upto_in")), F.col("value"))) for k in middle(F.col("n_in"))]
+    members = [F.sum(F.when(outside_below < k, F.col("c")).otherwise(0)) for k in middle(F.col("n_out"))]
+    found = rows.groupBy("set_name", "n_out").agg(((at_in[0] + at_in[1]) / 2).alias("median_in"), *(m.alias(f"m{i}") for i, m in enumerate(members)))
+    ranks = F.array(*(k + F.col(f"m{i}") for i, k in enumerate(middle(F.col("n_out")))))
+    outside = values_at_ranks(ranked, found.select("set_name", F.explode(ranks).alias("rank")), "value").groupBy("set_name").agg(F.avg("value").alias("median_out"))
+    return found.join(outside, "set_name").select("set_name", "median_in", "median_out", (F.col("median_in") - F.col("median_out")).alias("difference"))
 
-    every = data.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
-    names = sets.select("set_name").distinct()
-    own = sets.dropDuplicates(["set_name", "key"]).join(data, "key").groupBy("set_name", "value").agg(F.count(F.lit(1)).alias("c_in"))
-    grid = names.crossJoin(every).join(own, ["set_name", "value"], "left").na.fill(0, ["c_in"])
 
-    def median(count: Column, name: str) -> DataFrame:
-        rows = grid.withColumn("k", count).filter("k > 0")
-        group = Window.partitionBy("set_name")
-        ranked = rows.withColumn("hi", F.sum("k").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(group))
-        at = [F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)]
-        x = [F.max(F.when((F.col("hi") - F.col("k") < a) & (a <= F.col("hi")), F.col("value"))) for a in at]
-        return ranked.groupBy("set_name").agg(((x[0] + x[1]) / 2).alias(name))
+#: Up to this many values in all, significance comes from the exact distribution (a table of some n^3 rows).
+EXACT = 40
 
-    both = median(F.col("c_in"), "median_in").join(median(F.col("c") - F.col("c_in"), "median_out"), "set_name")
-    return both.withColumn("difference", F.col("median_in") - F.col("median_out"))
 
+def two_tailed(n_in: Column, n_out: Column, u: Column, tied: Column | float = 0.0) -> Column:
+    """Two-tailed probability of U by the normal approximation; `tied` is the sum of t^3 - t over groups of t equal values."""
+    n = n_in + n_out
+    spread = F.sqrt(n_in * n_out / 12 * (n + 1 - (tied if isinstance(tied, Column) else F.lit(tied)) / (n * (n - 1))))
+    return F.when(spread > 0, F.least(F.lit(1.0), 2 * normal_tail(F.abs(u - n_in * n_out / 2) / spread))).otherwise(1.0)
 
-def two_tailed(n_in: Column, n_out: Column, u: Column) -> Column:
-    """Two-tailed probability of U by the normal approximation."""
-    mean = n_in * n_out / 2
-    spread = F.sqrt(n_in * n_out * (n_in + n_out + 1) / 12)
-    return F.least(F.lit(1.0), 2 * normal_tail(F.abs(u - mean) / spread))
+
+def rank_sum_distribution(ties: list[int], n_in: int) -> dict[int, int]:
+    """Of all choices of n_in values, how many have each 2U, given the sizes of the groups of equal values from the least on.
+
+    Group by group: U counts the pairs of a chosen value above one that isn't, equal ones as a half.
+    """
+    from math import comb
+
+    ways = {(0, 0): 1}  # chosen so far, 2U so far
+    seen = 0
+    for t in ties:
+        new: dict[tuple[int, int], int] = {}
+        for (chosen, u), w in ways.items():
+            for k in range(max(0, n_in - chosen - (sum(ties) - seen - t)), min(t, n_in - chosen) + 1):
+                key = chosen + k, u + k * (2 * (seen - chosen) + t - k)
+                new[key] = new.get(key, 0) + w * comb(t, k)
+        ways, seen = new, seen + t
+    return {u: w for (_, u), w in ways.items()}
+
+
+def significance(stats: DataFrame, data: DataFrame) -> DataFrame:
+    """stats (set_name, n_in, n_out, u_in, ...) of rank_sums over data with pval, two-tailed.
+
+    Exact up to EXACT values in all, whether they are tied or not: the probability, over all choices of as many members, of a U at least as far
+    from its mean. Beyond, the normal approximation with the variance that ties leave.
+    """
+    groups = data.filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).cast("double").alias("t"))
+    size, tied = groups.agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.coalesce(F.sum(F.col("t") ** 3 - F.col("t")), F.lit(0.0))).first()
+    if size > EXACT:
+        return stats.withColumn("pval", two_tailed(F.col("n_in").cast("double"), F.col("n_out").cast("double"), F.col("u_in"), tied))
+    ties = [int(r.t) for r in groups.orderBy("value").collect()]  # EXACT at most
+    rows = []
+    for n_in in range(int(size) + 1):
+        ways, mean = rank_sum_distribution(ties, n_in), n_in * (int(size) - n_in)  # of 2U
+        total = sum(ways.values())
+        for u in ways:
+            rows.append((n_in, u, sum(w for v, w in ways.items() if abs(v - mean) >= abs(u - mean)) / total))
+    table = data.sparkSession.createDataFrame(rows, "n_in bigint, twice bigint, pval double")
+    twice = F.round(2 * F.col("u_in")).cast("bigint")
+    return stats.withColumn("twice", twice).join(F.broadcast(table), ["n_in", "twice"]).drop("twice").select(*stats.columns, "pval")
 
 
 def fdr_scan(stats: DataFrame, p_max: float = 0.1, p_min: float = 1e-10, step: float = 2**0.5, most: int = 50) -> DataFrame:
     """set_name, p, q: the least cutoffs p_max, p_max / step, ... at which a set is significant, with the rate of false discoveries.
 
-    stats: set_name, n_in, n_out, u_in. Cutoffs end below p_min, at the first one without any significant set, or after `most`.
+    stats: set_name, n_in, n_out, u_in, or pval of `significance`; without it, the normal approximation without ties. Cutoffs end below p_min, at the first one without any significant set, or after `most`.
     """
     grid = []
     p = p_max
     while p >= p_min and len(grid) < most:
         grid.append(p)
         p /= step
-    tested = stats.withColumn("pval", two_tailed(F.col("n_in"), F.col("n_out"), F.col("u_in")))
+    tested = stats if "pval" in stats.columns else stats.withColumn("pval", two_tailed(F.col("n_in"), F.col("n_out"), F.col("u_in")))
     trials = tested.select(F.explode(F.array(*[F.lit(x) for x in grid])).alias("cut"), "pval").groupBy("cut").agg(
         F.count(F.lit(1)).alias("n_all"), F.sum(F.when(F.col("pval") <= F.col("cut"), 1).otherwise(0)).alias("n_sig")
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from translatome.functions import ordered
 from translatome.functions.statistics import ratio
 
 
@@ -15,14 +18,9 @@ def coverage(reads: DataFrame, keys: list[str] = ["ref"]) -> DataFrame:  # noqa:
     events = reads.select(*keys, F.explode(F.array(
         F.struct(F.col("pos").alias("at"), F.lit(1).alias("step")), F.struct((F.col("pos") + F.col("len")).alias("at"), F.lit(-1).alias("step"))
     )).alias("e"))
-    steps = events.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.step").alias("step"))
-    order = Window.partitionBy(*keys).orderBy("start")
-    return (
-        steps.withColumn("depth", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("end", F.lead("start").over(order))
-        .filter("depth > 0")
-        .select(*keys, "start", "end", "depth")
-    )
+    steps = ordered.blocked(events.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.step").alias("step")), "start")
+    depths = ordered.running(ordered.neighbour(steps, keys, "start", "end"), keys, ["start"], {"depth": ("sum", F.col("step"))})
+    return depths.filter("depth > 0").select(*keys, "start", "end", "depth")
 
 
 def start_end_cover(reads: DataFrame, length: int) -> DataFrame:
@@ -35,8 +33,8 @@ def start_end_cover(reads: DataFrame, length: int) -> DataFrame:
         F.struct((F.col("pos") + F.col("len")).alias("at"), zero.alias("s"), zero.alias("e"), (-F.col("n")).alias("c")),
     )).alias("x"))
     sums = rows.groupBy("ref", F.col("x.at").alias("pos")).agg(F.sum("x.s").alias("n_start"), F.sum("x.e").alias("n_end"), F.sum("x.c").alias("step"))
-    upto = Window.partitionBy("ref").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return sums.withColumn("cover", F.sum("step").over(upto)).filter(F.col("pos") < length).drop("step")
+    cover = ordered.running(ordered.blocked(sums, "pos"), ["ref"], ["pos"], {"cover": ("sum", F.col("step"))})
+    return cover.filter(F.col("pos") < length).drop("step", ordered.BLOCK)
 
 
 def _window_counts() -> list[Column]:
@@ -120,7 +118,8 @@ def peak_type() -> Column:
 def greedy_peaks(cover: DataFrame, least: float, half_width: int = 25) -> DataFrame:
     """ref, peak, height: the highest position above max(1, least), then the next outside of half_width around it, and so on.
 
-    cover: ref, pos, cover. Picking is sequential along a reference; only positions above the threshold are gathered for it.
+    cover: ref, pos, cover. Picking is sequential, but positions more than half_width apart don't touch: what gaps of that width part are
+    clusters of their own, each picked in a task.
     """
     threshold = max(1.0, float(np.ceil(least)))
 
@@ -128,14 +127,18 @@ def greedy_peaks(cover: DataFrame, least: float, half_width: int = 25) -> DataFr
         part = part.sort_values(["cover", "pos"], ascending=[False, True])
         taken: list[int] = []
         rows = []
-        for pos, height in zip(part["pos"], part["cover"], strict=True):
-            if all(abs(pos - t) > half_width for t in taken):
-                taken.append(pos)
-                rows.append((part["ref"].iloc[0], pos, height))
+        for ref, pos, height in zip(part["ref"], part["pos"], part["cover"], strict=True):
+            at = bisect_left(taken, pos)
+            if all(abs(pos - t) > half_width for t in taken[max(0, at - 1) : at + 1]):
+                taken.insert(at, pos)
+                rows.append((ref, pos, height))
         return pd.DataFrame(rows, columns=["ref", "peak", "height"])
 
-    high = cover.filter(F.col("cover") > threshold).select("ref", "pos", "cover")
-    return high.groupBy("ref").applyInPandas(pick, "ref bigint, peak bigint, height bigint")
+    high = ordered.blocked(cover.filter(F.col("cover") > threshold).select("ref", "pos", "cover"), "pos")
+    high = ordered.neighbour(high, ["ref"], "pos", "before", back=True)
+    opens = F.coalesce(F.col("pos") - F.col("before") > half_width, F.lit(True))
+    clusters = ordered.running(high, ["ref"], ["pos"], {"cluster": ("max", F.when(opens, F.col("pos")))})
+    return clusters.select("ref", "cluster", "pos", "cover").groupBy("ref", "cluster").applyInPandas(pick, "ref bigint, peak bigint, height bigint")
 
 
 def peak_edges(counts: DataFrame, peaks: DataFrame, share: float = 0.9, reach: int = 100) -> DataFrame:
@@ -159,6 +162,6 @@ def peak_edges(counts: DataFrame, peaks: DataFrame, share: float = 0.9, reach: i
 
 
 def running_depletion(peaks: DataFrame) -> DataFrame:
-    """Peaks by falling height with the running share of all heights; peaks are few, so one ordered pass is enough."""
-    order = Window.orderBy(F.col("height").desc(), "ref", "peak").rowsBetween(Window.unboundedPreceding, 0)
-    return peaks.withColumn("depleted", F.sum("height").over(order))
+    """Peaks by falling height with the running share of all heights, dealt out by ranges of height."""
+    order = [F.col("height").desc(), F.col("ref"), F.col("peak")]
+    return ordered.running(ordered.ranged(peaks, [], order), [], order, {"depleted": ("sum", F.col("height"))}).drop(ordered.BLOCK)
