@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-from pyspark.ml.classification import LinearSVC, LinearSVCModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.functions import coords, sequences
 from translatome.functions.statistics import l2_normalized, ratio
+from translatome.operators import svm
 
-#: Groups of offsets whose counts make the default features; training positions around a start.
-GROUPS = ((-6,), (-3, -2, -1), (0,), (1,), (2,), (3,), (4,), (5, 6, 7, 8))
+#: Groups of codons whose counts make the default features; training positions around a start.
+CODON_GROUPS = ((-2, -1), (0,), (1,), (2,), (3, 4), (5, 6, 7), (8, 9, 10), (11, 12, 13))
 NEGATIVES = (-6, -3, 3, 9, 18, 30, 60, 90, 120, 150)
 
 
+def bases_of(codons: tuple[tuple[int, ...], ...]) -> tuple[tuple[int, ...], ...]:
+    """Groups of codons as groups of bases: each codon's middle one and its neighbours."""
+    return tuple(tuple(3 * c + k for c in group for k in (-1, 0, 1)) for group in codons)
+
+
+GROUPS = bases_of(CODON_GROUPS)
+
+
 def orf_class(start: Column, cds_start: Column, cds_len: Column, orf_len: Column) -> Column:
     """Category of an ORF at start: orf_len includes the stop codon and is null without one."""
     so = start - cds_start
@@ -160,9 +166,11 @@ def grouped_sums(counts: Column, at: Column, groups: tuple[tuple[int, ...], ...]
     return F.when(inside, F.array(*[s.cast("double") for s in sums]))
 
 
-def start_features(profiles: DataFrame, at: Column, samples: list[str], least_total: int = 50) -> DataFrame:
+def start_features(
+    profiles: DataFrame, at: Column, samples: list[str], least_total: int = 50, groups: tuple[tuple[int, ...], ...] = GROUPS
+) -> DataFrame:
     """Adds features: the samples' grouped sums, concatenated and scaled to unit length; null below least_total or off the profile."""
-    parts = [grouped_sums(F.col(s), at) for s in samples]
+    parts = [grouped_sums(F.col(s), at, groups) for s in samples]
     joined = F.concat(*parts)
     total = F.aggregate(joined, F.lit(0.0), lambda s, x: s + x)
     return profiles.withColumn("features", F.when(total >= least_total, l2_normalized(joined)))
@@ -174,39 +182,9 @@ def training_positions(items: DataFrame) -> DataFrame:
     return items.withColumn("shift", F.explode(shifts)).withColumn("at", F.col("cds_start") + F.col("shift")).withColumn("label", (F.col("shift") == 0).cast("double")).drop("shift")
 
 
-def fourier_features(features: Column, size: int, out: int = 256, gamma: float = 2.4, seed: int = 7) -> Column:
-    """Random Fourier features of the kernel exp(-gamma |x - y|^2), as an array expression over a fixed random matrix."""
-    import numpy as np
-
-    draw = np.random.default_rng(seed)
-    weights = draw.normal(0, (2 * gamma) ** 0.5, (out, size))
-    phases = draw.uniform(0, 2 * np.pi, out)
-    rows = F.lit([[float(x) for x in r] for r in weights])
-    shift = F.lit([float(x) for x in phases])
-    dot = lambda w: F.aggregate(F.zip_with(w, features, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.transform(rows, lambda w, i: F.lit((2 / out) ** 0.5) * F.cos(dot(w) + F.get(shift, i)))
-
-
-def train_caller(examples: DataFrame, groups: int, positive_weight: float = 4.0, out: int = 256):
-    """A linear support vector machine on Fourier features (the RBF kernel's stand-in); examples: features, label."""
-    known = examples.filter("features is not null").withColumn("weight", F.when(F.col("label") > 0, positive_weight).otherwise(1.0))
-    vectors = known.withColumn("vector", array_to_vector(fourier_features(F.col("features"), groups, out)))
-    svm = LinearSVC(featuresCol="vector", labelCol="label", weightCol="weight", regParam=0.001, maxIter=25, tol=1e-4)
-    ready = vectors.select("vector", "label", "weight").persist()  # each iteration reads it
-    try:
-        return svm.fit(ready)
-    finally:
-        ready.unpersist()
-
-
-def call_starts(model, rows: DataFrame, groups: int, out: int = 256) -> DataFrame:
+def call_starts(model: svm.Model, rows: DataFrame) -> DataFrame:
     """Adds score (null without features) and called (score > 0)."""
-    from pyspark.ml.functions import vector_to_array
-
-    known = rows.filter("features is not null").withColumn("vector", array_to_vector(fourier_features(F.col("features"), groups, out)))
-    scored = model.transform(known).withColumn("score", F.get(vector_to_array("rawPrediction"), F.lit(1))).select(*rows.columns, "score")
-    rest = rows.filter("features is null").withColumn("score", F.lit(None).cast("double"))
-    return scored.unionByName(rest).withColumn("called", F.coalesce(F.col("score") > 0, F.lit(False)))
+    return svm.scored(model, rows).withColumn("called", F.coalesce(F.col("score") > 0, F.lit(False)))
 
 
 def every_position(items: DataFrame, length: Column) -> DataFrame:
@@ -245,20 +223,14 @@ def predicted(positions: DataFrame, a: DataFrame | None, b: DataFrame | None) ->
     return out
 
 
-def write_caller(model, samples: list[str], least_total: int, out: int, path: str) -> None:
-    """The trained model and what it was trained with, as a folder of the model and one line of JSON."""
-    spark = SparkSession.active()
-    model.write().overwrite().save(f"{path}/model")
-    config = json.dumps({"samples": samples, "least_total": least_total, "groups": [list(g) for g in GROUPS], "out": out})
-    spark.createDataFrame([(config,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+def write_caller(model: svm.Model, samples: list[str], least_total: int, path: str, groups: tuple[tuple[int, ...], ...] = GROUPS) -> None:
+    """The trained model and what its features were made of, as a folder."""
+    svm.write(model, {"samples": samples, "least_total": least_total, "groups": [list(g) for g in groups]}, path)
 
 
-def read_caller(spark: SparkSession, path: str) -> tuple[LinearSVCModel, dict]:
-    """The model and its configuration; one that was trained on other groups of offsets is an error."""
-    config = json.loads(spark.read.text(f"{path}/config").first().value)
-    if config["groups"] != [list(g) for g in GROUPS]:
-        raise ValueError(f"the model in {path} was trained on other groups of offsets")
-    return LinearSVCModel.load(f"{path}/model"), config
+def read_caller(spark: SparkSession, path: str) -> tuple[svm.Model, dict]:
+    """The model and its configuration: samples, least_total and groups of offsets, as start_features takes them."""
+    return svm.read(spark, path)
 
 
 def pars_windows(items: DataFrame) -> DataFrame:

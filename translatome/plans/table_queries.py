@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from translatome.functions import sequences
 from translatome.functions.statistics import quantiles_type8
-from translatome.operators import barcodes, quantities, starts, windows
+from translatome.operators import barcodes, quantities, starts, svm, windows
 from translatome.plans import views
 from translatome.plans.registry import query
 from translatome.plans.views import DNA, table
@@ -217,30 +217,37 @@ PROFILES = """pr AS (SELECT u.user_id AS trx, g.range AS nt, count(e.event_id) F
  FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN range(0, 60) g LEFT JOIN events e ON e.user_id = u.user_id AND (e.event_id // 7) % 60 = g.range GROUP BY 1, 2)"""
 
 
-def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _profiles(spark: SparkSession, sf_dir: str, size: int = 60) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    nt = F.floor(F.col("event_id") / 7) % 60
+    nt = F.floor(F.col("event_id") / 7) % size
     third = F.col("event_id") % 3 == 0
     counts = e.groupBy(F.col("user_id").alias("trx"), nt.alias("nt")).agg(F.count(F.when(~third, 1)).alias("ltm"), F.count(F.when(third, 1)).alias("chx"))
-    grid = e.select(F.col("user_id").alias("trx")).distinct().withColumn("nt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint"))))
+    grid = e.select(F.col("user_id").alias("trx")).distinct().withColumn("nt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))))
     return grid.join(counts, ["trx", "nt"], "left").na.fill(0, ["ltm", "chx"])
 
 
-def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _arrays(spark: SparkSession, sf_dir: str, size: int = 60) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("nt", "ltm", "chx")))
-    return _profiles(spark, sf_dir).groupBy("trx").agg(rows.alias("r")).select("trx", F.col("r.ltm").alias("ltm"), F.col("r.chx").alias("chx"))
+    return _profiles(spark, sf_dir, size).groupBy("trx").agg(rows.alias("r")).select("trx", F.col("r.ltm").alias("ltm"), F.col("r.chx").alias("chx"))
 
 
-_AT = 20
-_GROUP_SUMS = [(s, " + ".join(f"max(CASE WHEN nt = {_AT + o} THEN {s} END)" for o in g)) for s in ("ltm", "chx") for g in starts.GROUPS]
+#: Profiles of 90 bases for the caller, whose features reach from 7 bases before a start to 40 behind it.
+LONG_PROFILES = PROFILES.replace("range(0, 60)", "range(0, 90)").replace("% 60", "% 90")
 
 
-@query(f"""WITH {PROFILES}, f AS (SELECT trx, [{", ".join(f"({e})::DOUBLE" for _, e in _GROUP_SUMS)}] AS v FROM pr GROUP BY trx),
+@query(f"""WITH {LONG_PROFILES}, f AS (SELECT trx, [
+ sum(ltm) FILTER (nt BETWEEN 13 AND 18), sum(ltm) FILTER (nt BETWEEN 19 AND 21), sum(ltm) FILTER (nt BETWEEN 22 AND 24), sum(ltm) FILTER (nt BETWEEN 25 AND 27),
+ sum(ltm) FILTER (nt BETWEEN 28 AND 33), sum(ltm) FILTER (nt BETWEEN 34 AND 42), sum(ltm) FILTER (nt BETWEEN 43 AND 51), sum(ltm) FILTER (nt BETWEEN 52 AND 60),
+ sum(chx) FILTER (nt BETWEEN 13 AND 18), sum(chx) FILTER (nt BETWEEN 19 AND 21), sum(chx) FILTER (nt BETWEEN 22 AND 24), sum(chx) FILTER (nt BETWEEN 25 AND 27),
+ sum(chx) FILTER (nt BETWEEN 28 AND 33), sum(chx) FILTER (nt BETWEEN 34 AND 42), sum(chx) FILTER (nt BETWEEN 43 AND 51), sum(chx) FILTER (nt BETWEEN 52 AND 60)]::DOUBLE[] AS v
+ FROM pr GROUP BY trx),
 k AS (SELECT trx, v, list_sum(v) AS total, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM f)
-SELECT trx, i.range AS i, round(CASE WHEN total >= 10 THEN CASE WHEN norm > 0 THEN v[i.range + 1] / norm ELSE 0 END END, 9) AS feature FROM k CROSS JOIN range(0, {len(_GROUP_SUMS)}) i""")
+SELECT trx, i.range AS i, round(CASE WHEN total >= 10 THEN CASE WHEN norm > 0 THEN v[i.range + 1] / norm ELSE 0 END END, 9) AS feature FROM k CROSS JOIN range(0, 16) i""")
 def start_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = starts.start_features(_arrays(spark, sf_dir), F.lit(_AT), ["ltm", "chx"], 10)
-    return f.select("trx", F.explode(F.sequence(F.lit(0), F.lit(len(_GROUP_SUMS) - 1))).alias("i"), "features").select("trx", F.col("i").cast("bigint").alias("i"), F.round(F.get("features", F.col("i")), 9).alias("feature"))
+    """Features of a start at base 20: eight groups of codons in each of two samples."""
+    f = starts.start_features(_arrays(spark, sf_dir, 90), F.lit(20), ["ltm", "chx"], 10)
+    each = f.select("trx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("i"), "features")
+    return each.select("trx", "i", F.round(F.get("features", F.col("i")), 9).alias("feature"))
 
 
 LTM = f"""{PROFILES}, tot AS (SELECT trx, sum(ltm) AS lt, sum(chx) AS ct FROM pr GROUP BY 1),
@@ -272,22 +279,21 @@ def peak_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def start_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trained model has no SQL; tested on planted starts."""
-    rows = _arrays(spark, sf_dir).withColumn("cds_start", F.lit(20))
+    rows = _arrays(spark, sf_dir, 90).withColumn("cds_start", F.lit(20))
     examples = starts.start_features(starts.training_positions(rows), F.col("at"), ["ltm", "chx"], 10)
-    model = starts.train_caller(examples, 2 * len(starts.GROUPS), out=64)
-    return starts.call_starts(model, examples, 2 * len(starts.GROUPS), out=64).select("trx", "at", "label", F.round("score", 3).alias("score"), "called")
+    called = starts.call_starts(svm.train(examples), examples)
+    return called.select("trx", "at", "label", F.round("score", 3).alias("score"), "called")
 
 
 def _caller(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Profiles, and the training positions called by a model that was written and read again."""
-    rows = _arrays(spark, sf_dir).withColumn("cds_start", F.lit(20))
+    rows = _arrays(spark, sf_dir, 90).withColumn("cds_start", F.lit(20))
     examples = starts.start_features(starts.training_positions(rows), F.col("at"), ["ltm", "chx"], 10)
-    folder, groups = folders.fresh(spark, "caller"), 2 * len(starts.GROUPS)
-    starts.write_caller(starts.train_caller(examples, groups, out=64), ["ltm", "chx"], 10, 64, folder)
+    folder = folders.fresh(spark, "caller")
+    starts.write_caller(svm.train(examples), ["ltm", "chx"], 10, folder)
     model, config = starts.read_caller(spark, folder)
-    every = starts.start_features(starts.every_position(rows, F.size("ltm")), F.col("at"), config["samples"], config["least_total"])
-    call = lambda r: starts.call_starts(model, r, len(config["samples"]) * len(config["groups"]), config["out"])
-    return call(every), call(examples)
+    every = starts.start_features(starts.every_position(rows, F.size("ltm")), F.col("at"), config["samples"], config["least_total"], config["groups"])
+    return starts.call_starts(model, every), starts.call_starts(model, examples)
 
 
 @query(None)
