@@ -200,6 +200,26 @@ def test_enrichment(spark):
     assert (row.ltm_sum, row.expected, row.is_start) == (10, 4.0, True)
 
 
+def test_spans_of_all_sizes(spark):
+    """Pairs across levels, each once; few rows for each span, however long it is."""
+    draw = random.Random(8)
+    spans = lambda n: [(i, draw.choice("xy"), a, a + draw.choice([0, 1, 30, 5000, 70_000, 2_000_000, 300_000_000])) for i in range(n) for a in [draw.randrange(3_000_000)]]
+    rows, others = spans(60), spans(50) + [(99, None, 0, 10), (98, "x", None, 5)]
+    left, right = spark.createDataFrame(rows, "i int, k string, s bigint, e bigint"), spark.createDataFrame(others, "j int, k string, t bigint, f bigint")
+    want = sorted((i, j) for i, k, s, e in rows for j, m, t, f in others if k == m and t is not None and s < f and t < e)
+    for long_left in (False, True):
+        got = intervals.overlap_join(left, right.filter("j < 20 or j > 90 or f - t < 100") if not long_left else right, ["k"], ("s", "e"), ("t", "f"), 100, long_left=long_left)
+        few = {j for j, _, t, f in others if j < 20 or j > 90 or f - t < 100}
+        assert sorted((r.i, r.j) for r in got.collect()) == [p for p in want if long_left or p[1] in few]
+    dealt = intervals._dealt(right.filter("t IS NOT NULL"), "t", "f", 1000, [0, 1, 2, 3], "b").groupBy("j").count()
+    assert max(r["count"] for r in dealt.collect()) <= (intervals.STEP + 1) * 2
+    clear = {i for i, *_ in rows} - {i for i, _ in want}
+    assert {r.i for r in intervals.without_overlap(left, right, ["k"], ("s", "e"), ("t", "f")).collect()} == clear
+    first = intervals.first_offenders(left, right, ["k"], ("s", "e"), ("t", "f"), ["t", "j"]).collect()
+    start = {j: t for j, _, t, _ in others}
+    assert {r.i: r.offender.j for r in first} == {i: min((start[j], j) for k, j in want if k == i)[1] for i in {i for i, _ in want}}
+
+
 def test_start_caller_finds_planted_starts(spark):
     draw = random.Random(1)
     rows = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from translatome.functions import coords
 from translatome.operators.asites import with_extent
-from translatome.operators.intervals import without_overlap
+from translatome.operators.intervals import first_offenders, without_overlap
 
 
 def _sub(transcripts: DataFrame, start, length, keep) -> DataFrame:
@@ -62,3 +62,11 @@ def clear_introns(transcripts: DataFrame) -> DataFrame:
 
 def extent(features: DataFrame) -> DataFrame:
     return with_extent(features, "blocks", "start", "end")
+
+
+def intron_offenders(transcripts: DataFrame) -> DataFrame:
+    """The introns that clear_introns leaves out, each with the first block that overlaps it: by transcript, then by place."""
+    blocks = transcripts.withColumn("o", F.explode("blocks"))
+    targets = blocks.select("ref", F.col("trx_id").alias("other"), F.col("o.start").alias("os"), (F.col("o.start") + F.col("o.len")).alias("oe"))
+    found = first_offenders(intron_features(transcripts), targets, ["ref"], ("start", "end"), ("os", "oe"), ["other", "os"])
+    return found.select("trx_id", "ref", "number", F.col("offender.other").alias("other"), F.col("offender.os").alias("other_start"))

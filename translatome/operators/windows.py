@@ -63,7 +63,7 @@ def reference_windows(reads: DataFrame, sequences: DataFrame, size: int, step: i
     first = F.greatest(F.floor((F.col("pos") - size) / step) + 1, F.lit(0))
     dealt = reads.filter("pos >= 0").select("ref", "pos", "nh", "nm", F.explode(F.sequence(first, F.floor(F.col("pos") / step))).alias("w"))
     counts = (
-        dealt.join(F.broadcast(sequences), "ref")
+        dealt.join(sequences, "ref")
         .filter(F.col("pos") < F.col("length"))
         .groupBy("ref", (F.col("w") * step).alias("win_start"))
         .agg(*_window_counts())

@@ -9,7 +9,7 @@ from translatome.functions import coords
 from translatome.operators import duplicates
 from translatome.plans import views
 from translatome.plans.registry import query
-from translatome.plans.table_queries import EVENT_TYPES, WHOLE_QUANTS, quant_table_whole
+from translatome.plans.table_queries import EVENT_TYPES, QUANTS, quant_table
 from translatome.plans.views import DNA, READS, TRX, table
 from translatome.sources import alignments, annotations, folders, reads, tables
 
@@ -125,21 +125,21 @@ def wig_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query(f"""WITH {WHOLE_QUANTS} SELECT gene::VARCHAR AS gene, CAST(100 AS BIGINT) AS size, sample, n AS count FROM quants""")
+@query(f"""WITH {QUANTS} SELECT gene::VARCHAR AS gene, CAST(100 AS BIGINT) AS size, sample, n AS count FROM quants""")
 def quant_matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = folders.fresh(spark, "quants")
-    tables.write_quant_matrix(quant_table_whole(spark, sf_dir).select("gene", F.lit(100).alias("size"), *EVENT_TYPES), folder)
+    tables.write_quant_matrix(quant_table(spark, sf_dir).select("gene", F.lit(100).alias("size"), *EVENT_TYPES), folder)
     return tables.read_quant_matrix(spark, folder)
 
 
-@query("""SELECT user_id::VARCHAR AS gene, CAST(100 AS BIGINT) AS size, count(*) AS count, event_type AS sample FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 4""")
+@query("""SELECT user_id::VARCHAR AS gene, CAST(100 AS BIGINT) AS size, count(*) AS count, event_type AS sample FROM events GROUP BY 1, 4""")
 def quant_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file of quantities for each of two samples."""
-    folder, kept = folders.fresh(spark, "quant"), ("click", "view")
+    """One file of quantities for each sample."""
+    folder = folders.fresh(spark, "quant")
     counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    for sample in kept:
+    for sample in EVENT_TYPES:
         counts.filter(F.col("event_type") == sample).select("user_id", F.lit(100), "n").write.csv(f"{folder}/{sample}", sep="\t")
-    return tables.read_quants(spark, {s: f"{folder}/{s}" for s in kept})
+    return tables.read_quants(spark, {s: f"{folder}/{s}" for s in EVENT_TYPES})
 
 
 @query(f"""WITH {TRX} SELECT trx_id::VARCHAR AS trx_id, CASE WHEN trx_id % 3 = 0 THEN (gene_id + 1000000)::VARCHAR ELSE gene_id::VARCHAR END AS gene_id FROM trx WHERE trx_id % 3 <> 1""")

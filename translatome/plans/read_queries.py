@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from translatome.functions import coords
 from translatome.operators import asites, duplicates, features, framing, lengths, windows
 from translatome.plans import views
-from translatome.plans.registry import query
+from translatome.plans.registry import also, query
 from translatome.plans.views import ASITES, READS, TRX, placed
 
-#: Length of every reference in the views, and reads with a mismatch count.
-REF_LENGTH = 12000
-#: A length that holds all reads of the views.
-WHOLE_LENGTH = 60000
+#: A length of references that holds all reads of the views.
+REF_LENGTH = 60000
 HITS = f"""WITH {READS}, {TRX}, {ASITES}, {placed(100)},
 hits AS (SELECT p.*, p.lo + a.delta AS off FROM placed p JOIN asites a ON p.len = a.read_len WHERE p.lo + a.delta >= 0 AND p.lo + a.delta < p.total)"""
 IN_CDS = "cds_start IS NOT NULL AND floor((off - cds_start + 1) / 3.0) >= 15 AND floor((off - cds_start + 1) / 3.0) < (cds_len + 1) // 3 - 5"
@@ -287,19 +285,19 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.totals(dedup_sites(spark, sf_dir))
 
 
-def _window_sql(step: int, length: int = REF_LENGTH) -> str:
-    return f"""WITH {READS}, grid AS (SELECT r.range AS ref, w.range * {step} AS win_start, least({length}, w.range * {step} + 1000) AS win_end
- FROM range(0, 50) r CROSS JOIN range(0, {2 + (length - 1000) // step}) w),
+def _window_sql(step: int, least: int = 0) -> str:
+    return f"""WITH {READS}, grid AS (SELECT r.range AS ref, w.range * {step} AS win_start, least({REF_LENGTH}, w.range * {step} + 1000) AS win_end
+ FROM range(0, 50) r CROSS JOIN range(0, {2 + (REF_LENGTH - 1000) // step}) w),
 c AS (SELECT g.ref, g.win_start, g.win_end, count(x.pos) AS raw, count(CASE WHEN x.nh = 1 THEN 1 END) AS uniq, count(CASE WHEN x.read_ord % 4 = 0 THEN 1 END) AS perf,
  round(coalesce(sum(1.0::DOUBLE / x.nh), 0), 6) AS scaled FROM grid g LEFT JOIN reads x ON x.ref = g.ref AND x.pos >= g.win_start AND x.pos < g.win_end GROUP BY 1, 2, 3)
 SELECT CAST(ref AS BIGINT) AS ref, CAST(win_start AS BIGINT) AS win_start, CAST(win_end AS BIGINT) AS win_end, raw, uniq, perf, scaled,
- round(uniq::DOUBLE / nullif(raw, 0), 6) AS uniq_ratio, round(perf::DOUBLE / nullif(raw, 0), 6) AS perf_ratio FROM c"""
+ round(uniq::DOUBLE / nullif(raw, 0), 6) AS uniq_ratio, round(perf::DOUBLE / nullif(raw, 0), 6) AS perf_ratio FROM c WHERE raw >= {least}"""
 
 
-def _windows(spark: SparkSession, sf_dir: str, step: int, length: int = REF_LENGTH) -> DataFrame:
+def _windows(spark: SparkSession, sf_dir: str, step: int, least: int = 0) -> DataFrame:
     reads = views.reads(spark, sf_dir).withColumn("nm", F.col("read_ord") % 4)
-    refs = spark.range(50).select(F.col("id").alias("ref"), F.lit(length).cast("bigint").alias("length"))
-    w = windows.reference_windows(reads, refs, 1000, step).drop("scaled_ratio")
+    refs = spark.range(50).select(F.col("id").alias("ref"), F.lit(REF_LENGTH).cast("bigint").alias("length"))
+    w = windows.reference_windows(reads, refs, 1000, step, least).drop("scaled_ratio")
     return w.select(*[F.round(c, 6).alias(c) if c in ("scaled", "uniq_ratio", "perf_ratio") else c for c in w.columns])
 
 
@@ -313,14 +311,13 @@ def window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir, 250)
 
 
-@query(_window_sql(1000, WHOLE_LENGTH))
-def window_tumbling_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(spark, sf_dir, 1000, WHOLE_LENGTH)
+also("window_tumbling", "window_sliding")
 
 
-@query(_window_sql(250, WHOLE_LENGTH))
-def window_sliding_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(spark, sf_dir, 250, WHOLE_LENGTH)
+@query(_window_sql(1000, 8))
+def window_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with 8 reads or more."""
+    return _windows(spark, sf_dir, 1000, 8)
 
 
 @query(f"""WITH {READS}, {TRX}, {placed(100)}, grid AS (SELECT trx_id, w.range * 100 AS win_start FROM trx CROSS JOIN range(0, 9) w WHERE w.range <= total // 100)
@@ -428,6 +425,13 @@ def clear_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.clear_introns(views.transcripts(spark, sf_dir))
 
 
+@query(f"""WITH {TRX}, b AS (SELECT trx_id AS other, ref, s0 AS os, s0 + l0 AS oe FROM trx UNION ALL SELECT trx_id, ref, s1, s1 + l1 FROM trx),
+p AS (SELECT t.trx_id, t.ref, b.other, b.os, row_number() OVER (PARTITION BY t.trx_id ORDER BY b.other, b.os) AS k FROM trx t JOIN b ON b.ref = t.ref AND t.s0 + t.l0 < b.oe AND b.os < t.s1)
+SELECT trx_id, ref, CAST(1 AS BIGINT) AS number, other, CAST(os AS BIGINT) AS other_start FROM p WHERE k = 1""")
+def intron_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.intron_offenders(views.transcripts(spark, sf_dir))
+
+
 @query(f"""WITH u AS ({_feature_sql("0", "cds_start - 3", "f_len > 0")}), d AS ({_feature_sql("cds_start", "cds_len")}), {TRX},
 db AS (SELECT d.ref, d."start" AS s, least(d."end", t.s0 + t.l0) AS e FROM d JOIN trx t ON t.trx_id = d.trx_id WHERE d."start" < t.s0 + t.l0
  UNION SELECT d.ref, greatest(d."start", t.s1), d."end" FROM d JOIN trx t ON t.trx_id = d.trx_id WHERE d."end" > t.s1)

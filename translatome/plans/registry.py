@@ -19,3 +19,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return keep
+
+
+def also(*names: str) -> None:
+    """Each query under its name with _whole too, as it was called while the plain name left rows out."""
+    for name in names:
+        QUERIES[f"{name}_whole"], SQL[f"{name}_whole"] = QUERIES[name], SQL[name]

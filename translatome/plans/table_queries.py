@@ -9,7 +9,7 @@ from translatome.functions import sequences
 from translatome.functions.statistics import quantiles_type8
 from translatome.operators import barcodes, quantities, starts, svm, windows
 from translatome.plans import views
-from translatome.plans.registry import query
+from translatome.plans.registry import also, query
 from translatome.plans.views import DNA, table
 from translatome.sources import folders
 
@@ -43,13 +43,13 @@ def iqr_type8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUANTS = """quants AS (SELECT g.gene, s.sample, count(e.event_id) AS n FROM (SELECT DISTINCT user_id AS gene FROM events) g
- CROSS JOIN (SELECT DISTINCT event_type AS sample FROM events) s LEFT JOIN events e ON e.user_id = g.gene AND e.event_type = s.sample AND e.event_id % 3 <> 0 GROUP BY 1, 2)"""
+ CROSS JOIN (SELECT DISTINCT event_type AS sample FROM events) s LEFT JOIN events e ON e.user_id = g.gene AND e.event_type = s.sample GROUP BY 1, 2)"""
 
 
-def _quants(spark: SparkSession, sf_dir: str, rows: str = "event_id % 3 <> 0") -> DataFrame:
+def _quants(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     grid = e.select(F.col("user_id").alias("gene")).distinct().crossJoin(F.broadcast(e.select(F.col("event_type").alias("sample")).distinct()))
-    counts = e.filter(rows).groupBy(F.col("user_id").alias("gene"), F.col("event_type").alias("sample")).agg(F.count(F.lit(1)).alias("count"))
+    counts = e.groupBy(F.col("user_id").alias("gene"), F.col("event_type").alias("sample")).agg(F.count(F.lit(1)).alias("count"))
     return grid.join(counts, ["gene", "sample"], "left").na.fill(0, ["count"])
 
 
@@ -70,26 +70,7 @@ def uq_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("sample", F.round("q3", 6).alias("q3"), F.round("norm", 4).alias("norm"), F.round("factor", 4).alias("factor"))
 
 
-#: The same over all events.
-WHOLE_QUANTS = """quants AS (SELECT g.gene, s.sample, count(e.event_id) AS n FROM (SELECT DISTINCT user_id AS gene FROM events) g
- CROSS JOIN (SELECT DISTINCT event_type AS sample FROM events) s LEFT JOIN events e ON e.user_id = g.gene AND e.event_type = s.sample GROUP BY 1, 2)"""
-
-
-@query(f"WITH {WHOLE_QUANTS} SELECT gene, {_SUMS} FROM quants GROUP BY gene")
-def quant_table_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantities.quant_matrix(_quants(spark, sf_dir, "true"), list(EVENT_TYPES))
-
-
-@query(f"""WITH {WHOLE_QUANTS}, kept AS (SELECT * FROM quants WHERE gene IN (SELECT gene FROM quants GROUP BY gene HAVING max(n) > 0)),
-r AS (SELECT sample, n AS v, row_number() OVER (PARTITION BY sample ORDER BY n) AS k, count(*) OVER (PARTITION BY sample) AS n FROM kept),
-q AS (SELECT sample, {q8('r', '', 'v', 0.75)} AS q3 FROM r GROUP BY 1), m AS (SELECT sample, q3, q3 * (SELECT sum(n) FROM quants) / (SELECT sum(q3) FROM q) AS norm FROM q)
-SELECT sample, round(q3, 6) AS q3, round(norm, 4) AS norm, round(1e6 / norm, 4) AS factor FROM m""")
-def uq_norm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = quantities.upper_quartile_norm(_quants(spark, sf_dir, "true"))
-    return n.select("sample", F.round("q3", 6).alias("q3"), F.round("norm", 4).alias("norm"), F.round("factor", 4).alias("factor"))
-
-
-PAUSES = f"""prof0 AS (SELECT l_suppkey AS gene, CAST(l_partkey % 60 AS BIGINT) AS idx, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem WHERE l_linenumber < 3 GROUP BY 1, 2),
+PAUSES = f"""prof0 AS (SELECT l_suppkey AS gene, CAST(l_partkey % 60 AS BIGINT) AS idx, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2),
 prof AS (SELECT g.gene, i.range AS idx, coalesce(p.n, 0) AS n, 60 AS len FROM (SELECT DISTINCT gene FROM prof0) g CROSS JOIN range(0, 60) i
  LEFT JOIN prof0 p ON p.gene = g.gene AND p.idx = i.range),
 inner0 AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY n) AS k, count(*) OVER (PARTITION BY gene) AS size FROM prof WHERE idx >= 15 AND idx < len - 5),
@@ -98,8 +79,8 @@ st AS (SELECT gene, sum((n0 = 0)::INT) AS zeros, max(size) AS size, {q8('', '',
  FROM (SELECT gene, n AS n0, k, size FROM inner0) GROUP BY gene)"""
 
 
-def _pause_profile(spark: SparkSession, sf_dir: str, lines: str = "l_linenumber < 3") -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter(lines)
+def _pause_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
     rows = li.groupBy(F.col("l_suppkey").alias("gene"), (F.col("l_partkey") % 60).alias("idx")).agg(F.sum("l_quantity").cast("bigint").alias("n"))
     grid = rows.select("gene").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint"))))
     return grid.join(rows, ["gene", "idx"], "left").na.fill(0, ["n"]).withColumn("len", F.lit(60).cast("bigint"))
@@ -124,27 +105,7 @@ def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_median", F.round("over_median", 6))
 
 
-#: The same over all line items.
-WHOLE_PAUSES = PAUSES.replace(" WHERE l_linenumber < 3", "")
-
-
-@query(f"""WITH {WHOLE_PAUSES}, pz AS (SELECT p.gene, count(*) AS pauses FROM prof p JOIN st ON st.gene = p.gene WHERE p.idx >= 5 AND p.idx < 58 AND p.n >= 1.5 * st.median GROUP BY 1),
-c AS (SELECT st.*, coalesce(pz.pauses, 0) AS np, CASE WHEN zeros * 2 > size THEN 'zeros' WHEN median < 3 - 1e-6 THEN 'low' WHEN iqr > 3 * median THEN 'spread' ELSE 'ok' END AS class
- FROM st LEFT JOIN pz ON pz.gene = st.gene)
-SELECT gene, class, round(CASE WHEN class <> 'zeros' THEN median END, 6) AS median, round(CASE WHEN class IN ('spread', 'ok') THEN iqr END, 6) AS iqr,
- CASE WHEN class = 'ok' THEN np END AS pauses FROM c""")
-def pause_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = quantities.pause_statistics(_pause_profile(spark, sf_dir, "true"), least_pause=1.5)
-    return s.select("gene", "class", F.round("median", 6).alias("median"), F.round("iqr", 6).alias("iqr"), "pauses")
-
-
-@query(f"""WITH {WHOLE_PAUSES} SELECT p.gene, p.idx, 59 - p.idx AS to_stop, p.n, round(p.n / nullif(st.median, 0), 6) AS over_median FROM prof p JOIN st ON st.gene = p.gene
- WHERE p.idx >= 5 AND p.idx < 58 AND p.n >= 1.5 * st.median""")
-def pauses_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = _pause_profile(spark, sf_dir, "true")
-    inner = profile.filter((F.col("idx") >= 15) & (F.col("idx") < F.col("len") - 5))
-    rows = quantities.pause_rows(profile, quantiles_type8(inner, ["gene"], "n", {"median": 0.5}), 1.5)
-    return rows.withColumn("over_median", F.round("over_median", 6))
+also("quant_table", "uq_norm", "pause_stats", "pauses")
 
 
 SETS = """data AS (SELECT c_custkey AS key, c_acctbal AS value FROM customer),
