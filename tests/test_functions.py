@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from translatome.functions import coords, sequences, statistics
-from translatome.operators import barcodes, duplicates, intervals, lengths, starts, svm, windows
+from translatome.operators import asites, barcodes, duplicates, intervals, lengths, reports, starts, svm, windows
 
 
 def one(spark, column):
@@ -190,6 +190,34 @@ def test_nearest_barcode_as_all_pairs(spark):
         assert got == want
 
 
+def test_nearest_by_place(spark):
+    rows = [("z", "ACGT", 0), ("y", "ACGA", 1), ("a", "ACGC", 2), ("q", "TTTT", 3), ("p", "TTTT", 4), ("b", "TTTT", 5)]
+    got = {r.name: (r.nearest, r.distance) for r in barcodes.nearest(spark.createDataFrame(rows, "name string, seq string, place int"), "place").collect()}
+    assert got == {"z": ("y", 1), "y": ("z", 1), "a": ("z", 1), "q": ("p", 0), "p": ("q", 0), "b": ("q", 0)}
+
+
+def test_gate_of_ribosomal_reads(spark):
+    rows = [(1, 5, 30, "+"), (1, 5, 30, "-"), (1, None, 30, "+"), (1, 5, None, "+"), (1, 5, 30, None), (None, 1, 9, "+")]
+    df = spark.createDataFrame(rows, "ref int, pos int, len int, strand string")
+    assert {r.ref: tuple(r)[1:] for r in reports.gate_counts(df).collect()} == {1: (5, 1, 4), None: (1, 1, 0)}
+    assert sorted(map(tuple, reports.forward_counts(df).collect()), key=str) == [(1, 5, 30, 1), (None, 1, 9, 1)]
+
+
+def test_samples_side_by_side(spark):
+    """Two samples with A-sites of their own, as dense arrays that features are made of."""
+    block = [(100, 90)]
+    trx = spark.createDataFrame([(1, 1, "c", "+", block, 30, 30), (2, 2, "d", "+", [(0, 5)], None, None)], "trx_id int, gene_id int, ref string, strand string, blocks array<struct<start:bigint,len:bigint>>, cds_start bigint, cds_len bigint")
+    rows = [("c", 110, 28, "+", [(110, 28)], "x")] * 3 + [("c", 110, 28, "+", [(110, 28)], "y"), ("c", 110, 28, "+", [(110, 28)], "other"), ("c", 110, 29, "+", [(110, 29)], "y")]
+    reads = spark.createDataFrame(rows, "ref string, pos bigint, len bigint, strand string, blocks array<struct<start:bigint,len:bigint>>, sample string")
+    sites = spark.createDataFrame([("x", 28, 15), ("y", 28, 12), ("other", 28, 1)], "sample string, read_len bigint, delta bigint")
+    p = asites.sample_profiles(reads, trx, sites, ["y", "x"])
+    assert sorted(map(tuple, p.collect())) == [(1, 22, [1, 0], 1), (1, 25, [0, 3], 3)]
+    v = {r.trx_id: r for r in asites.sample_vectors(p, trx, ["y", "x"]).collect()}
+    assert v[1].x == [3 if i == 25 else 0 for i in range(90)] and v[1].y == [int(i == 22) for i in range(90)] and v[2].x == [0] * 5
+    f = starts.start_features(asites.sample_vectors(p, trx, ["y", "x"]).filter("trx_id = 1"), F.lit(24), ["x", "y"], 1).first().features
+    assert f == pytest.approx([0, 3 / 10**0.5] + [0] * 6 + [1 / 10**0.5] + [0] * 7)
+
+
 def test_enrichment(spark):
     ltm, chx = [0] * 20, [0] * 20
     ltm[7], ltm[15], chx[8], chx[18] = 10, 90, 2, 48

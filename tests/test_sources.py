@@ -178,3 +178,41 @@ def test_wig_pair(spark, tmp_path):
     annotations.write_wig_pair(track, str(tmp_path / "w"), 2.0)
     both = [sorted(map(tuple, annotations.read_wig(spark, str(tmp_path / f"w_{s}.wig")).collect())) for s in ("fwd", "rev")]
     assert both == [[("c1", 4, 4.0), ("c2", 0, 6.0)], [("c1", 1, 2.0)]]
+
+
+def test_split_fastq_is_finished_by_its_settings(spark, tmp_path):
+    columns = "name string, seq string, qual string, fate string, new_name string, insert string, insert_qual string"
+    rows = [
+        ("a", "ACGT", "IIII", "s/1", "a#A x", "CG", "II"), ("b", "AC", "II", "TooShort", None, None, None), ("c", "GGTT", "!!!!", "UnknownIndex", "c#G", "GT", "!!"),
+        ("d", "TTTT", "@@@@", "s/1", "d#T", "TT", "@@"),
+    ]
+    out, settings = f"file://{tmp_path}/split", {"prefix": "NI", "least_insert": 3, "sheet": "x\ty"}
+    reads.write_split_fastq(spark.createDataFrame(rows, columns), out, settings)
+    got, kept = reads.read_split_fastq(spark, out)
+    assert kept == settings
+    want = [("a#A x", "CG", "II", "s/1"), ("b", "AC", "II", "TooShort"), ("c#G", "GT", "!!", "UnknownIndex"), ("d#T", "TT", "@@", "s/1")]
+    assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(Exception, match="exist"):
+        reads.write_split_fastq(spark.createDataFrame(rows, columns), out, settings)
+    import shutil
+
+    shutil.move(tmp_path / "split" / "config.txt", tmp_path / "elsewhere")
+    with pytest.raises(ValueError, match="not finished"):
+        reads.read_split_fastq(spark, out)
+
+
+def test_site_histogram_in_order(spark, tmp_path):
+    rows = [(t, u, 1 + (t * u) % 5) for t in range(1, 40) for u in range(1, t + 1)]
+    sites = spark.createDataFrame(rows[::-1], "total bigint, unique bigint, n_sites bigint").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_site_histogram(sites, f"file://{tmp_path}/h")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "h").glob("part-*"))
+    assert len(parts) > 1 and [tuple(map(int, x.split("\t"))) for p in parts for x in p.read_text().splitlines()] == rows
+
+
+def test_unknown_pars_feature(spark, tmp_path):
+    with pytest.raises(Exception, match="unknown feature type: exon"):
+        tables.read_pars_features(spark, put(tmp_path, "pf", "g\tCDS\t3\t9\ng\texon\t0\t20\n")).collect()

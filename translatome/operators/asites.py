@@ -78,14 +78,17 @@ def with_asite(pairs: DataFrame, asites: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).withColumn("off", F.when(F.col("status") == "ReadASite", site)).drop("delta")
 
 
-def sites(reads: DataFrame, transcripts: DataFrame, asites: DataFrame, reverse: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Reads with their A-site in a transcript, at off; n of them are alike in place, length and the columns of keep.
+def sites(
+    reads: DataFrame, transcripts: DataFrame, asites: DataFrame, reverse: bool = False, keep: tuple[str, ...] = (), per: tuple[str, ...] = ()
+) -> DataFrame:
+    """Reads with their A-site in a transcript, at off; n of them are alike in place, length and the columns of keep and per.
 
     Reads of lengths without an A-site never reach the join, and equal ones reach it once. reverse: reads are of the strand opposite to
-    their transcript's.
+    their transcript's. per: columns by which the A-sites differ besides the length, such as the sample.
     """
     r = reads.withColumn("strand", coords.flipped(F.col("strand"))) if reverse else reads
-    known = r.join(F.broadcast(asites), F.col("len") == F.col("read_len"))
+    known = r.join(F.broadcast(asites.withColumnRenamed("read_len", "len")), ["len", *per])
+    keep = (*per, *keep)
     alike = known.groupBy("ref", "strand", "blocks", "len", "delta", *keep).agg(F.count(F.lit(1)).alias("n"))
     off = F.col("lo") + F.col("delta")
     return placed(alike, transcripts).withColumn("off", off).filter((F.col("off") >= 0) & (F.col("off") < F.col("trx_len")))
@@ -135,6 +138,30 @@ def profile(reads: DataFrame, transcripts: DataFrame, asites: DataFrame, by_leng
     return sites(reads, transcripts, asites, reverse).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def sample_profiles(reads: DataFrame, transcripts: DataFrame, asites: DataFrame, samples: list[str]) -> DataFrame:
+    """A-sites of each transcript base in several samples: trx_id, nt, counts (an array in the order of samples) and total.
+
+    reads have a sample, asites (sample, read_len, delta) are each sample's own. All samples go through one join with the transcripts and one
+    aggregation, whatever their number; other samples than those named are left out.
+    """
+    named = reads.filter(F.col("sample").isin(samples))
+    found = sites(named, transcripts, asites, per=("sample",)).groupBy("trx_id", F.col("off").alias("nt"), "sample").agg(F.sum("n").alias("n"))
+    counts = [F.coalesce(F.sum(F.when(F.col("sample") == s, F.col("n"))), F.lit(0)) for s in samples]
+    return found.groupBy("trx_id", "nt").agg(F.array(*counts).alias("counts"), F.sum("n").alias("total"))
+
+
+def sample_vectors(profiles: DataFrame, transcripts: DataFrame, samples: list[str]) -> DataFrame:
+    """trx_id and one dense array of counts for each sample, as long as the transcript, zeros included (as start_features takes them).
+
+    A transcript's arrays are built from its covered bases: profiles of sample_profiles.
+    """
+    rows = profiles.groupBy("trx_id").agg(F.map_from_entries(F.collect_list(F.struct("nt", "counts"))).alias("at"))
+    whole = transcripts.select("trx_id", F.sequence(F.lit(0).cast("bigint"), coords.blocks_length(F.col("blocks")) - 1).alias("nts")).join(rows, "trx_id", "left")
+    zero = F.lit(0).cast("bigint")
+    of = lambda k: F.transform("nts", lambda nt: F.coalesce(F.get(F.try_element_at("at", nt), F.lit(k)), zero))
+    return whole.select("trx_id", *(of(k).alias(s) for k, s in enumerate(samples)))
+
+
 def dense(profile_rows: DataFrame, transcripts: DataFrame) -> DataFrame:
     """One row for each base of each transcript, zeros included."""
     grid = transcripts.select("trx_id", F.explode(F.sequence(F.lit(0).cast("bigint"), coords.blocks_length(F.col("blocks")) - 1)).alias("nt"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.functions import sequences
@@ -31,15 +31,17 @@ def _close(some: DataFrame, every: DataFrame, most: int, least: int) -> DataFram
     return left.join(right, "piece").filter("seq_a != seq_b").select("seq_a", "seq_b", "first_b")
 
 
-def nearest(barcodes: DataFrame) -> DataFrame:
-    """For each barcode (name, seq; distinct names, case ignored, null sequences left out) the other one at the least distance, the first by name on ties.
+def nearest(barcodes: DataFrame, order: str = "name") -> DataFrame:
+    """For each barcode (name, seq; distinct names, case ignored, null sequences left out) the other one at the least distance.
+
+    On ties the first by `order`: the name, or a column with the place in the input, say.
 
     Equal sequences are found by grouping. For the others, pairs of distinct sequences that share one of 2, 4, 8, ... pieces are
     compared until each has a neighbour; what shares no letter in place with any other (no two of those start with the same
     letter, so they are no more than the alphabet) is compared with all.
     """
-    named = barcodes.filter("seq is not null").select("name", F.upper("seq").alias("seq"))
-    groups = named.groupBy("seq").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = barcodes.filter("seq is not null").select(F.struct(F.col(order).alias("at"), "name").alias("own"), F.upper("seq").alias("seq"))
+    groups = named.groupBy("seq").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n"))
     least = groups.agg(F.min(F.length("seq")).alias("least")).first().least or 0
     left, found = groups.filter("n = 1").select("seq"), None
 
@@ -57,19 +59,24 @@ def nearest(barcodes: DataFrame) -> DataFrame:
     rest = F.broadcast(left.withColumnRenamed("seq", "seq_a")) if least else left.withColumnRenamed("seq", "seq_a")
     own = best(groups.select(F.col("seq").alias("seq_b"), F.col("first").alias("first_b")).join(rest, F.col("seq_a") != F.col("seq_b")), None)
     single = own if found is None else found.unionByName(own)
-    order = Window.partitionBy("seq").orderBy("name")
-    second = named.withColumn("k", F.row_number().over(order)).filter("k = 2").select("seq", F.col("name").alias("second"))
-    several = groups.filter("n > 1").select("seq", "first").join(second, "seq")
-    equal = named.join(several, "seq").select("name", F.when(F.col("name") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("nearest"), F.lit(0).cast("bigint").alias("distance"))
-    other = named.join(single, "seq").select("name", F.col("best.nearest").alias("nearest"), F.col("best.distance").alias("distance"))
+    several = groups.filter("n > 1").select("seq", "first")
+    second = named.join(several, "seq").filter("own != first").groupBy("seq", "first").agg(F.min("own").alias("second"))
+    other_one = F.when(F.col("own") == F.col("first"), F.col("second.name")).otherwise(F.col("first.name"))
+    equal = named.join(second, "seq").select(F.col("own.name").alias("name"), other_one.alias("nearest"), F.lit(0).cast("bigint").alias("distance"))
+    other = named.join(single, "seq").select(F.col("own.name").alias("name"), F.col("best.nearest.name").alias("nearest"), F.col("best.distance").alias("distance"))
     return equal.unionByName(other)
 
 
 def generated(spark: SparkSession, length: int) -> DataFrame:
     """All sequences in which each base differs from the two before it: 4, 12, 24, 48, ... of them."""
+    return grown(spark.range(1).select(F.lit("").alias("seq")), length)
+
+
+def grown(stems: DataFrame, more: int) -> DataFrame:
+    """seq: each distinct stem (seq) with all tails of `more` bases of which each differs from the two before it."""
     alphabet = F.array(*[F.lit(b) for b in sequences.BASES[:4]])
-    out = spark.range(1).select(F.lit("").alias("seq"))
-    for _ in range(length):
+    out = stems.select("seq").distinct()
+    for _ in range(more):
         grown = out.select("seq", F.explode(alphabet).alias("base"))
         fresh = (F.substr(F.col("seq"), F.greatest(F.length("seq") - 1, F.lit(1)), F.lit(2)).contains(F.col("base"))) == F.lit(False)
         out = grown.filter(fresh).select(F.concat("seq", "base").alias("seq"))
@@ -147,10 +154,12 @@ def demultiplexed(fastq: DataFrame, samples: DataFrame, prefix: str, suffix: str
 
 
 def renamed(demultiplexed_rows: DataFrame) -> DataFrame:
-    """Adds new_name: first word # barcode, the rest of the name, and index:mismatches:sample index."""
+    """Adds new_name: first word # barcode, the rest of the name, and index:mismatches:sample index; the index of no sample is all N."""
     words = F.split("name", " ")
     rest = F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")
-    mark = F.concat_ws(":", "sample_index", F.col("mismatches").cast("string"), "sample_idx")
+    none = F.repeat(F.lit("N"), F.length("sample_index"))
+    off = F.coalesce(F.col("mismatches"), sequences.hamming(F.col("sample_index"), none, ignore_case=False))
+    mark = F.concat_ws(":", "sample_index", off.cast("string"), F.coalesce("sample_idx", none))
     head = F.concat(F.get(words, F.lit(0)), F.lit("#"), F.col("barcode"))
     return demultiplexed_rows.withColumn("new_name", F.concat_ws(" ", head, F.when(rest != "", rest), mark))
 

@@ -91,6 +91,17 @@ def framing_summary(rows: DataFrame) -> DataFrame:
     return every.select("part", "status", "n", share("total").alias("of_all"), of_good.alias("of_good"))
 
 
+def forward_counts(reads: DataFrame) -> DataFrame:
+    """ref, pos, len and the number of reads: those on the forward strand with a place and a length."""
+    return reads.filter("strand = '+' AND pos IS NOT NULL AND len IS NOT NULL").groupBy("ref", "pos", "len").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gate_counts(reads: DataFrame) -> DataFrame:
+    """ref, n_input, n_rrna (forward, with a place and a length) and n_kept (all others: reverse, unmapped or without a length)."""
+    gate = F.coalesce((F.col("strand") == "+") & F.col("pos").isNotNull() & F.col("len").isNotNull(), F.lit(False))
+    return reads.groupBy("ref").agg(F.count(F.lit(1)).alias("n_input"), F.count_if(gate).alias("n_rrna"), F.count_if(~gate).alias("n_kept"))
+
+
 def position_lengths(reads: DataFrame, lengths: tuple[int, int] = (25, 34)) -> DataFrame:
     """Reads that start at each position of a reference, by length: ref, pos and a column for each length."""
     each = [F.count(F.when(F.col("len") == k, 1)).alias(f"len{k}") for k in range(lengths[0], lengths[1] + 1)]

@@ -79,6 +79,15 @@ def dedup_sites_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.site_counts(duplicates.tag_groups(rows, duplicates.ALIGNED_SITE), duplicates.ALIGNED_SITE).withColumn("unique", F.col("unique").cast("bigint"))
 
 
+@query(f"""WITH {READS}, g AS (SELECT ref, pos, strand, len, tag, count(*) AS n FROM reads GROUP BY ALL),
+s AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS "unique" FROM g GROUP BY ref, pos, strand) SELECT total, "unique", count(*) AS n_sites FROM s GROUP BY 1, 2""")
+def site_histogram_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = folders.fresh(spark, "sites")
+    sites = duplicates.site_counts(duplicates.tag_groups(views.reads(spark, sf_dir)))
+    tables.write_site_histogram(duplicates.site_histogram(sites), folder)
+    return tables.read_site_histogram(spark, folder)
+
+
 @query(f"""WITH {TRX} SELECT trx_id::VARCHAR AS trx_id, ref::VARCHAR AS ref, strand, CAST(s0 AS BIGINT) AS start, CAST(s1 + l1 AS BIGINT) AS "end", CAST(total AS BIGINT) AS length,
  CAST(cds_start AS BIGINT) AS cds_start, CAST(cds_len AS BIGINT) AS cds_len FROM trx""")
 def bed12_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,10 +187,12 @@ def set_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_sets(spark, f"{folder}/sets").join(tables.read_data(spark, f"{folder}/data"), "key").select("set_name", "key", "rest", "value")
 
 
-@query("SELECT CAST(range AS BIGINT) AS read_len, CAST(range // 2 AS BIGINT) AS delta FROM range(26, 35)")
+@query(f"WITH {READS} SELECT DISTINCT len AS read_len, len // 2 AS delta FROM reads")
 def asite_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The A-sites of all lengths that reads have."""
     folder = folders.fresh(spark, "asites")
-    views.asites(spark).write.csv(folder, sep="\t")
+    sites = views.reads(spark, sf_dir).select(F.col("len").alias("read_len"), F.floor(F.col("len") / 2).alias("delta")).distinct()
+    sites.write.csv(folder, sep="\t")
     return tables.read_asites(spark, folder)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.functions import coords
-from translatome.operators import asites, duplicates, features, framing, lengths, windows
+from translatome.operators import asites, duplicates, features, framing, lengths, reports, windows
 from translatome.plans import views
 from translatome.plans.registry import also, query
 from translatome.plans.views import ASITES, READS, TRX, placed
+from translatome.sources import tables
 
 #: A length of references that holds all reads of the views.
 REF_LENGTH = 60000
@@ -120,9 +123,8 @@ def annotate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TRX} SELECT trx_id, CASE WHEN trx_id % 3 = 0 THEN gene_id + 1000000 ELSE gene_id END AS gene_id FROM trx WHERE trx_id % 3 <> 1""")
 def gene_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     trx = views.transcripts(spark, sf_dir)
-    entries = trx.filter("trx_id % 3 < 2").select("trx_id", F.when(F.col("trx_id") % 3 == 0, F.col("gene_id") + 1000000).alias("new"), F.lit(True).alias("listed"))
-    joined = trx.join(entries, "trx_id", "left").filter("listed is null or new is not null")
-    return joined.select("trx_id", F.coalesce("new", "gene_id").alias("gene_id"))
+    entries = trx.filter("trx_id % 3 < 2").select("trx_id", F.when(F.col("trx_id") % 3 == 0, F.col("gene_id") + 1000000).cast("string").alias("gene_id"))
+    return tables.remapped(trx, entries).select("trx_id", F.col("gene_id").cast("bigint").alias("gene_id"))
 
 
 @query(f"{HITS} SELECT trx_id, off AS nt, count(*) AS n FROM hits GROUP BY 1, 2")
@@ -130,6 +132,38 @@ def asite_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asites.profile(*_inputs(spark, sf_dir))
 
 
+#: Event types as samples; the A-sites of each are a base further on than those of the one before.
+SAMPLES = ("click", "view", "purchase", "signup", "error")
+_SAMPLE_HITS = f"""WITH {READS}, {TRX}, {ASITES}, {placed(100)}, sm AS (SELECT unnest(['click', 'view', 'purchase', 'signup', 'error']) AS sample, unnest([0, 1, 2, 3, 4]) AS shift),
+hits AS (SELECT p.trx_id, p.total, sm.sample, p.lo + a.delta + sm.shift AS off FROM placed p JOIN asites a ON p.len = a.read_len JOIN sm ON sm.sample = p.tag
+ WHERE p.lo + a.delta + sm.shift >= 0 AND p.lo + a.delta + sm.shift < p.total)"""
+
+
+def _sample_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, trx, sites = _inputs(spark, sf_dir)
+    shifted = [sites.select(F.lit(s).alias("sample"), "read_len", (F.col("delta") + k).alias("delta")) for k, s in enumerate(SAMPLES)]
+    return asites.sample_profiles(reads.withColumnRenamed("tag", "sample"), trx, reduce(DataFrame.unionByName, shifted), list(SAMPLES))
+
+
+@query(f"""{_SAMPLE_HITS} SELECT trx_id, off AS nt, {", ".join(f"count(*) FILTER (sample = '{s}') AS n_{s}" for s in SAMPLES)}, count(*) AS total FROM hits GROUP BY 1, 2""")
+def sample_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-sites of five samples with A-site tables of their own, in one pass."""
+    p = _sample_profiles(spark, sf_dir)
+    return p.select("trx_id", "nt", *(F.get("counts", F.lit(k)).alias(f"n_{s}") for k, s in enumerate(SAMPLES)), "total")
+
+
+@query(f"""{_SAMPLE_HITS}, d AS (SELECT trx_id, off AS nt, sample, count(*) AS n FROM hits GROUP BY ALL)
+SELECT t.trx_id, sm.sample, CAST(t.total AS BIGINT) AS length, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS n, CAST(coalesce(max(d.n), 0) AS BIGINT) AS most, CAST(coalesce(sum(d.n * d.nt), 0) AS BIGINT) AS moment
+FROM trx t CROSS JOIN sm LEFT JOIN d ON d.trx_id = t.trx_id AND d.sample = sm.sample GROUP BY 1, 2, 3""")
+def sample_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense arrays of each sample, summed up."""
+    v = asites.sample_vectors(_sample_profiles(spark, sf_dir), views.transcripts(spark, sf_dir), list(SAMPLES))
+    long = v.unpivot(["trx_id"], list(SAMPLES), "sample", "v")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    weighted = F.transform("v", lambda n, i: n * i)
+    return long.select("trx_id", "sample", F.size("v").cast("bigint").alias("length"), total(F.col("v")).alias("n"), F.array_max("v").alias("most"), total(weighted).alias("moment"))
+
+
 @query(f"{HITS} SELECT trx_id, off AS nt, len, count(*) AS n FROM hits GROUP BY 1, 2, 3")
 def asite_len_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asites.profile(*_inputs(spark, sf_dir), by_length=True)
@@ -177,14 +211,13 @@ def coverage_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {READS} SELECT ref, pos, len, count(*) AS n FROM reads WHERE strand = '+' GROUP BY 1, 2, 3")
 def ref_pos_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.reads(spark, sf_dir).filter("strand = '+'").groupBy("ref", "pos", "len").agg(F.count(F.lit(1)).alias("n"))
+    return reports.forward_counts(views.reads(spark, sf_dir))
 
 
 @query(f"""WITH {READS} SELECT ref, count(*) AS n_input, count(CASE WHEN strand = '+' THEN 1 END) AS n_rrna, count(CASE WHEN strand = '-' THEN 1 END) AS n_kept
  FROM reads GROUP BY ref""")
 def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on = lambda s: F.count(F.when(F.col("strand") == s, 1))
-    return views.reads(spark, sf_dir).groupBy("ref").agg(F.count(F.lit(1)).alias("n_input"), on("+").alias("n_rrna"), on("-").alias("n_kept"))
+    return reports.gate_counts(views.reads(spark, sf_dir))
 
 
 COVER = f"""{READS}, c AS (SELECT ref, pos, len, count(*) AS n FROM reads WHERE strand = '+' AND pos >= 0 GROUP BY 1, 2, 3),

@@ -11,7 +11,7 @@ from translatome.operators import barcodes, quantities, starts, svm, windows
 from translatome.plans import views
 from translatome.plans.registry import also, query
 from translatome.plans.views import DNA, table
-from translatome.sources import folders
+from translatome.sources import folders, reads
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -395,10 +395,18 @@ def nearest_barcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return barcodes.nearest(_codes(spark, sf_dir))
 
 
-@query("""WITH RECURSIVE b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS base), g AS (SELECT '' AS seq, 0 AS n UNION ALL SELECT g.seq || b.base, g.n + 1 FROM g CROSS JOIN b
- WHERE g.n < 6 AND NOT contains(right(g.seq, 2), b.base)) SELECT seq FROM g WHERE n = 6""")
+@query(f"""WITH {DNA}, {CODES}, d AS (SELECT a.name, b.name AS nearest, CAST({_HAMMING} AS BIGINT) AS distance FROM codes a JOIN codes b ON a.name <> b.name),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, nearest DESC) AS k FROM d) SELECT name, nearest, distance FROM r WHERE k = 1""")
+def nearest_barcode_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On ties the one that comes first in an order of the input's own: here, the highest name."""
+    return barcodes.nearest(_codes(spark, sf_dir).withColumn("place", -F.col("name")), "place")
+
+
+@query(f"""WITH RECURSIVE {DNA}, {CODES}, b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS base), g AS (SELECT DISTINCT seq, 0 AS n FROM codes
+ UNION ALL SELECT g.seq || b.base, g.n + 1 FROM g CROSS JOIN b WHERE g.n < 3 AND NOT contains(right(g.seq, 2), b.base)) SELECT seq FROM g WHERE n = 3""")
 def barcode_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return barcodes.generated(spark, 6)
+    """Each distinct barcode lengthened by three bases, in all ways."""
+    return barcodes.grown(_codes(spark, sf_dir), 3)
 
 
 @query(f"""WITH {DNA}, {CODES}, n AS (SELECT c.name, c.seq, i.range AS i, b.base FROM codes c CROSS JOIN range(1, 9) i CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T', 'N']) AS base) b)
@@ -416,8 +424,8 @@ def base5_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def barcode_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selection is sequential; tested against a brute-force version."""
-    extant = spark.createDataFrame([("a", "ACGTA")], "name string, seq string")
-    return barcodes.selected(barcodes.generated(spark, 5), extant, 3)
+    codes = _codes(spark, sf_dir)
+    return barcodes.selected(codes.filter("NOT startswith(seq, 'AC')"), codes.filter("startswith(seq, 'AC')").dropDuplicates(["seq"]), 4)
 
 
 SAMPLES = (("one", "ACG"), ("two", "TTA"), ("three", "GAT"))
@@ -452,6 +460,18 @@ def demux_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return barcodes.barcode_counts(_demuxed(spark, sf_dir), 2)
 
 
+@query(f"""WITH {FASTQ}, full_rows AS (SELECT q.*, f.seq, m.sidx, CAST(list_sum(list_transform(range(1, 4), lambda i: (substr(q.idx, i, 1) <> 'N')::BIGINT)) AS BIGINT) AS from_none
+ FROM assigned q JOIN fq f ON f.name = q.name LEFT JOIN sm m ON m.sample = q.fate)
+SELECT CASE WHEN fate = 'TooShort' THEN name::VARCHAR ELSE name::VARCHAR || '#' || barcode || ' ' || idx || ':' || coalesce(mismatches, from_none)::VARCHAR || ':' || coalesce(sidx, 'NNN') END AS name,
+ CASE WHEN fate = 'TooShort' THEN seq ELSE insert_seq END AS seq, fate FROM full_rows WHERE seq <> ''""")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demultiplexed reads by sample, those too short and the settings, written and read again."""
+    folder = folders.fresh(spark, "split")
+    rows = barcodes.renamed(_demuxed(spark, sf_dir).withColumn("name", F.col("name").cast("string"))).filter("seq <> ''")
+    reads.write_split_fastq(rows, folder, {"prefix": "NNI", "suffix": "II", "least_insert": 75})
+    return reads.read_split_fastq(spark, folder)[0].select("name", "seq", "fate")
+
+
 @query(f"""WITH {FASTQ} SELECT name, name::VARCHAR || '#' || barcode || ' ' || idx || ':' || mismatches::VARCHAR || ':' || m.sidx AS new_name FROM assigned q JOIN sm m ON m.sample = q.fate""")
 def demux_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _demuxed(spark, sf_dir).filter("sample is not null").withColumn("name", F.col("name").cast("string"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +13,14 @@ from translatome.functions import sequences
 
 def numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """value, file and line (from 0 in each file) of text files, from counts of lines in each split."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id")
-    )
-    splits = lines.groupBy("file", "split").agg(F.min("id").alias("base"), F.count(F.lit(1)).alias("n"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    splits = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file", "split", "base", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return lines.join(splits, ["file", "split"]).select("value", "file", (F.col("id") - F.col("base") + F.col("first")).alias("line"))
+    splits = splits.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # ids are compared within one pass over a split only: another pass may deal splits to other tasks
+    own = Window.partitionBy("file", "split").orderBy("id")
+    placed = lines.withColumn("id", F.monotonically_increasing_id()).withColumn("at", F.row_number().over(own) - 1)
+    return placed.join(splits, ["file", "split"]).select("value", "file", (F.col("at") + F.col("first")).alias("line"))
 
 
 def prefixed(spark: SparkSession, path: str | list[str], head: Column) -> DataFrame:
@@ -98,6 +102,31 @@ def write_fastq_by_sample(df: DataFrame, path: str, sample: str = "fate") -> Non
     fastq_lines(df).select(sample, "value").write.partitionBy(sample).mode("errorifexists").text(path)
 
 
+def write_split_fastq(df: DataFrame, path: str, settings: dict) -> None:
+    """Demultiplexed reads (fate, new_name, insert and insert_qual; name, seq and qual) under a path that must not exist.
+
+    samples/fate=... has the named inserts of each sample and of UnknownIndex, tooshort the reads of which nothing is left, as they came, and
+    config.txt the settings, one a line. That is written last: readers take a folder without it as unfinished.
+    """
+    short = F.col("fate") == "TooShort"
+    kept = df.filter(~short).select("fate", F.col("new_name").alias("name"), F.col("insert").alias("seq"), F.col("insert_qual").alias("qual"))
+    write_fastq_by_sample(kept, f"{path}/samples")
+    fastq_lines(df.filter(short).select(F.col("name").cast("string").alias("name"), "seq", "qual")).select("value").write.mode("errorifexists").text(f"{path}/tooshort")
+    lines = [(f"{k}\t{json.dumps(v)}",) for k, v in sorted(settings.items())]
+    df.sparkSession.createDataFrame(lines, "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/config.txt")
+
+
+def read_split_fastq(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """name, seq, qual and fate of what write_split_fastq wrote, and its settings."""
+    try:
+        settings = {k: json.loads(v) for k, v in (r.value.split("\t", 1) for r in spark.read.text(f"{path}/config.txt").collect())}
+    except AnalysisException as e:
+        raise ValueError(f"{path} is not finished: it has no config.txt") from e
+    own = read_fastq(spark, f"{path}/samples/*").withColumn("fate", F.url_decode(F.url_decode(F.regexp_extract("file", "/fate=([^/]*)/", 1))))
+    short = read_fastq(spark, f"{path}/tooshort").withColumn("fate", F.lit("TooShort"))
+    return own.unionByName(short).select("name", "seq", "qual", "fate"), settings
+
+
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """ref (first word of the head line) and seq, upper case, of each record."""
     lines = numbered(spark, path)

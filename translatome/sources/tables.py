@@ -119,8 +119,10 @@ def read_data(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pars_features(spark: SparkSession, path: str) -> DataFrame:
-    """gene and start and end of Transcript, CDS, 3UTR and 5UTR; a repeated feature is an error."""
+    """gene and start and end of Transcript, CDS, 3UTR and 5UTR; a repeated feature or one of another type is an error."""
     rows = spark.read.csv(path, sep="\t", schema="gene string, ftype string, start bigint, end bigint")
+    unknown = F.raise_error(F.concat(F.lit("unknown feature type: "), F.coalesce("ftype", F.lit("")))).cast("string")
+    rows = rows.withColumn("ftype", F.when(F.col("ftype").isin("Transcript", "CDS", "3UTR", "5UTR"), F.col("ftype")).otherwise(unknown))
     counted = rows.groupBy("gene", "ftype").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.count(F.lit(1)).alias("n"))
     ok = F.when(F.col("n") == 1, F.col("start")).otherwise(F.raise_error(F.concat(F.lit("repeated feature of "), "gene")).cast("bigint"))
     return counted.withColumn("start", ok).groupBy("gene").pivot("ftype", ["Transcript", "CDS", "3UTR", "5UTR"]).agg(F.first("start").alias("start"), F.first("end").alias("end"))
@@ -131,6 +133,15 @@ def read_pars_scores(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("gene", "len", F.transform(F.split("text", ";"), lambda x: x.cast("double")).alias("scores"))
 
 
+def write_site_histogram(sites: DataFrame, path: str) -> None:
+    """total, unique and the number of sites that have them, tab-separated, in order: the files by name, the lines in a file."""
+    sites.orderBy("total", "unique").select("total", "unique", "n_sites").write.csv(path, sep="\t")
+
+
+def read_site_histogram(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", schema="total bigint, unique bigint, n_sites bigint")
+
+
 def write_tsv(df: DataFrame, path: str, decimals: int | None = None) -> None:
     """Tab-separated text with a header; doubles with a fixed number of decimals if that is given."""
     shown = [F.format_string(f"%.{decimals}f", c).alias(c) if t == "double" and decimals is not None else F.col(c) for c, t in df.dtypes]
