@@ -83,14 +83,19 @@ def grown(stems: DataFrame, more: int) -> DataFrame:
     return out
 
 
+def pool(candidates: DataFrame, extant: DataFrame) -> DataFrame:
+    """seq, extant: each sequence of either list once; one that is in both is extant."""
+    both = extant.select("seq", F.lit(True).alias("extant")).union(candidates.select("seq", F.lit(False)))
+    return both.groupBy("seq").agg(F.max("extant").alias("extant"))
+
+
 def selected(candidates: DataFrame, extant: DataFrame, least: int) -> DataFrame:
     """Greedy selection: extant barcodes first, then always the one that rules out the fewest others (distance < least)."""
     spark = candidates.sparkSession
-    old = [r.seq for r in extant.select("seq").orderBy("seq").limit(MOST_CANDIDATES + 1).collect()]
-    new = [r.seq for r in candidates.select("seq").distinct().orderBy("seq").limit(MOST_CANDIDATES + 1).collect()]
-    if len(old) + len(new) > MOST_CANDIDATES:
+    rows = pool(candidates, extant).orderBy(F.col("extant").desc(), "seq").limit(MOST_CANDIDATES + 1).collect()
+    if len(rows) > MOST_CANDIDATES:
         raise ValueError(f"more than {MOST_CANDIDATES} barcodes to select from")
-    every = [*old, *(s for s in new if s not in set(old))]
+    every, old = [r.seq for r in rows], [r.seq for r in rows if r.extant]
     width = max(map(len, every), default=0)
     letters = np.array([list(s.upper().ljust(width)) for s in every]).reshape(len(every), width)
     near = (letters[:, None, :] != letters[None, :, :]).sum(axis=2) < least

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from translatome.functions import coords
-from translatome.operators import duplicates
+from translatome.operators import duplicates, lengths
 from translatome.plans import views
 from translatome.plans.registry import query
 from translatome.plans.table_queries import EVENT_TYPES, QUANTS, quant_table
@@ -217,3 +217,68 @@ def sizes_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = views.reads(spark, sf_dir).groupBy(F.concat(F.lit("c"), F.col("ref").cast("string")).alias("ref")).agg(F.max(F.col("pos") + F.col("len")).alias("length"))
     annotations.write_sizes(lengths, folder)
     return annotations.read_sizes(spark, folder)
+
+
+@query(f"""WITH {TRX} SELECT trx_id::VARCHAR AS trx_id, ref::VARCHAR AS ref, strand, CAST(s0 AS BIGINT) AS start, CAST(s1 + l1 AS BIGINT) AS "end" FROM trx WHERE trx_id = 42""")
+def bed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one transcript of a name, from a BED12 file."""
+    folder = folders.fresh(spark, "bed12")
+    annotations.write_bed12(views.transcripts(spark, sf_dir), folder)
+    b = F.col("blocks")
+    found = annotations.find_transcript(annotations.read_transcripts(spark, folder), "42")
+    return found.select("trx_id", "ref", "strand", coords.blocks_start(b).alias("start"), coords.blocks_end(b).alias("end"))
+
+
+@query(f"WITH {READS}, h AS (SELECT least(len, 51) AS bin, count(*) AS n FROM reads GROUP BY 1) SELECT g.range AS bin, coalesce(h.n, 0) AS n FROM range(0, 52) g LEFT JOIN h ON h.bin = g.range")
+def length_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read lengths as a table of counts by line."""
+    folder = folders.fresh(spark, "lengths")
+    counts = lengths.histogram(views.reads(spark, sf_dir).withColumn("all", F.lit(0)), ["all"])
+    every = spark.range(52).select(F.col("id").alias("bin")).join(counts.select("bin", "n"), "bin", "left").na.fill(0, ["n"])
+    every.orderBy("bin").coalesce(1).write.csv(folder, sep="\t")
+    return tables.read_length_counts(spark, folder)
+
+
+@query("""SELECT p_partkey::VARCHAR AS gene, CAST(0 AS BIGINT) AS "Transcript_start", CAST(10 + 3 * p_size AS BIGINT) AS "Transcript_end",
+ CASE WHEN p_partkey % 4 > 0 THEN 3 END::BIGINT AS "CDS_start", CASE WHEN p_partkey % 4 > 0 THEN p_size + 3 END::BIGINT AS "CDS_end", CAST(2 AS BIGINT) AS n, p_size / 2.0::DOUBLE + 0.25 AS total FROM part""")
+def pars_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and scores of a gene for each part, as two files."""
+    folder, part = folders.fresh(spark, "pars"), table(spark, sf_dir, "part")
+    gene, size = F.col("p_partkey").cast("string").alias("gene"), F.col("p_size")
+    whole = part.select(gene, F.lit("Transcript"), F.lit(0), 10 + 3 * size)
+    whole.union(part.filter("p_partkey % 4 > 0").select(gene, F.lit("CDS"), F.lit(3), size + 3)).write.csv(f"{folder}/features", sep="\t")
+    part.select(gene, size, F.concat((size / 2).cast("string"), F.lit(";0.25"))).write.csv(f"{folder}/scores", sep="\t")
+    f, s = tables.read_pars_features(spark, f"{folder}/features"), tables.read_pars_scores(spark, f"{folder}/scores")
+    total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
+    return f.join(s, "gene").select("gene", "Transcript_start", "Transcript_end", "CDS_start", "CDS_end", F.size("scores").cast("bigint").alias("n"), total.alias("total"))
+
+
+@query("""SELECT l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR AS name, l_partkey::VARCHAR AS ref1, CAST(l_suppkey AS BIGINT) AS left1, CAST(l_quantity AS BIGINT) + 20 AS right1,
+ CASE WHEN l_returnflag = 'R' THEN '+' ELSE '-' END AS strand1, l_suppkey <= CAST(l_quantity AS BIGINT) + 20 AS good FROM lineitem""")
+def bedpe_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read pairs as a BEDPE file; those that end before they start are told apart."""
+    folder, li = folders.fresh(spark, "bedpe"), table(spark, sf_dir, "lineitem")
+    end, strand = F.col("l_quantity").cast("bigint") + 20, F.when(F.col("l_returnflag") == "R", "+").otherwise("-")
+    name = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    li.select("l_partkey", "l_suppkey", end, F.lit("."), F.lit(-1), F.lit(-1), name, F.lit(0), strand, F.lit(".")).write.csv(folder, sep="\t")
+    good, bad = annotations.read_bedpe(spark, folder)
+    columns = ["name", "ref1", "left1", "right1", "strand1"]
+    return good.select(*columns, F.lit(True).alias("good")).unionByName(bad.select(*columns, F.lit(False).alias("good")))
+
+
+@query("""SELECT event_type, printf('%.4f', avg(value)) AS mean, count(*)::VARCHAR AS n FROM events GROUP BY 1""")
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report as text, fractions with four decimals under a header."""
+    folder = folders.fresh(spark, "report")
+    tables.write_tsv(table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")), folder, 4)
+    return spark.read.csv(folder, sep="\t", header=True)
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'r' || event_id::VARCHAR WHEN 1 THEN '#' || event_type ELSE 'r' || event_id::VARCHAR || '#' || event_type || '#' || user_id::VARCHAR END AS name FROM events)
+SELECT event_id, CASE WHEN strpos(name, '#') > 1 THEN substr(name, strpos(name, '#')) ELSE '' END AS tag FROM e""")
+def umi_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What read names have from their first mark on."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    plain, mark = F.concat(F.lit("r"), F.col("event_id").cast("string")), F.concat(F.lit("#"), "event_type")
+    name = F.when(k == 0, plain).when(k == 1, mark).otherwise(F.concat(plain, mark, F.lit("#"), F.col("user_id").cast("string")))
+    return e.select("event_id", duplicates.umi_tag(name).alias("tag"))

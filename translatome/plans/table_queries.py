@@ -428,6 +428,13 @@ def barcode_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return barcodes.selected(codes.filter("NOT startswith(seq, 'AC')"), codes.filter("startswith(seq, 'AC')").dropDuplicates(["seq"]), 4)
 
 
+@query(f"""WITH {DNA}, {CODES}, x AS (SELECT seq, TRUE AS extant FROM codes WHERE starts_with(seq, 'A') UNION ALL SELECT seq, FALSE FROM codes) SELECT seq, bool_or(extant) AS extant FROM x GROUP BY 1""")
+def barcode_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All barcodes as candidates beside those that start with A as extant ones."""
+    codes = _codes(spark, sf_dir)
+    return barcodes.pool(codes, codes.filter("startswith(seq, 'A')"))
+
+
 SAMPLES = (("one", "ACG"), ("two", "TTA"), ("three", "GAT"))
 #: Prefix NNI, suffix II: the index is the third base and the last two.
 FASTQ = f"""{DNA}, fq AS (SELECT item_id AS name, seq, substr(seq, 1, 2) AS barcode, substr(seq, 3, 1) || substr(seq, length(seq) - 1, 2) AS idx, length(seq) < 80 AS short FROM dna),
