@@ -157,3 +157,17 @@ def test_quality_like_plain_scoring(spark):
         assert len(set(own.tolist())) == len(own)
         margin = min(20, max(-20, sum(model["worth"][k] for k in own) + 0.3))
         assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-(0.8 * margin - 0.1))), abs=1e-9)
+
+
+def test_sample_is_bounded_in_bytes_and_the_same_each_time(spark):
+    """Of several texts of an id always the same one; long texts leave fewer documents, of both labels."""
+    from translatome.llm import fitting
+
+    rows = [(i, f"{k} " + "x" * 1000) for i in range(200) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labelled = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, label int")
+    sample = lambda df, **k: sorted(map(tuple, fitting.labelled_sample(df, labelled, 1000, **k).collect()))
+    whole = sample(docs)
+    assert len(whole) == 200 and whole == sample(docs.repartition(5).orderBy(docs.text.desc()))
+    few = sample(docs, most_bytes=50_000)
+    assert set(few) < set(whole) and 20 < len(few) < 85 and {r[2] for r in few} == {0, 1}

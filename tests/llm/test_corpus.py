@@ -216,16 +216,16 @@ def test_cutoffs_like_brute_force(spark):
     strata = {}
     for i in set(good):
         strata.setdefault(stats[i].lang, []).append(ratios(stats[i]))
-    rate, tests = 0.05 / 5, 12 * 5 * len(strata)
-    want = {}
+    rate, want = 0.05, {}
     for lang, own in strata.items():
-        for rule in quality_rules.RULES:
-            held = []
-            for cut in quality_rules.GRID:
-                k = sum(r[rule] > cut for r in own)
-                chance = sum(comb(len(own), x) * rate**x * (1 - rate) ** (len(own) - x) for x in range(k + 1))
-                held += [cut] if chance <= 0.05 / tests else []
-            want[lang, rule] = min(held, default=None)
+        limit = dict.fromkeys(quality_rules.RULES)
+        for rule, cut in quality_rules.PATH:
+            tried = limit | {rule: cut}
+            k = sum(any(c is not None and r[x] > c for x, c in tried.items()) for r in own)
+            if sum(comb(len(own), x) * rate**x * (1 - rate) ** (len(own) - x) for x in range(k + 1)) > 0.05 / len(strata):
+                break
+            limit = tried
+        want |= {(lang, rule): c for rule, c in limit.items()}
     got = {(r.lang, rule): r[rule] for r in limits.collect() for rule in quality_rules.RULES}
     assert got == want and set(want.values()) > {None} and all(want["few", rule] is None for rule in quality_rules.RULES)
     for r in stats.values():
@@ -234,6 +234,39 @@ def test_cutoffs_like_brute_force(spark):
     assert any(not r.kept for r in stats.values())
 
 
+def test_path_is_nested():
+    """Each step lowers one rule's cutoff; every rule gets to the end of the grid."""
+    for k, (rule, cut) in enumerate(quality_rules.PATH):
+        before = quality_rules.cutoffs_after(k)
+        assert before[rule] is None or before[rule] > cut
+    assert quality_rules.cutoffs_after(len(quality_rules.PATH)) == dict.fromkeys(quality_rules.RULES, 0.05)
+
+
+def test_small_strata_are_certified(spark):
+    """90 good documents of which none is rejected certify the strictest step for what they lack; 70 don't."""
+    good = lambda lang, n: [(lang, 0, 60, 300, 0, 5, 0, 0, 0)] * n
+    schema = "lang string, n_symbols int, n_words int, word_chars int, n_dup_lines int, n_lines int, n_repeat_words int, n_capitals int, n_exclaims int"
+    rows = good("a", 90) + good("b", 70) + good("c", 200) + [("c", 90, 60, 300, 0, 5, 0, 0, 0)] * 30
+    got = {r.lang: r for r in quality_rules.cutoffs(spark.createDataFrame(rows, schema)).collect()}
+    assert got["a"].symbols == got["a"].repeats == 0.05 and got["b"].symbols is None
+    assert got["c"].exclaims == 0.05 and got["c"].symbols == 0.3  # the next step would reject 30 of 230
+
+
+def test_rate_of_false_rejection_is_held():
+    """Over many draws of labels, the rate of the chosen step exceeds the permitted one no more often than it may."""
+    draw, exceeded = np.random.default_rng(3), 0
+    rates = np.linspace(0.01, 0.09, 17)  # of a nested path
+    for _ in range(400):
+        worst = draw.random(300)
+        steps = 0
+        for rate in rates:
+            if quality_rules.at_most(int((worst < rate).sum()), 300, 0.05) > 0.05:
+                break
+            steps += 1
+        exceeded += steps > 0 and rates[steps - 1] > 0.05 + 1e-9
+    assert exceeded <= 0.05 * 400 + 2 * (0.05 * 0.95 * 400) ** 0.5
+
+
 def test_pipeline(spark):
     """Each stage on its own input, against the brute-force versions."""
     import corpus_pipeline as p

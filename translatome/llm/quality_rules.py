@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a ratio that grows as a text gets worse. The rate of false rejection permitted in a stratum (language) is shared
-out evenly over the rules. For each stratum and rule, every cutoff of a fixed grid is tested on labelled good documents, which
-took no part in choosing the grid: a cutoff holds if a binomial with the rule's share of the rate would show as few
-rejections as were seen with a probability of at most CONFIDENCE / number of all tests (the exact Clopper-Pearson bound with
-Bonferroni's correction). The lowest cutoff of those that hold is used; a stratum without such a cutoff doesn't apply
-the rule, so strata with few labels only have the base rules. But for a chance of CONFIDENCE, the rules together reject
-at most STRATUM_RATE of the good documents in every stratum.
+Each rule is a ratio that grows as a text gets worse. PATH is a fixed sequence of joint cutoffs from lax to strict: every step lowers the
+cutoff of one rule, so that what is rejected only grows. In each stratum (language) the steps are tested in turn on labelled good documents,
+which took no part in choosing the path: a step holds if a binomial with the permitted rate of false rejection would show as few
+documents rejected by all rules together as were seen with a probability of at most CONFIDENCE / number of strata (the exact
+Clopper-Pearson bound). The first step that doesn't hold ends the sequence and the one before it is used. Testing a fixed sequence up to the
+first failure needs no correction for its length, so the correction (Bonferroni's) is for the strata only, and some 90 good labels
+certify a step that rejects none of them. A stratum without a certified step has the base rules only. But for a chance of CONFIDENCE, the rules
+together reject at most STRATUM_RATE of the good documents in every stratum.
 
 Defined cases: a null or empty text has no words (it fails the base rules); very long texts are counted whole, one at a time; a ratio
 equal to its cutoff passes; a null language is a stratum; labels without a document, with null or with contradicting quality are
@@ -33,7 +34,7 @@ _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 PART_BYTES = 1_000_000
 #: Permitted rate of false rejection by all rules together in each stratum, and the chance that it is exceeded in any.
 STRATUM_RATE, CONFIDENCE = 0.05, 0.05
-GRID = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8)
+GRID = (0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)
 #: Numerator and denominator of each rule.
 RULES = {
     "symbols": ("n_symbols", "word_chars"),
@@ -42,8 +43,13 @@ RULES = {
     "capitals": ("n_capitals", "word_chars"),
     "exclaims": ("n_exclaims", "n_words"),
 }
-#: The share of the rate that each rule has.
-RATE = STRATUM_RATE / len(RULES)
+#: Steps (rule, cutoff), a parameter fixed before labels are seen. What plain prose has least of is tightened first; the last notches, which
+#: prose itself comes near, are at the end.
+PATH = (
+    *(("exclaims", c) for c in GRID), *(("symbols", c) for c in GRID), *(("capitals", c) for c in GRID[:-1]),
+    *(("repeats", c) for c in GRID[:-1]), *(("dup_lines", c) for c in GRID[:-1]),
+    ("capitals", GRID[-1]), ("dup_lines", GRID[-1]), ("repeats", GRID[-1]),
+)
 
 
 def text_statistics(texts: list[bytes | None]) -> pd.DataFrame:
@@ -131,25 +137,27 @@ def at_most(k: int, n: int, p: float) -> float:
 
 
 def _false_rejection(k: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([at_most(int(x), int(y), RATE) if y else 1.0 for x, y in zip(k, n, strict=True)])
+    return pd.Series([at_most(int(x), int(y), STRATUM_RATE) if y else 1.0 for x, y in zip(k, n, strict=True)])
+
+
+def cutoffs_after(steps: int) -> dict[str, float | None]:
+    """The cutoff of each rule after so many steps of the path; null where the rule isn't applied yet."""
+    return {r: min((c for rule, c in PATH[:steps] if rule == r), default=None) for r in RULES}
 
 
 def cutoffs(good: DataFrame) -> DataFrame:
     """lang and one cutoff for each rule (null: not applied), from the statistics of good documents."""
-    seen = good.select("lang", *[ratio(r).alias(r) for r in RULES])
-    counts = seen.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.array(*[F.count(F.when(F.col(r) > c, 1)) for c in GRID]).alias(r) for r in RULES],
+    first = F.array_min(F.array(*[F.when(ratio(r) > c, k) for k, (r, c) in enumerate(PATH)]))  # the step that rejects a document first
+    counts = good.select("lang", first.alias("step")).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(F.col("step") <= k) for k in range(len(PATH))]).alias("rejected")
     )
-    long = counts.select("lang", "n", F.explode(F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(r))])).alias("rule", "rejected"))
-    long = long.select("lang", "n", "rule", F.posexplode("rejected").alias("at", "k"))
-    tests = len(GRID) * len(RULES) * F.greatest(F.lit(1), F.col("strata"))
     strata = counts.agg(F.count(F.lit(1)).alias("strata"))
+    long = counts.crossJoin(F.broadcast(strata)).select("lang", "n", "strata", F.posexplode("rejected").alias("at", "k"))
     chance = F.pandas_udf(_false_rejection, "double")(F.col("k"), F.col("n"))
-    held = long.crossJoin(F.broadcast(strata)).withColumn("holds", chance <= CONFIDENCE / tests)
-    grid = F.array(*[F.lit(c) for c in GRID])
-    lowest = F.get(grid, F.min(F.when(F.col("holds"), F.col("at"))))  # null without a cutoff that holds
-    return held.groupBy("lang").pivot("rule", list(RULES)).agg(lowest)
+    held = long.withColumn("fails", chance > CONFIDENCE / F.col("strata"))
+    steps = held.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("fails"), F.col("at"))), F.lit(len(PATH))).alias("steps"))
+    of = lambda r: F.get(F.array(*[F.lit(cutoffs_after(k)[r]).cast("double") for k in range(len(PATH) + 1)]), F.col("steps"))
+    return steps.select("lang", *(of(r).alias(r) for r in RULES))
 
 
 def _verdict() -> Column:
