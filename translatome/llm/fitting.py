@@ -30,7 +30,7 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, per_label: int, most_l
     if counts.limit(most_labels + 1).count() > most_labels:
         raise ValueError(f"there are more than {most_labels} labels")
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(97)), 11) / F.lit(float(1 << 53))
-    ids = one.join(F.broadcast(counts), "label").select("doc_id", "label", (uniform * F.col("count") / per_label).alias("place")).filter("place < 1")
+    ids = one.join(F.broadcast(counts), "label").select("doc_id", "label", (uniform * F.greatest(F.col("count") / per_label, F.lit(1.0))).alias("place")).filter("place < 1")
     ids = F.broadcast(written(ids, "sample"))
     own = F.struct(F.xxhash64("text").alias("hash"), "text")
     texts = docs.select("doc_id", "text").filter("text is not null").join(ids, "doc_id")
