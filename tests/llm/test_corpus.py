@@ -296,3 +296,81 @@ def test_pipeline(spark):
     assert sizes.filter("n > 1024").count() == 0
     run = p.run(spark, sf)
     assert run.count() == packed.count() and run.columns == packed.columns
+
+
+@pytest.mark.parametrize("rows", [fixtures.awkward(), [], fixtures.corpus(40)], ids=["awkward", "empty", "corpus"])
+def test_stages_on_defined_cases(spark, rows):
+    """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns go through every stage as its docstring says."""
+    import corpus_pipeline as p
+
+    docs = frame(spark, rows)
+    for name in ("id", "size", "digest", "hash", "row", "_size", "s", "keep_id", "source_size"):
+        docs = docs.withColumn(name, F.lit("x"))
+    got = {name: stage(spark, docs, "/root/testdata/sf0.001") for name, stage in p.STAGES}
+    for name, df in got.items():
+        assert name == "best_fit_packing" or df.columns == docs.columns
+    count = {name: df.count() for name, df in got.items()}
+    texts = [r[1] or "" for r in rows]
+    plain = ["".join(fixtures.words(t)) for t in texts]
+    assert count["exact_dedup"] == len(set(plain))
+    assert count["quality_rules"] <= sum(len(fixtures.words(t)) >= 50 for t in texts)
+    wordless = len({(r[0], t) for r, t in zip(rows, texts, strict=True) if not fixtures.words(t)})
+    assert wordless <= count["minhash_near_dedup"] <= len(rows)
+    assert {r.doc_id for r in got["mix_sources"].collect()} <= {r[0] for r in rows if fixtures.words(r[1])}
+    assert {r.doc_id for r in got["best_fit_packing"].collect()} == {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("n_shards", [2, 3, 5])
+@pytest.mark.parametrize("bits", [2, 16])
+def test_sharding_like_brute_force(spark, monkeypatch, n_shards, bits):
+    """The largest shard is the least that any contiguous partition of the ordered units has, by trying all cuts."""
+    from itertools import combinations
+
+    rows = fixtures.corpus(11, 5) + fixtures.corpus(3, 5)
+    docs = frame(spark, rows)
+    unit = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 64 - bits)
+    if bits != 16:  # units of several groups
+        real = F.shiftrightunsigned
+        monkeypatch.setattr(sharding.F, "shiftrightunsigned", lambda c, n: real(c, 64 - bits))
+    got = sharding.sharded(docs, n_shards).collect()
+    sizes = {}
+    for r in docs.select(unit.cast("int").alias("unit"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("size")).collect():
+        sizes[r.unit] = sizes.get(r.unit, 0) + r["size"]
+    order = [sizes[u] for u in sorted(sizes)]
+    cuts = combinations(range(len(order) + 1), n_shards - 1)
+    best = min(max(sum(order[a:b]) for a, b in zip((0, *c), (*c, len(order)), strict=True)) for c in cuts)
+    bytes_of = {}
+    for r in got:
+        bytes_of[r.shard] = bytes_of.get(r.shard, 0) + r["size"]
+    assert max(bytes_of.values()) == best and len(got) == len(rows)
+    assert sorted(r["size"] for r in got) == sorted(len(r[1].encode()) + 8 for r in rows)
+    assert all(r.text_crc32 in {zlib.crc32(t[1].encode()) for t in rows if t[0] == r.doc_id} for r in got)
+
+
+@pytest.mark.parametrize("capacity", [16, 100])
+def test_packing_like_plain_best_fit(spark, capacity):
+    """In one part, as many sequences as best fit over the sorted pieces gives, piece by piece from the tokenizer's own ids."""
+    rows = fixtures.corpus(50, 2)
+    got = packing.packed(frame(spark, rows), tokenizer_path(), capacity).collect()
+    want = {}
+    for doc_id, text, *_ in rows:
+        ids = [*encoded(text), 2]
+        head = len(ids) % capacity if len(ids) > capacity else len(ids)
+        cuts = [0, *range(head or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
+        for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[doc_id, piece] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+    bins = []
+    for _, n, _ in sorted(want.values(), key=lambda x: -x[1]):
+        room = [b for b in bins if b[0] >= n]
+        if room:
+            min(room)[0] -= n
+        else:
+            bins.append([capacity - n])
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(places) == len(bins)
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= capacity

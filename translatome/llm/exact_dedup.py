@@ -7,7 +7,7 @@ Texts are equal when they are identical after deleting every character of [\\x20
 batch the row with the most code points stays, then the smallest doc_id; texts that the index has from an earlier
 batch don't stay. Defined cases: a null text counts as empty, and all empty texts are equal; rows that repeat
 (same doc_id and text) are all marked as their group's keeper, and `deduplicated` returns one of them; a null
-doc_id loses against others; an empty batch leaves the index as it is; further columns are never read.
+doc_id loses against others; very long texts are hashed whole; an empty batch leaves the index as it is; further columns are never read.
 """
 
 from __future__ import annotations

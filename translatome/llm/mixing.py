@@ -6,7 +6,8 @@ of the rate. Of a few hash seeds each source uses the one whose draws come neare
 most of the chance out of small sources and of long documents. Reruns agree, as draws depend on the data alone.
 
 Defined cases: a null source is a source of its own, last in order; a null or blank text has size 0 and is
-taken 0 times; an empty table gives an empty result; rows that repeat (same doc_id) draw alike, each counted;
+taken 0 times; an empty table gives an empty result; rows that repeat (same doc_id) draw alike, each counted; of seeds that come equally
+near the first is used; very long texts are counted whole and taken as any other;
 further columns are carried by `mix` and never read.
 """
 

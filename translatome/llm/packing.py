@@ -8,7 +8,8 @@ become items of the next round with as many others, the emptiest of those that a
 into any others, then into these); all else is emitted. The number of parts follows from the items that are left.
 Items carry their pieces (a sequence has room for 1024 of them at most), so that no round needs a join.
 
-Defined cases: a null text is empty (its only id is the end mark); rows that repeat are packed each; an empty
+Defined cases: a null text is empty (its only id is the end mark); very long texts are encoded whole and cut into as many pieces as
+they take; items of one length that tie are packed in any order; rows that repeat are packed each; an empty
 table gives an empty result; a null doc_id is carried; further columns are never read.
 """
 

@@ -6,7 +6,9 @@ smoothed counts in the two classes; a linear hinge-loss model is fitted on them
 a logistic curve, fitted on a part of the sample that training never saw, turns margins into scores.
 
 Defined cases: a null or empty text has no n-grams (its score is the curve at the intercept); rows that repeat are scored each;
-without labels of both kinds every score is 0.5; a null doc_id counts as the empty text in its fold; further columns are never read.
+without labels of both kinds every score is 0.5; a null doc_id counts as the empty text in its fold; very long texts are read whole, one after
+the other, and take some 50 bytes a character meanwhile; a score of just the cut is predicted as good; an empty table gives an empty
+result; further columns are never read.
 """
 
 from __future__ import annotations

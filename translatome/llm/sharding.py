@@ -6,7 +6,8 @@ capacity for which a greedy walk over the ordered unit sizes needs no more than
 binary search; the cuts then keep every shard within that capacity, each as near as it can to an even share of what is left.
 
 Defined cases: a null text counts as empty (size 8); rows that repeat are rows; shards beyond the number of
-units are empty; an empty table gives an empty result; a null doc_id sorts first; further columns are never read.
+units are empty; an empty table gives an empty result; a null doc_id sorts first, rows that tie in id and text in any order; a text longer than
+an even share is a shard of its own, as it can't be cut; further columns are never read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ subwords' document frequencies stands in for the model. A logistic curve, fitted
 sample that training never saw, turns the worst span's margin into a score.
 
 Defined cases: a null, blank or letterless text scores as one of ordinary words, and so do subwords that were never learned; rows that repeat are scored
-each; without labels of both kinds every score is 0.5; a null doc_id counts as the empty text in its fold; further columns are never read.
+each; without labels of both kinds every score is 0.5; a null doc_id counts as the empty text in its fold; very long texts are read whole, one
+after the other; of spans that tie the first is the worst, which leaves the score the same; an empty table gives an empty result; further
+columns are never read.
 """
 
 from __future__ import annotations
