@@ -28,8 +28,9 @@ def test_running(spark, many_ranges, keys):
     draw = random.Random(1)
     rows = [(draw.choice([None, 1, 2]), v, draw.choice([None, 1, 5])) for v in draw.sample(range(1000), 200)]
     df = ordered.ranged(spark.createDataFrame(rows, "g int, v int, n int"), keys, ["v"])
-    got = ordered.running(df, keys, ["v"], {"s": ("sum", F.col("n")), "m": ("max", F.col("n"))})
-    got = ordered.neighbour(ordered.neighbour(got, keys, "v", "next"), keys, "v", "last", back=True)
+    got = ordered.running(
+        df, keys, ["v"], {"s": ("sum", F.col("n")), "m": ("max", F.col("n"))}, {"t": F.col("n")}, {"next": ("v", False), "last": ("v", True)}
+    )
     assert df.select("_block").distinct().count() > 3
     groups = {}
     for r in sorted(rows, key=lambda r: r[1]):
@@ -39,8 +40,8 @@ def test_running(spark, many_ranges, keys):
         for i, r in enumerate(own):
             some = [x[2] for x in own[: i + 1] if x[2] is not None]
             beside = [own[k][1] if 0 <= k < len(own) else None for k in (i + 1, i - 1)]
-            want.append((*r, sum(some) if some else None, max(some, default=None), *beside))
-    assert sorted(map(tuple, got.select("g", "v", "n", "s", "m", "next", "last").collect()), key=str) == sorted(want, key=str)
+            want.append((*r, sum(some) if some else None, max(some, default=None), *beside, sum(x[2] or 0 for x in own)))
+    assert sorted(map(tuple, got.select("g", "v", "n", "s", "m", "next", "last", "t").collect()), key=str) == sorted(want, key=str)
 
 
 def test_quantiles_of_one_hot_group(spark, many_ranges):

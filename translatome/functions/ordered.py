@@ -36,26 +36,37 @@ def _joined(rows: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(other, same, "left").drop(*(f"_of_{k}" for k in own))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, tuple[str, Column]]) -> DataFrame:
-    """df (with _block, which follows the order) and for each name the running "sum" or "max" of a column in its group, its own row included."""
-    own = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+def running(
+    df: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, tuple[str, Column]],
+    totals: dict[str, Column] | None = None, beside: dict[str, tuple[str, bool]] | None = None,
+) -> DataFrame:
+    """df (with _block, which follows the order) and for each name of values the running "sum" or "max" of a column in its group, its own row included.
+
+    totals are sums over the whole group. beside are (column, back): the column's next value in the group (or, back, the one before), null at the end;
+    df must be in order of such columns.
+    """
+    totals, beside = totals or {}, beside or {}
+    own, blocks = Window.partitionBy(*keys, BLOCK).orderBy(*order), Window.partitionBy(*keys)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = blocks.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     of = {"sum": F.sum, "max": F.max}
-    totals = df.groupBy(*keys, BLOCK).agg(*(of[kind](c).alias(f"_all_{n}") for n, (kind, c) in values.items()))
-    carried = totals.select(*keys, BLOCK, *(of[kind](f"_all_{n}").over(earlier).alias(f"_before_{n}") for n, (kind, _) in values.items()))
-    rows = _joined(df.withColumns({n: of[kind](c).over(own) for n, (kind, c) in values.items()}), carried, keys)
+    each = df.groupBy(*keys, BLOCK).agg(
+        *(of[kind](c).alias(f"_all_{n}") for n, (kind, c) in values.items()),
+        *(F.sum(c).alias(f"_all_{n}") for n, c in totals.items()),
+        *((F.max if back else F.min)(at).alias(f"_end_{n}") for n, (at, back) in beside.items()),
+    )
+    carried = each.select(
+        *keys, BLOCK,
+        *(of[kind](f"_all_{n}").over(earlier).alias(f"_before_{n}") for n, (kind, _) in values.items()),
+        *(F.sum(f"_all_{n}").over(blocks).alias(n) for n in totals),
+        *((F.lag if back else F.lead)(f"_end_{n}").over(blocks.orderBy(BLOCK)).alias(f"_beside_{n}") for n, (_, back) in beside.items()),
+    )
+    within = {n: of[kind](c).over(upto) for n, (kind, c) in values.items()} | {n: (F.lag if back else F.lead)(at).over(own) for n, (at, back) in beside.items()}
+    rows = _joined(df.withColumns(within), carried, keys)
     plus = lambda n: F.coalesce(F.col(n) + F.col(f"_before_{n}"), F.col(n), F.col(f"_before_{n}"))
     both = {n: plus(n) if kind == "sum" else F.greatest(F.col(n), F.col(f"_before_{n}")) for n, (kind, _) in values.items()}
-    return rows.withColumns(both).drop(*(f"_before_{n}" for n in values))
-
-
-def neighbour(df: DataFrame, keys: list[str], at: str, name: str, back: bool = False) -> DataFrame:
-    """df (with _block) and the next value of `at` in its group, or the one before it; null at the end."""
-    own, blocks = Window.partitionBy(*keys, BLOCK).orderBy(at), Window.partitionBy(*keys).orderBy(BLOCK)
-    near, end = (F.lag, F.max) if back else (F.lead, F.min)
-    ends = df.groupBy(*keys, BLOCK).agg(end(at).alias("_end"))
-    beside = ends.select(*keys, BLOCK, near("_end").over(blocks).alias("_beside"))
-    return _joined(df.withColumn(name, near(at).over(own)), beside, keys).withColumn(name, F.coalesce(name, "_beside")).drop("_beside")
+    both |= {n: F.coalesce(F.col(n), F.col(f"_beside_{n}")) for n in beside}
+    return rows.withColumns(both).drop(*(f"_before_{n}" for n in values), *(f"_beside_{n}" for n in beside))
 
 
 def blocked(df: DataFrame, at: str, size: int = 1 << 16) -> DataFrame:

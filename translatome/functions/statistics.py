@@ -30,9 +30,7 @@ def quantiles_type8(df: DataFrame, keys: list[str], value: str, wanted: dict[str
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     counted = ordered.ranged(counted, keys, [value])
-    sizes = counted.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.sum("_c").alias("_n"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    ranked = ordered.running(counted, keys, [value], {"_hi": ("sum", F.col("_c"))}).join(sizes, same).drop(*(f"_of_{k}" for k in keys))
+    ranked = ordered.running(counted, keys, [value], {"_hi": ("sum", F.col("_c"))}, {"_n": F.col("_c")})
     aggregates = []
     for name, p in wanted.items():
         t = F.lit(1 / 3) + F.lit(p) * (F.col("_n") + F.lit(1 / 3))

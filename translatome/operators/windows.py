@@ -19,7 +19,7 @@ def coverage(reads: DataFrame, keys: list[str] = ["ref"]) -> DataFrame:  # noqa:
         F.struct(F.col("pos").alias("at"), F.lit(1).alias("step")), F.struct((F.col("pos") + F.col("len")).alias("at"), F.lit(-1).alias("step"))
     )).alias("e"))
     steps = ordered.blocked(events.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.step").alias("step")), "start")
-    depths = ordered.running(ordered.neighbour(steps, keys, "start", "end"), keys, ["start"], {"depth": ("sum", F.col("step"))})
+    depths = ordered.running(steps, keys, ["start"], {"depth": ("sum", F.col("step"))}, beside={"end": ("start", False)})
     return depths.filter("depth > 0").select(*keys, "start", "end", "depth")
 
 
@@ -135,7 +135,7 @@ def greedy_peaks(cover: DataFrame, least: float, half_width: int = 25) -> DataFr
         return pd.DataFrame(rows, columns=["ref", "peak", "height"])
 
     high = ordered.blocked(cover.filter(F.col("cover") > threshold).select("ref", "pos", "cover"), "pos")
-    high = ordered.neighbour(high, ["ref"], "pos", "before", back=True)
+    high = ordered.running(high, ["ref"], ["pos"], {}, beside={"before": ("pos", True)})
     opens = F.coalesce(F.col("pos") - F.col("before") > half_width, F.lit(True))
     clusters = ordered.running(high, ["ref"], ["pos"], {"cluster": ("max", F.when(opens, F.col("pos")))})
     return clusters.select("ref", "cluster", "pos", "cover").groupBy("ref", "cluster").applyInPandas(pick, "ref bigint, peak bigint, height bigint")
