@@ -79,7 +79,7 @@ def dedup_sites_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.site_counts(duplicates.tag_groups(rows, duplicates.ALIGNED_SITE), duplicates.ALIGNED_SITE).withColumn("unique", F.col("unique").cast("bigint"))
 
 
-@query(f"""WITH {READS}, g AS (SELECT ref, pos, strand, len, tag, count(*) AS n FROM reads GROUP BY ALL),
+@query(f"""WITH {READS}, g AS (SELECT ref, pos, strand, tag, count(*) AS n FROM reads GROUP BY ALL),
 s AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS "unique" FROM g GROUP BY ref, pos, strand) SELECT total, "unique", count(*) AS n_sites FROM s GROUP BY 1, 2""")
 def site_histogram_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = folders.fresh(spark, "sites")
