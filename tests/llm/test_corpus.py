@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,32 +322,44 @@ def test_stages_on_defined_cases(spark, rows):
 
 
 @pytest.mark.parametrize("n_shards", [2, 3, 5])
-@pytest.mark.parametrize("bits", [2, 16])
+@pytest.mark.parametrize("bits", [1, 2, 16])
 def test_sharding_like_brute_force(spark, monkeypatch, n_shards, bits):
-    """The largest shard is the least that any contiguous partition of the ordered units has, by trying all cuts."""
-    from itertools import combinations
-
+    """The largest shard is the least that any contiguous partition of the ordered groups has, however coarse the first cells are."""
+    monkeypatch.setattr(sharding, "BITS", bits)
+    monkeypatch.setattr(sharding, "MORE_BITS", 2)
+    monkeypatch.setattr(sharding, "REFINED", 3)
     rows = fixtures.corpus(11, 5) + fixtures.corpus(3, 5)
     docs = frame(spark, rows)
-    unit = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 64 - bits)
-    if bits != 16:  # units of several groups
-        real = F.shiftrightunsigned
-        monkeypatch.setattr(sharding.F, "shiftrightunsigned", lambda c, n: real(c, 64 - bits))
     got = sharding.sharded(docs, n_shards).collect()
     sizes = {}
-    for r in docs.select(unit.cast("int").alias("unit"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("size")).collect():
-        sizes[r.unit] = sizes.get(r.unit, 0) + r["size"]
-    order = [sizes[u] for u in sorted(sizes)]
-    cuts = combinations(range(len(order) + 1), n_shards - 1)
-    best = min(max(sum(order[a:b]) for a, b in zip((0, *c), (*c, len(order)), strict=True)) for c in cuts)
-    bytes_of = {}
+    for r in docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), (F.octet_length(F.coalesce("text", F.lit(""))) + 8).alias("size")).collect():
+        sizes[r.key] = sizes.get(r.key, 0) + r["size"]
+    best = least_largest([sizes[u] for u in sorted(sizes)], n_shards)
+    bytes_of, slots = {}, {}
     for r in got:
         bytes_of[r.shard] = bytes_of.get(r.shard, 0) + r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
     assert max(bytes_of.values()) == best and len(got) == len(rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sorted(r["size"] for r in got) == sorted(len(r[1].encode()) + 8 for r in rows)
     assert all(r.text_crc32 in {zlib.crc32(t[1].encode()) for t in rows if t[0] == r.doc_id} for r in got)
 
 
+@pytest.mark.parametrize("hot", [1, 400, 30_000])
+def test_cells_are_refined_until_the_capacity_is_known(spark, monkeypatch, hot):
+    """Groups in few cells, one of them with many rows: the capacity is that of all groups, most of which stay in coarse cells."""
+    monkeypatch.setattr(sharding, "BITS", 4)
+    monkeypatch.setattr(sharding, "MORE_BITS", 3)
+    draw = np.random.default_rng(hot)
+    keys = np.unique(draw.integers(-(1 << 63), 1 << 63, 3000))
+    sizes = draw.integers(8, 400, len(keys))
+    sizes[700] *= hot
+    groups = spark.createDataFrame(pd.DataFrame({"key": keys, "bytes": sizes, "n": 1}))
+    cells = sharding.balanced_cells(groups, 6)
+    assert sharding.smallest_capacity(cells["bytes"].to_numpy(), 6) == sharding.smallest_capacity(sizes, 6)
+    assert cells["bytes"].sum() == sizes.sum() and cells["n"].sum() == len(keys) and len(cells) < len(keys) / 2
+
+
 @pytest.mark.parametrize("capacity", [16, 100])
 def test_packing_like_plain_best_fit(spark, capacity):
     """In one part, as many sequences as best fit over the sorted pieces gives, piece by piece from the tokenizer's own ids."""
