@@ -1,5 +1,7 @@
 """Toxicity, quality and language on held-out rows, and on awkward ones."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,10 +84,37 @@ def test_dual_coordinate_descent_separates():
 
 
 def test_backoff_goes_to_shorter_grams():
-    model = {"languages": ["a", "b"], "words": {}, "grams": [{}, {}, {}, {"xy": np.array([0.0, -3.0])}, {"q": np.array([-2.0, 0.0])}]}
-    assert language_id.unseen_score("xy", model).tolist() == [0.0, -3.0]
-    assert language_id.unseen_score("q", model).tolist() == [-2.0, 0.0]
-    assert language_id.unseen_score("z", model).tolist() == [0.0, 0.0]
+    table = lambda a, b: language_id.Frequencies([Counter(a), Counter(b)])
+    two, one = table({"xy": 5}, {"yz": 1}), table({"x": 1}, {"q": 7})
+    model = {"languages": ["a", "b"], "words": table({"own": 2}, {}), "grams": [table({}, {}), table({}, {}), table({}, {}), two, one]}
+    got = language_id.word_scores(["xy", "own", "q", "z", "xyz"], model)
+    assert got[0].tolist() == two["xy"].tolist() and got[0][0] == 0 > got[0][1]
+    assert got[1].tolist() == model["words"]["own"].tolist()
+    assert got[2].tolist() == one["q"].tolist() and got[2][1] == 0 > got[2][0]
+    assert got[3].tolist() == [0.0, 0.0]
+    assert got[4].tolist() == ((two["xy"] + two["yz"]) / 2).tolist()
+    assert language_id.word_scores([], model).shape == (0, 2)
+
+
+def test_language_tables_hold_every_word_and_gram_of_the_sample():
+    """Refit by plain counting: smoothed log frequencies by language, up to a constant for each entry."""
+    texts = ["aa bb aa cc", "dd aa", "ee ff ff", "aa"]
+    model = language_id.fit(texts, ["x", "x", "y", "y"])
+    words = [Counter("aa bb aa cc dd aa".split()), Counter("ee ff ff aa".split())]
+    for n, table in [(0, model["words"]), *zip(range(5, 0, -1), model["grams"], strict=True)]:
+        counts = words
+        if n:
+            counts = [Counter() for _ in words]
+            for own, by_word in zip(counts, words, strict=True):
+                for w, c in by_word.items():
+                    marked = f"<{w}>" if n > 1 else w
+                    for i in range(len(marked) - n + 1):
+                        own[marked[i : i + n]] += c
+        every = set(counts[0]) | set(counts[1])
+        assert len(table) == len(every)
+        for entry in every:
+            want = np.log([(c[entry] + 0.5) / (sum(c.values()) + 0.5 * len(every)) for c in counts])
+            assert np.allclose(table[entry], want - want.max())
 
 
 def test_language_like_plain_scoring(spark):

@@ -26,10 +26,10 @@ from translatome.llm.fitting import fitted, labelled_sample
 
 UNKNOWN = "und"
 LONGEST = 5
-#: Documents of each language that are learned from; its most frequent words and n-grams (of each order) that the model has.
-PER_LANGUAGE, KEPT_WORDS, KEPT_GRAMS = 2500, 20_000, 6_000
-LEAST_COUNT, SMOOTHING = 3, 0.5
-REMEMBERED = 500_000
+#: Documents of each language that are learned from. All their words and n-grams are in the model.
+PER_LANGUAGE, SMOOTHING = 2500, 0.5
+#: New words of a task are looked up by so many at a time, and kept until there are more than REMEMBERED.
+LOOKED_UP, REMEMBERED = 50_000, 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -46,16 +46,40 @@ def has_letter(words: list[str]) -> bool:
     return any(w.isalpha() for w in words) or any(c.isalpha() for w in words for c in w)
 
 
-def _table(counts: dict[str, np.ndarray], kept: int) -> dict[str, np.ndarray]:
-    """Log frequencies by language of the entries that are among the `kept` most frequent of any language."""
-    if not counts:
-        return {}
-    every = sorted(counts)
-    ranked = np.argsort(-np.array([counts[k] for k in every]), axis=0, kind="stable")
-    names = [every[i] for i in np.unique(ranked[:kept])]
-    table = np.array([counts[k] for k in names]) + SMOOTHING
-    table = np.log(table / table.sum(axis=0))
-    return dict(zip(names, table - table.max(axis=1, keepdims=True), strict=True))
+class Frequencies:
+    """Log frequencies by language of all that was counted, however rare; a language without a count has the smoothed one of zero.
+
+    Only counts above zero are kept, so the size is that of the sample's words and not of words times languages.
+    """
+
+    def __init__(self, counts: list[Counter]) -> None:
+        self.row: dict[str, int] = {}
+        rows = [np.fromiter((self.row.setdefault(k, len(self.row)) for k in own), np.int64, len(own)) for own in counts]
+        seen = [np.fromiter(own.values(), np.float64, len(own)) for own in counts]
+        every = np.concatenate([*rows, np.zeros(0, np.int64)])
+        order = np.argsort(every, kind="stable")
+        self.end = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(self.row)))])
+        self.language = np.repeat(np.arange(len(counts)), [len(r) for r in rows])[order].astype(np.int32)
+        self.gain = np.log1p(np.concatenate([*seen, np.zeros(0)])[order] / SMOOTHING)
+        self.base = np.log(SMOOTHING / np.array([max(SMOOTHING, n.sum() + SMOOTHING * len(self.row)) for n in seen]))
+
+    def at(self, rows: list[int]) -> np.ndarray:
+        """By row and language, the likeliest at 0."""
+        first = self.end[rows]
+        n = self.end[np.asarray(rows, np.int64) + 1] - first
+        own = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        value = np.tile(self.base, (len(rows), 1))
+        value[np.repeat(np.arange(len(rows)), n), self.language[own]] += self.gain[own]
+        return value - value.max(axis=1, keepdims=True)
+
+    def __getitem__(self, entry: str) -> np.ndarray:
+        return self.at([self.row[entry]])[0]
+
+    def __contains__(self, entry: str) -> bool:
+        return entry in self.row
+
+    def __len__(self) -> int:
+        return len(self.row)
 
 
 def fit(texts: list[str], labels: list[str]) -> dict | None:
@@ -63,35 +87,47 @@ def fit(texts: list[str], labels: list[str]) -> dict | None:
     languages = sorted(set(labels))
     if not languages:
         return None
-    at = {name: k for k, name in enumerate(languages)}
-    by_word: dict[str, np.ndarray] = {}
-    for name in languages:
-        seen = Counter(w for t, own in zip(texts, labels, strict=True) if own == name for w in words_of(t))
-        for w, n in seen.items():
-            by_word.setdefault(w, np.zeros(len(languages)))[at[name]] += n
+    by_word = {name: Counter() for name in languages}
+    for t, own in zip(texts, labels, strict=True):
+        by_word[own].update(words_of(t))
     tables = []
     for n in range(LONGEST, 0, -1):
-        grams: dict[str, np.ndarray] = {}
-        for w, c in by_word.items():
-            for g in _grams(w, n):
-                if g in grams:
-                    grams[g] = grams[g] + c
-                else:
-                    grams[g] = c
-        tables.append(_table({g: c for g, c in grams.items() if c.sum() >= LEAST_COUNT or n == 1}, KEPT_GRAMS))
-    words = _table({w: c for w, c in by_word.items() if c.sum() >= LEAST_COUNT}, KEPT_WORDS)
+        grams = []
+        for name in languages:
+            own: Counter = Counter()
+            for w, c in by_word[name].items():
+                for g in _grams(w, n):
+                    own[g] += c
+            grams.append(own)
+        tables.append(Frequencies(grams))
     sampled = Counter(labels)
     commonest = min(range(len(languages)), key=lambda k: (-sampled[languages[k]], k))
-    return {"languages": languages, "words": words, "grams": tables, "commonest": commonest}
+    return {"languages": languages, "words": Frequencies(list(by_word.values())), "grams": tables, "commonest": commonest}
 
 
-def unseen_score(word: str, model: dict) -> np.ndarray:
-    """Mean over the known n-grams of the longest order that has any."""
+def word_scores(words: list[str], model: dict) -> np.ndarray:
+    """Scores by word and language: of known words their own, of others the mean over the known n-grams of the longest order that has any."""
+    scores = np.zeros((len(words), len(model["languages"])))
+    rows = [model["words"].row.get(w) for w in words]
+    seen = [i for i, r in enumerate(rows) if r is not None]
+    if seen:
+        scores[seen] = model["words"].at([rows[i] for i in seen])
+    rest = [i for i, r in enumerate(rows) if r is None]
     for n, table in zip(range(LONGEST, 0, -1), model["grams"], strict=True):
-        found = [table[g] for g in _grams(word, n) if g in table]
-        if found:
-            return np.mean(found, axis=0)
-    return np.zeros(len(model["languages"]))
+        done, found, starts, left = [], [], [], []
+        for i in rest:
+            own = [r for r in map(table.row.get, _grams(words[i], n)) if r is not None]
+            if own:
+                done.append(i)
+                starts.append(len(found))
+                found += own
+            else:
+                left.append(i)
+        if done:
+            sums = np.add.reduceat(table.at(found), starts, axis=0)
+            scores[done] = sums / np.diff([*starts, len(found)])[:, None]
+        rest = left
+    return scores
 
 
 def predicted(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -108,12 +144,14 @@ def predicted(docs: DataFrame, model: dict | None) -> DataFrame:
             if m:
                 if len(known) > REMEMBERED:
                     known.clear()
-                for w in {w for ws in texts for w in ws if w not in known}:
-                    at = known[w] = len(known)
-                    if at == len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    own = m["words"].get(w)
-                    table[at] = unseen_score(w, m) if own is None else own
+                new = sorted({w for ws in texts for w in ws if w not in known})
+                first = len(known)
+                known.update(zip(new, range(first, first + len(new)), strict=True))
+                while len(known) > len(table):
+                    table = np.concatenate([table, np.zeros_like(table)])
+                for k in range(0, len(new), LOOKED_UP):
+                    some = new[k : k + LOOKED_UP]
+                    table[first + k : first + k + len(some)] = word_scores(some, m)
             get = known.__getitem__
             for ws in texts:
                 if not has_letter(ws):
