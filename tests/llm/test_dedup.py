@@ -1,6 +1,7 @@
 """Substring, exact and near deduplication."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -99,6 +100,28 @@ def test_index_persists(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan  # the buckets are the partitioning
 
 
+def test_index_is_compacted_and_leaves_the_catalog(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_BUCKETS", 2)
+    monkeypatch.setattr(exact_dedup, "ROWS_A_BUCKET", 7)
+    rows = fixtures.corpus(60)
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 2)
+    for k in range(0, 60, 20):
+        exact_dedup.decided(frame(spark, rows[k : k + 20]), index)
+    files = lambda where: [f for f in os.listdir(where) if f.endswith(".parquet")]
+    assert len(files(tmp_path / "index")) > 2
+    new = index.compacted(f"file://{tmp_path}/new")
+    n = index.rows().count()
+    assert new.buckets == -(-n // 7) and len(files(tmp_path / "new")) <= new.buckets
+    assert sorted(map(tuple, new.rows().collect())) == sorted(map(tuple, index.rows().collect()))
+    assert not any(r.kept for r in exact_dedup.decided(frame(spark, rows), new).collect()) and new.rows().count() == n
+    for one in (index, new):
+        one.unregistered()
+    assert index.rows().count() == n
+    before = spark.catalog.listTables()
+    assert exact_dedup.decided(frame(spark, rows)).count() == len(rows) and exact_dedup.deduplicated(frame(spark, rows)).count() == n
+    assert spark.catalog.listTables() == before
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 @pytest.mark.parametrize("rows", [fixtures.corpus(), fixtures.corpus(150, 5), fixtures.awkward(), []], ids=["corpus", "other", "awkward", "empty"])
 def test_near_like_brute_force(spark, rows, percent):
