@@ -149,6 +149,43 @@ def test_greedy_peaks(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("size", [1, 2, 5, 1 << 16])
+def test_runs_across_stretches(spark, size):
+    """Islands and hulls position by position, over groups (one of them null) whose runs cross several stretches."""
+    import random
+
+    draw = random.Random(size)
+    rows = [(k, at, draw.random() < 0.5, draw.random() < 0.7) for k in (1, 2, None) for at in range(-7, 60) if draw.random() < 0.9]
+    rows += [(3, at, True, None) for at in range(40)] + [(4, None, True, True)]
+    df = spark.createDataFrame(rows, "k int, nt bigint, a boolean, b boolean")
+    want = []
+    for k in {r[0] for r in rows}:
+        run = []
+        for at, a, b in [*sorted(r[1:] for r in rows if r[0] == k and r[1] is not None and (r[2] or r[3])), (10**6, False, False)]:
+            if run and at != run[-1][0] + 1:
+                hulls = [[p for p, x, y in run if ok(x, y)] for ok in (lambda x, y: x, lambda x, y: y, lambda x, y: x and y)]
+                want.append((k, run[0][0], run[-1][0], *(v for h in hulls for v in ((min(h), max(h)) if h else (None, None)))))
+                run = []
+            run.append((at, a, b))
+    got = windows.peak_hulls(df, ["k"], size=size)
+    assert got.columns == ["k", "first", "last", "a_first", "a_last", "b_first", "b_last", "both_first", "both_last"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plain = windows.islands(df.filter("a or b").union(df.filter("a or b")), ["k"], size=size).collect()
+    assert sorted(map(tuple, plain), key=str) == sorted((w[:3] for w in want), key=str)
+
+
+def test_long_sample_sheets_are_not_broadcast(spark, monkeypatch):
+    fastq = spark.createDataFrame([("r1", "ACGTTTTA", "12345678"), ("r2", "AC", "12")], "name string, seq string, qual string")
+    samples = spark.createDataFrame([("x", "CGA"), ("y", "TTT")], "name string, idx string")
+    found = []
+    for few in (2, 1):
+        monkeypatch.setattr(barcodes, "FEW", few)
+        df = barcodes.demultiplexed(fastq, samples, "NII", "I")
+        assert ("rightHint=(strategy=broadcast)" in df._jdf.queryExecution().optimizedPlan().toString()) == (few == 2)
+        found.append(sorted((r.name, r.fate, r.mismatches) for r in df.collect()))
+    assert found[0] == found[1] == [("r1", "x", 0), ("r2", "TooShort", None)]
+
+
 def test_barcodes(spark):
     assert [barcodes.generated(spark, n).count() for n in (1, 2, 3, 4)] == [4, 12, 24, 48]
     picked = barcodes.selected(barcodes.generated(spark, 4), spark.createDataFrame([("x", "ACGT")], "name string, seq string"), 3).orderBy("ord").collect()

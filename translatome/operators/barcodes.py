@@ -10,6 +10,8 @@ from translatome.functions import sequences
 
 #: Barcodes that a selection may start from; the pairs of their distances are a small matrix on the driver.
 MOST_CANDIDATES = 5000
+#: Samples whose indexes (some 40 each, of one mismatch) are broadcast.
+FEW = 10_000
 
 
 def distances(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -150,9 +152,15 @@ def sample_lookup(samples: DataFrame, perfect: bool = False) -> DataFrame:
 
 
 def demultiplexed(fastq: DataFrame, samples: DataFrame, prefix: str, suffix: str, least_insert: int = 0) -> DataFrame:
-    """fastq (name, seq, qual) with fate (a sample, UnknownIndex or TooShort), barcode, insert and mismatches; samples are a short list."""
+    """fastq (name, seq, qual) with fate (a sample, UnknownIndex or TooShort), barcode, insert and mismatches.
+
+    The indexes of up to FEW samples are broadcast, a sheet of more is joined as Spark sees fit.
+    """
     split = fastq.withColumn("s", split_linker(F.col("seq"), F.col("qual"), prefix, suffix, least_insert)).select(*fastq.columns, "s.*")
-    joined = split.join(F.broadcast(sample_lookup(samples)), split["sample_index"] == F.col("idx"), "left").drop("idx")
+    lookup = sample_lookup(samples)
+    if samples.limit(FEW + 1).count() <= FEW:
+        lookup = F.broadcast(lookup)
+    joined = split.join(lookup, split["sample_index"] == F.col("idx"), "left").drop("idx")
     fate = F.when(F.col("short"), "TooShort").when(F.col("sample").isNull(), "UnknownIndex").otherwise(F.col("sample"))
     mismatches = F.when(F.col("sample").isNotNull(), sequences.hamming(F.col("sample_index"), F.col("sample_idx"), ignore_case=False))
     return joined.withColumn("fate", fate).withColumn("mismatches", mismatches)

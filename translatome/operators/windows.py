@@ -82,27 +82,41 @@ def transcript_windows(placed: DataFrame, transcripts: DataFrame, lengths: Colum
     return _ratios(joined.select("trx_id", (F.col("w") * size).alias("win_start"), "raw", "uniq", "perf", "scaled"))
 
 
-def islands(track: DataFrame, keys: list[str], at: str = "nt") -> DataFrame:
-    """Runs of consecutive positions as inclusive intervals: keys, first, last."""
-    order = Window.partitionBy(*keys).orderBy(at)
-    runs = track.select(*keys, at).distinct().withColumn("_run", F.col(at) - F.row_number().over(order))
-    return runs.groupBy(*keys, "_run").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("_run")
+def _runs(on: DataFrame, keys: list[str], at: str, hulls: dict[str, Column], size: int) -> DataFrame:
+    """keys, first and last of each run of consecutive positions, and the least (_first) and greatest (_last) of further columns in it.
 
-
-def peak_hulls(track: DataFrame, keys: list[str], at: str = "nt") -> DataFrame:
+    on: distinct positions. Runs are found in stretches of `size` positions; only those that touch the edge of a stretch, two of each at
+    most, are joined along the whole group.
+    """
+    columns = {"first": F.col(at), "last": F.col(at)} | hulls
+    of = lambda name: F.min if name.endswith("first") else F.max
+    stretch = F.floor(F.col(at) / size)
+    place = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(at))
+    rows = on.withColumn("_stretch", stretch).withColumn("_run", F.col(at) - place)
+    parts = rows.groupBy(*keys, "_stretch", "_run").agg(*(of(n)(c).alias(n) for n, c in columns.items())).select(*keys, *columns)
+    touches = (F.pmod("first", F.lit(size)) == 0) | (F.pmod(F.col("last") + 1, F.lit(size)) == 0)
+    order = Window.partitionBy(*keys).orderBy("first")
+    opens = F.coalesce(F.col("first") - F.lag("last").over(order) > 1, F.lit(True))
+    edges = parts.filter(touches).withColumn("_opens", opens.cast("int"))
+    edges = edges.withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edges.groupBy(*keys, "_run").agg(*(of(n)(n).alias(n) for n in columns)).drop("_run")
+    return parts.filter(~touches).unionByName(joined)
+
+
+def islands(track: DataFrame, keys: list[str], at: str = "nt", size: int = 1 << 16) -> DataFrame:
+    """Runs of consecutive positions as inclusive intervals: keys, first, last. Null positions are left out."""
+    return _runs(track.select(*keys, at).filter(F.col(at).isNotNull()).distinct(), keys, at, {}, size)
+
+
+def peak_hulls(track: DataFrame, keys: list[str], at: str = "nt", size: int = 1 << 16) -> DataFrame:
     """Islands of positions where a or b holds, with the hulls of a, of b and of both inside each.
 
-    track: keys, at, a, b (boolean). Null counts as false.
+    track: keys, at, a, b (boolean), one row for a position. Null counts as false; null positions are left out.
     """
     a, b = (F.coalesce(F.col(c), F.lit(False)) for c in ("a", "b"))
     on = track.select(*keys, at, a.alias("a"), b.alias("b")).filter("a or b")
-    runs = on.withColumn("_run", F.col(at) - F.row_number().over(Window.partitionBy(*keys).orderBy(at)))
-    hull = lambda f, c, name: f(F.when(c, F.col(at))).alias(name)
-    both = F.col("a") & F.col("b")
-    return runs.groupBy(*keys, "_run").agg(
-        F.min(at).alias("first"), F.max(at).alias("last"),
-        *[hull(f, c, f"{n}_{e}") for n, c in (("a", F.col("a")), ("b", F.col("b")), ("both", both)) for f, e in ((F.min, "first"), (F.max, "last"))],
-    ).drop("_run")
+    of = {"a": F.col("a"), "b": F.col("b"), "both": F.col("a") & F.col("b")}
+    return _runs(on, keys, at, {f"{n}_{e}": F.when(c, F.col(at)) for n, c in of.items() for e in ("first", "last")}, size)
 
 
 def peak_type() -> Column:
