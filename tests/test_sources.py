@@ -216,3 +216,19 @@ def test_site_histogram_in_order(spark, tmp_path):
 def test_unknown_pars_feature(spark, tmp_path):
     with pytest.raises(Exception, match="unknown feature type: exon"):
         tables.read_pars_features(spark, put(tmp_path, "pf", "g\tCDS\t3\t9\ng\texon\t0\t20\n")).collect()
+
+
+def test_wig_in_many_files(spark, tmp_path):
+    """A reference that goes on in another file is named there again."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    track = spark.createDataFrame([(f"c{i % 3}", i * 997 % 5000, float(i)) for i in range(3000)] + [("far", k * 4_194_304, 1.0) for k in range(6)], "ref string, at bigint, n double")
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "9")
+        annotations.write_wig(track, str(tmp_path / "w"))
+        found = sorted(map(tuple, annotations.read_wig(spark, str(tmp_path / "w")).collect()))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert found == sorted(map(tuple, track.collect()))

@@ -12,6 +12,8 @@ BED12 = (
     "ref string, start bigint, end bigint, name string, score string, strand string, thick_start bigint, thick_end bigint, rgb string, "
     "n_blocks int, block_sizes string, block_starts string"
 )
+#: Positions under one header of a WIG file, as many as the reference buffers.
+WIG_STRETCH = 4_194_304
 BEDPE = "ref1 string, left1 bigint, right1 bigint, ref2 string, left2 bigint, right2 bigint, name string, score string, strand1 string, strand2 string"
 
 
@@ -69,10 +71,17 @@ def read_bedpe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_wig(track: DataFrame, path: str) -> None:
-    """A variable-step track (ref, at, n; 0-based) as text, in order, 1-based, with two decimals, a header for each reference."""
-    rows = track.select("ref", F.col("at").cast("bigint").alias("at"), F.concat_ws(" ", (F.col("at") + 1).cast("string"), F.format_string("%.2f", F.col("n").cast("double"))).alias("value"))
-    heads = track.select("ref").distinct().select("ref", F.lit(-1).cast("bigint").alias("at"), F.concat(F.lit("variableStep chrom="), F.col("ref").cast("string"), F.lit(" span=1")).alias("value"))
-    rows.unionByName(heads).orderBy("ref", "at").select("value").write.text(path)
+    """A variable-step track (ref, at, n; 0-based) as text, in order, 1-based, with two decimals, a header for each reference.
+
+    A reference has a header again every WIG_STRETCH positions: a stretch is in one file, so no file goes on without the name of its reference.
+    """
+    text = F.concat_ws(" ", (F.col("at") + 1).cast("string"), F.format_string("%.2f", F.col("n").cast("double")))
+    stretch = F.floor(F.col("at") / WIG_STRETCH).alias("stretch")
+    rows = track.select("ref", stretch, F.lit(1).alias("kind"), F.col("at").cast("bigint").alias("at"), text.alias("value"))
+    head = F.concat(F.lit("variableStep chrom="), F.col("ref").cast("string"), F.lit(" span=1"))
+    heads = track.select("ref", stretch).distinct().select("ref", "stretch", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("at"), head.alias("value"))
+    dealt = rows.unionByName(heads).repartitionByRange("ref", "stretch").sortWithinPartitions("ref", "stretch", "kind", "at")
+    dealt.select("value").write.text(path)
 
 
 def write_wig_pair(track: DataFrame, path: str, scale: float = 1.0) -> None:
