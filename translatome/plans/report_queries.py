@@ -184,7 +184,7 @@ def pars_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, first = F.col("gene"), F.col("gene") % 7
     whole = e.select("gene", F.lit("Transcript").alias("ftype"), first.alias("start"), (first + 40).alias("end"))
     cds = e.filter(g % 5 != 0).select("gene", F.lit("CDS").alias("ftype"), (first + g % 40).alias("start"), (first + g % 40 + 3).alias("end"))
-    scores = e.filter(g % 3 != 0).select("gene", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)).alias("scores"))
+    scores = e.filter(g % 3 != 0).select("gene", F.transform("embedding", lambda x: views.thousandths(x)).alias("scores"))
     stats = starts.pars_windows(reports.pars_items(whole.unionByName(cds), scores))
     return stats.select("gene", "size", F.round("total", 6).alias("total"))
 
