@@ -58,21 +58,23 @@ def overlap_join(
     b = _dealt(right, *right_span, bin_size, list(range(top + 1)), "b")
     touch = (F.col(left_span[0]) < F.col(right_span[1])) & (F.col(right_span[0]) < F.col(left_span[1]))
     once = (F.col("_bin") == F.greatest("_first_a", "_first_b")) & (F.col("_level") == F.greatest("_level_a", "_level_b"))
-    joined = a.join(b, [*keys, "_level", "_bin"]).filter(touch & once)
+    joined = a.join(b.hint("merge"), [*keys, "_level", "_bin"]).filter(touch & once)  # b is larger than its files tell: never broadcast it
     if extra is not None:
         joined = joined.filter(extra)
     return joined.drop("_level", "_bin", "_first_a", "_first_b", "_level_a", "_level_b")
 
 
 def without_overlap(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bin_size: int = BIN) -> DataFrame:
-    """Rows of left that overlap nothing of right."""
-    a = left.withColumn("_row", F.struct(*left.columns))
+    """Rows of left that overlap nothing of right. Equal spans of either side meet once."""
     hits = overlap_join(
-        a.select(*keys, "_row", F.col(left_span[0]).alias("_ls"), F.col(left_span[1]).alias("_le")),
-        right.select(*keys, F.col(right_span[0]).alias("_rs"), F.col(right_span[1]).alias("_re")),
+        left.select(*keys, F.col(left_span[0]).alias("_ls"), F.col(left_span[1]).alias("_le")).distinct(),
+        right.select(*keys, F.col(right_span[0]).alias("_rs"), F.col(right_span[1]).alias("_re")).distinct(),
         keys, ("_ls", "_le"), ("_rs", "_re"), bin_size, long_left=True,
-    ).select("_row").distinct()
-    return a.join(hits, "_row", "left_anti").drop("_row")
+    ).select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_ls", "_le").distinct()
+    same = (F.col(left_span[0]) == F.col("_ls")) & (F.col(left_span[1]) == F.col("_le"))
+    for k in keys:
+        same &= F.col(k) == F.col(f"_of_{k}")
+    return left.join(hits, same, "left_anti")
 
 
 def first_offenders(
@@ -80,11 +82,15 @@ def first_offenders(
 ) -> DataFrame:
     """Rows of left that overlap anything of right, with the first one there by `order` (columns of right) as the struct offender.
 
-    What without_overlap leaves out, and why; rows of left that repeat are one.
+    What without_overlap leaves out, and why; rows of left that repeat are one. Equal spans meet once: of those of right the first one does.
     """
-    pairs = overlap_join(
-        left.select(*keys, F.struct(*left.columns).alias("_row"), F.col(left_span[0]).alias("_ls"), F.col(left_span[1]).alias("_le")),
-        right.select(*keys, F.struct(*order).alias("_offender"), F.col(right_span[0]).alias("_rs"), F.col(right_span[1]).alias("_re")),
-        keys, ("_ls", "_le"), ("_rs", "_re"), bin_size, long_left=True,
-    )
-    return pairs.groupBy("_row").agg(F.min("_offender").alias("offender")).select("_row.*", "offender")
+    spans = left.select(*keys, F.col(left_span[0]).alias("_ls"), F.col(left_span[1]).alias("_le")).distinct()
+    others = right.select(*keys, F.struct(*order).alias("_offender"), F.col(right_span[0]).alias("_rs"), F.col(right_span[1]).alias("_re"))
+    firsts = others.groupBy(*keys, "_rs", "_re").agg(F.min("_offender").alias("_offender"))
+    pairs = overlap_join(spans, firsts, keys, ("_ls", "_le"), ("_rs", "_re"), bin_size, long_left=True)
+    found = pairs.groupBy(*keys, "_ls", "_le").agg(F.min("_offender").alias("offender"))
+    found = found.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_ls", "_le", "offender")
+    same = (F.col(left_span[0]) == F.col("_ls")) & (F.col(left_span[1]) == F.col("_le"))
+    for k in keys:
+        same &= F.col(k) == F.col(f"_of_{k}")
+    return left.distinct().join(found, same).select(*left.columns, "offender")
