@@ -11,9 +11,10 @@ from translatome.functions.statistics import quantiles_type8
 LAST = 51
 
 
-def histogram(reads: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """keys, bin, n over observed lengths."""
-    return reads.groupBy(*keys, F.least(F.col("len"), F.lit(LAST)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def histogram(reads: DataFrame, keys: list[str] = [], weight: str | None = None) -> DataFrame:  # noqa: B006
+    """keys, bin, n over observed lengths; weight: a column that says how many reads a row is."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return reads.groupBy(*keys, F.least(F.col("len"), F.lit(LAST)).alias("bin")).agg(n.alias("n"))
 
 
 def cumulative(counts: DataFrame) -> DataFrame:
