@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from translatome.functions import coords
 from translatome.functions.statistics import entropy_bits, ratio
-from translatome.operators.asites import overlapping
+from translatome.operators.asites import CODING, SHAPE, overlapping, with_extent
+from translatome.operators.intervals import overlap_join
 
 BAD_ALIGNMENT = ("NoHit", "TooShort", "TooLong", "MultiHit")
 BAD_ANNOTATION = ("NoGene", "NoncodingOnly", "NoncodingOverlap", "MultiCoding", "NoCompatible", "AmbigFrame")
@@ -26,7 +27,7 @@ def classified(
     """read_ord, len, status, gene_id, vs_start, vs_end, frame, one row per read.
 
     Offsets are given where all compatible coding isoforms of the one gene agree; body bounds the offsets from the start
-    (at least) and from the stop codon (at most) between which a frame is read.
+    (at least) and from the stop codon (at most) between which a frame is read. Reads of one place, and transcripts of one structure, are looked at once.
     """
     gate = (
         F.when(F.col("len").isNull(), "NoHit")
@@ -35,33 +36,52 @@ def classified(
         .when(~unique_hit(multi_first), "MultiHit")
     )
     gated = reads.withColumn("gate", gate)
-    pairs = overlapping(gated.filter("gate is null").drop("gate"), transcripts)
+    alike = gated.filter("gate is null").select(*SHAPE).distinct()
+    gene = F.col("gene_id")
+    shapes = transcripts.groupBy(*CODING).agg(F.min("gene_id").alias("gene_first"), F.max("gene_id").alias("gene_last"), F.max(gene.isNull()).alias("gene_null"))
+    pairs = overlapping(alike, shapes)
     lo = coords.five_prime(F.col("blocks"), F.col("trx_blocks"), F.col("trx_strand"))
     fits = F.col("cds_start").isNotNull() & coords.compatible(F.col("blocks"), F.col("trx_blocks"))
-    vs_start = F.when(fits, lo - F.col("cds_start"))
-    vs_end = F.when(fits, lo - (F.col("cds_start") + F.col("cds_len") - 3))
-    frame = F.when((vs_start >= body[0]) & (vs_end <= body[1]), F.pmod(vs_start, F.lit(3)))
-    agree = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
-    genes = pairs.select("read_ord", "gene_id", F.col("cds_start").isNotNull().alias("coding"), vs_start.alias("vs"), vs_end.alias("ve"), frame.alias("fr"))
-    by_gene = genes.groupBy("read_ord", "gene_id").agg(
-        F.max("coding").alias("coding"), F.count("vs").alias("fitting"), agree(F.col("vs")).alias("vs_start"),
-        agree(F.col("ve")).alias("vs_end"), F.min("fr").alias("frame"), (F.min("fr") < F.max("fr")).alias("ambiguous"),
+    at = pairs.select(*SHAPE, "gene_first", "gene_last", "gene_null", "cds_start", "cds_len", F.when(fits, lo).alias("lo"))
+    vs, ve = F.col("lo") - F.col("cds_start"), F.col("lo") - (F.col("cds_start") + F.col("cds_len") - 3)
+    frame = F.when((F.col("vs") >= body[0]) & (F.col("ve") <= body[1]), F.pmod("vs", F.lit(3)))
+    placed = at.withColumn("vs", vs).withColumn("ve", ve).withColumn("fr", frame)
+    agree = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(f"vs_{'start' if c == 'vs' else 'end'}")
+    first, last = F.min("gene_first"), F.max("gene_last")
+    # where one gene is met, all that is met is that gene's
+    met = placed.groupBy(*SHAPE).agg(
+        first.alias("gene_id"), F.coalesce((first < last) | (F.max("gene_null") & first.isNotNull()), F.lit(False)).alias("several"), F.max(F.col("cds_start").isNotNull()).alias("coding"),
+        F.count("vs").alias("fitting"), agree("vs"), agree("ve"), F.min("fr").alias("frame"), (F.min("fr") < F.max("fr")).alias("ambiguous"),
     )
-    one = F.struct("gene_id", "fitting", "vs_start", "vs_end", "frame", "ambiguous")
-    by_read = by_gene.groupBy("read_ord").agg(F.count(F.lit(1)).alias("genes"), F.sum(F.col("coding").cast("int")).alias("codings"), F.min(one).alias("one"))
+    bare = _noncoding_only(alike, transcripts).withColumn("bare", F.lit(True))
+    by_read = met.join(bare.hint("merge"), [*SHAPE], "left")
     found = (
         F.when(F.col("gate").isNotNull(), F.col("gate"))
-        .when(F.col("genes").isNull(), "NoGene")
-        .when(F.col("codings") == 0, "NoncodingOnly")
-        .when(F.col("codings") < F.col("genes"), "NoncodingOverlap")
-        .when(F.col("genes") > 1, "MultiCoding")
-        .when(F.col("one.fitting") == 0, "NoCompatible")
-        .when(F.col("one.ambiguous"), "AmbigFrame")
+        .when(F.col("coding").isNull(), "NoGene")
+        .when(~F.col("coding"), "NoncodingOnly")
+        .when(F.col("several") & F.col("bare").isNotNull(), "NoncodingOverlap")
+        .when(F.col("several"), "MultiCoding")
+        .when(F.col("fitting") == 0, "NoCompatible")
+        .when(F.col("ambiguous"), "AmbigFrame")
         .otherwise(GOOD)
     )
-    joined = gated.select("read_ord", "len", "gate").join(by_read, "read_ord", "left").withColumn("status", found)
+    joined = gated.select("read_ord", "len", "gate", *SHAPE).join(by_read.hint("merge"), [*SHAPE], "left").withColumn("status", found)
     good = F.col("status") == GOOD
-    return joined.select("read_ord", "len", "status", *[F.when(good, F.col(f"one.{c}")).alias(c) for c in ("gene_id", "vs_start", "vs_end", "frame")])
+    return joined.select("read_ord", "len", "status", *[F.when(good, F.col(c)).alias(c) for c in ("gene_id", "vs_start", "vs_end", "frame")])
+
+
+def _noncoding_only(reads: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Reads (ref, strand, blocks) that overlap a gene's noncoding transcripts and none of its coding ones.
+
+    Only the extents matter for that: genes with the same extents are one.
+    """
+    span = F.struct(coords.blocks_start(F.col("blocks")).alias("low"), coords.blocks_end(F.col("blocks")).alias("high"))
+    of = lambda coding: F.array_sort(F.collect_set(F.when(F.col("cds_start").isNotNull() == coding, span)))
+    genes = transcripts.groupBy("ref", "strand", "gene_id").agg(of(F.lit(False)).alias("noncoding"), of(F.lit(True)).alias("coding_spans"))
+    spans = genes.select("ref", "strand", "coding_spans", F.inline("noncoding")).distinct()
+    r = with_extent(reads, "blocks", "read_from", "read_to")
+    free = ~F.exists("coding_spans", lambda s: (s["low"] < F.col("read_to")) & (F.col("read_from") < s["high"]))
+    return overlap_join(r, spans, ["ref", "strand"], ("read_from", "read_to"), ("low", "high"), extra=free).select(*SHAPE).distinct()
 
 
 def status_table(rows: DataFrame) -> DataFrame:
