@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from translatome.operators import asites, intervals, lengths, reports
+from translatome.functions import sequences
+from translatome.operators import asites, framing, intervals, lengths, reports
 
 TRX = "trx_id bigint, gene_id bigint, ref string, strand string, blocks array<struct<start:bigint,len:bigint>>, cds_start bigint, cds_len bigint"
 READS = "read_ord bigint, ref string, strand string, blocks array<struct<start:bigint,len:bigint>>, len bigint, nh bigint"
@@ -62,3 +63,26 @@ def test_equal_spans_meet_once(spark):
     # never broadcast: files tell too little of what is dealt to bins
     plan = intervals.overlap_join(left, right.withColumnRenamed("ref", "ref"), ["ref"], ("s", "e"), ("os", "oe"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_framing_meets_once(spark, monkeypatch):
+    """Genes that are alike are looked at once; a gene of which a read meets noncoding transcripts only makes it NoncodingOverlap."""
+    block = lambda a, n: [(a, n)]
+    trx = [(k, k, "a", "+", block(1000, 300), 30, 90) for k in range(5)]  # five coding genes at one place
+    trx += [(10, 10, "a", "+", block(3000, 300), 30, 90), (11, 10, "a", "+", block(3000, 600), None, None), (12, 12, "a", "+", block(3200, 600), 30, 90)]
+    trx += [(20, None, "a", "+", block(5000, 300), 30, 90), (21, 21, "a", "+", block(7000, 300), None, None), (22, 22, "a", "+", block(9000, 300), 30, 90)]
+    at = [1100, 3050, 3250, 3400, 5100, 7100, 9080, 20]
+    reads = [(i * 3 + k, "a", "+", block(p, 28), 28, 1) for i, p in enumerate(at) for k in range(3)]
+    seen, real = [], framing.overlapping
+    monkeypatch.setattr(framing, "overlapping", lambda r, t: (seen.append((r.count(), t.count())), real(r, t))[1])
+    rows = framing.classified(spark.createDataFrame(reads, READS), spark.createDataFrame(trx, TRX)).collect()
+    want = ["MultiCoding", "Good", "MultiCoding", "NoncodingOverlap", "Good", "NoncodingOnly", "Good", "NoGene"]
+    assert {r.read_ord: r.status for r in rows} == {i * 3 + k: s for i, s in enumerate(want) for k in range(3)}
+    assert seen == [(8, 7)]
+    assert {r.gene_id for r in rows if r.read_ord // 3 == 6} == {22} and {r.vs_start for r in rows if r.read_ord // 3 == 6} == {50}
+
+
+def test_first_stop_is_found_in_a_long_sequence(spark):
+    seqs = [("TA" * 60_000 + "TAA", 40_000), ("TA" * 60_000, None), ("ACG" * 50_000 + "tga" + "TAA", 50_000), ("", None), ("TA", None), ("ATAATAG", None), ("CTAATGA", None), ("TAG", 0), ("AC\nTAA", 1)]
+    df = spark.createDataFrame(seqs, "seq string, want bigint").select("want", sequences.first_stop_codon(F.col("seq")).alias("found"))
+    assert [(r.want, r.found) for r in df.collect() if r.want != r.found] == []
