@@ -37,39 +37,40 @@ def location_fields(nt: Column, cds_start: Column) -> list[Column]:
     return [x.alias("cds_off"), coords.codon_of(x).alias("codon"), coords.frame_of(x).alias("frame")]
 
 
-def by_base(profile: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """One row for each base of each transcript (trx_id, blocks, cds_start, seq): location fields, base, amino acid of its codon, n."""
+def by_base(arrays: DataFrame, names: tuple[str, ...] = ("n",)) -> DataFrame:
+    """One row for each base of each transcript (trx_id, blocks, cds_start, seq): location fields, base, amino acid of its codon, and the counts called names.
+
+    arrays: transcripts with their dense counts, as asites.dense_arrays gives them. Bases are dealt out last, so nothing is shuffled for each of them.
+    """
     n = coords.blocks_length(F.col("blocks"))
-    at = transcripts.withColumn("nt", F.explode(sequences.safe_range(F.lit(0), n - 1))).withColumn("nt", F.col("nt").cast("bigint"))
-    codon = F.substr(F.col("seq"), (F.col("nt") + 1).cast("int"), F.lit(3))
-    rows = at.select(
+    letters = arrays.select("trx_id", "cds_start", *names, F.col("seq").isNotNull().alias("known"), F.split("seq", "").alias("letters"), sequences.safe_range(F.lit(0), n - 1).alias("nts"))
+    at = letters.withColumn("nt", F.explode("nts")).withColumn("nt", F.col("nt").cast("bigint"))
+    letter = lambda i: F.coalesce(F.get("letters", (F.col("nt") + i).cast("int")), F.lit(""))
+    of_known = lambda c: F.when(F.col("known"), c)
+    return at.select(
         "trx_id", "nt", *location_fields(F.col("nt"), F.col("cds_start")),
-        F.substr(codon, F.lit(1), F.lit(1)).alias("base"), sequences.amino(F.upper(codon)).alias("amino"),
+        of_known(letter(0)).alias("base"), sequences.amino(F.upper(of_known(F.concat(letter(0), letter(1), letter(2))))).alias("amino"),
+        *(F.get(c, F.col("nt").cast("int")).alias(c) for c in names),
     )
-    return rows.join(profile, ["trx_id", "nt"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
-def by_codon(profile: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """trx_id, codon, n for each codon of each CDS, zeros included."""
+def by_codon(hits: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """trx_id, codon, n for each codon of each CDS, zeros included; hits: asites.sites."""
     cds = transcripts.filter("cds_start is not null")
     last = F.ceil(F.col("cds_len") / 3) - 1
     grid = cds.select("trx_id", F.explode(sequences.safe_range(F.lit(0), last)).alias("codon")).withColumn("codon", F.col("codon").cast("bigint"))
-    counts = asites.codon_profile(profile, transcripts)
+    counts = asites.codon_profile(hits)
     return grid.join(counts, ["trx_id", "codon"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
-def by_length(profile: DataFrame, transcripts: DataFrame, lengths: tuple[int, int] = (26, 34)) -> DataFrame:
-    """One row for each base: location fields, base, total n and a column for each read length. profile: trx_id, nt, len, n."""
-    each = [F.sum(F.when(F.col("len") == k, F.col("n")).otherwise(0)).alias(f"len{k}") for k in range(lengths[0], lengths[1] + 1)]
-    wide = profile.groupBy("trx_id", "nt").agg(F.sum("n").alias("n"), *each)
-    names = [f"len{k}" for k in range(lengths[0], lengths[1] + 1)]
-    rows = by_base(wide, transcripts).drop("amino")
-    return rows.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in names})
+def by_length(arrays: DataFrame, lengths: tuple[int, int] = (26, 34)) -> DataFrame:
+    """One row for each base: location fields, base, total n and a column for each read length, all of them dense arrays in arrays."""
+    return by_base(arrays, ("n", *(f"len{k}" for k in range(lengths[0], lengths[1] + 1)))).drop("amino")
 
 
-def report_heads(profile: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """The head of each transcript's report: junctions, and counts, density and framing over its CDS (null without one)."""
-    stats = asites.profile_statistics(profile, transcripts)
+def report_heads(hits: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The head of each transcript's report: junctions, and counts, density and framing over its CDS (null without one); hits: asites.sites."""
+    stats = asites.profile_statistics(hits, transcripts)
     return transcripts.select("trx_id", junctions(F.col("blocks"), F.col("strand")).alias("junctions")).join(stats, "trx_id", "left")
 
 

@@ -21,7 +21,10 @@ SEQS = f"{TRX}, seqs AS (SELECT *, array_to_string({_SEQ}, '') AS seq FROM trx)"
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts with a sequence."""
-    trx = views.transcripts(spark, sf_dir)
+    return _sequenced(views.transcripts(spark, sf_dir))
+
+
+def _sequenced(trx: DataFrame) -> DataFrame:
     letter = lambda i: F.substr(F.lit("ACGT"), ((F.col("trx_id") + i * i + F.floor(i / 3)) % 4 + 1).cast("int"), F.lit(1))
     places = sequences.safe_range(F.lit(0), coords.blocks_length(F.col("blocks")) - 1)
     return trx.withColumn("seq", F.array_join(F.transform(places, letter), ""))
@@ -54,22 +57,33 @@ _FIELDS = """nt - cds_start AS cds_off, CAST(floor((nt - cds_start + 1) / 3.0) A
 _BASES = f"{HITS}, seqs AS (SELECT *, array_to_string({_SEQ}, '') AS seq FROM trx), grid AS (SELECT s.*, unnest(range(0, total)) AS nt FROM seqs s)"
 
 
-def _profile(spark: SparkSession, sf_dir: str, trx: DataFrame, by_length: bool = False) -> DataFrame:
-    return asites.profile(views.reads(spark, sf_dir), trx, views.asites(spark), by_length)
+def _hits(spark: SparkSession, sf_dir: str, trx: DataFrame) -> DataFrame:
+    return asites.sites(views.reads(spark, sf_dir), trx, views.asites(spark))
+
+
+def _arrays(spark: SparkSession, sf_dir: str, lengths: tuple[int, ...] = ()) -> DataFrame:
+    """Transcripts with a sequence, and dense counts of all A-sites and of those of each length."""
+    reads, names = views.reads(spark, sf_dir), {"n": "n"} | {f"n{i}": f"len{k}" for i, k in enumerate(lengths)}
+
+    def counted(t: DataFrame) -> DataFrame:
+        found = asites.base_counts(reads, t, views.asites(spark), "len" if lengths else None, lengths)
+        return asites.dense_arrays(found, t, tuple(names)).withColumnsRenamed(names)
+
+    return _sequenced(asites.by_shape(views.transcripts(spark, sf_dir), counted, own=("blocks", "cds_start")))
 
 
 @query(f"""{_BASES}, d AS (SELECT trx_id, off AS nt, count(*) AS n FROM hits GROUP BY 1, 2)
 SELECT g.trx_id, g.nt, {_FIELDS.replace("nt -", "g.nt -").replace("nt + 1 AS", "g.nt + 1 AS")}, {table_queries._CODON.format("substr(seq, CAST(g.nt + 1 AS INT), 3)")} AS amino, coalesce(d.n, 0) AS n
 FROM grid g LEFT JOIN d ON d.trx_id = g.trx_id AND d.nt = g.nt""")
 def trx_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asites.by_shape(_transcripts(spark, sf_dir), lambda t: reports.by_base(_profile(spark, sf_dir, t), t), (*asites.CODING, "seq"))
+    return reports.by_base(_arrays(spark, sf_dir))
 
 
 @query(f"""{HITS}, g AS (SELECT trx_id, unnest(range(0, CAST(ceil(cds_len / 3.0) AS BIGINT))) AS codon FROM trx WHERE cds_start IS NOT NULL),
 d AS (SELECT trx_id, CAST(floor((off - cds_start + 1) / 3.0) AS BIGINT) AS codon, count(*) AS n FROM hits WHERE cds_start IS NOT NULL GROUP BY 1, 2)
 SELECT g.trx_id, g.codon, coalesce(d.n, 0) AS n FROM g LEFT JOIN d ON d.trx_id = g.trx_id AND d.codon = g.codon""")
 def trx_report_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asites.by_shape(views.transcripts(spark, sf_dir), lambda t: reports.by_codon(_profile(spark, sf_dir, t), t), asites.CODING)
+    return asites.by_shape(views.transcripts(spark, sf_dir), lambda t: reports.by_codon(_hits(spark, sf_dir, t), t), asites.CODING)
 
 
 _EACH = ", ".join(f"count(CASE WHEN len = {k} THEN 1 END) AS len{k}" for k in range(26, 35))
@@ -80,7 +94,7 @@ _EACH_OUT = ", ".join(f"coalesce(d.len{k}, 0) AS len{k}" for k in range(26, 35))
 SELECT g.trx_id, g.nt, {_FIELDS.replace("nt -", "g.nt -").replace("nt + 1 AS", "g.nt + 1 AS")}, coalesce(d.n, 0) AS n, {_EACH_OUT}
 FROM grid g LEFT JOIN d ON d.trx_id = g.trx_id AND d.nt = g.nt""")
 def trx_report_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asites.by_shape(_transcripts(spark, sf_dir), lambda t: reports.by_length(_profile(spark, sf_dir, t, True), t), (*asites.CODING, "seq"))
+    return reports.by_length(_arrays(spark, sf_dir, tuple(range(26, 35))))
 
 
 @query(f"""{HITS}, s AS (SELECT trx_id, count(*) AS total FROM hits WHERE off - cds_start >= -1 AND off - cds_start < cds_len - 1 GROUP BY 1)
@@ -88,7 +102,7 @@ SELECT t.trx_id, CASE WHEN t.strand = '+' THEN (l0 - 1)::VARCHAR || '/' || l0::V
  CAST(CASE WHEN cds_start IS NOT NULL THEN cds_len // 3 END AS BIGINT) AS codons, CASE WHEN cds_start IS NOT NULL THEN coalesce(s.total, 0) END AS total,
  round(CASE WHEN cds_start IS NOT NULL THEN coalesce(s.total, 0)::DOUBLE / (cds_len // 3) END, 9) AS density FROM trx t LEFT JOIN s ON s.trx_id = t.trx_id""")
 def trx_report_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = asites.by_shape(views.transcripts(spark, sf_dir), lambda t: reports.report_heads(_profile(spark, sf_dir, t), t), asites.CODING)
+    heads = asites.by_shape(views.transcripts(spark, sf_dir), lambda t: reports.report_heads(_hits(spark, sf_dir, t), t), asites.CODING)
     return heads.select("trx_id", "junctions", "codons", "total", F.round("density", 9).alias("density"))
 
 
