@@ -68,3 +68,20 @@ def test_bases_are_not_grouped_for_sums(spark, name):
     """Sums over a CDS are made of the A-sites at once."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [trx_id" in line and ", off#" in line.split("]")[0]]
+
+
+def test_annotated_shuffles_no_pairs(spark):
+    """Every kind of read: one block, spliced, on the edges of exons, off all transcripts, many at one place."""
+    trx, reads = _alike(spark, 40)
+    more = spark.createDataFrame([(100 + k, "a", "+-"[k % 2], [b], 28, 1) for k, b in enumerate([(100, 300), (99, 5), (396, 5), (449, 10), (450, 200), (649, 1), (5000, 28), (600, 60)] * 2)], reads.schema)
+    reads = reads.union(more).union(more.withColumn("read_ord", F.col("read_ord") + (1 << 24)))
+    for strands in ("same", "opposite", "any"):
+        want = {}
+        for p in asites.placed(reads, trx, 0, strands=strands).collect():
+            want.setdefault(p.read_ord, []).append((p.trx_id, p.lo, "+" if p.strand == p.trx_strand else "-"))
+        found = {r.read_ord: (r.names, r.starts, r.strands) for r in reports.annotated(reads, trx, strands).collect()}
+        text = lambda rows: tuple(",".join(map(str, c)) for c in zip(*sorted(rows), strict=True))
+        assert found == {r.read_ord: text(want[r.read_ord]) if r.read_ord in want else (None, None, None) for r in reads.collect()}
+    plan = reports.annotated(reads.filter("size(blocks) = 1"), trx)._jdf.queryExecution().optimizedPlan().toString()
+    first = plan[: plan.index("RepartitionByExpression")]
+    assert "Aggregate" not in first and "Generate explode(ords" in first  # texts are made above the join and dealt out to reads at once
