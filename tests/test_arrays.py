@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.test_shapes import _alike
+from translatome.functions.statistics import l2_normalized
 from translatome.operators import asites, reports
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +86,14 @@ def test_annotated_shuffles_no_pairs(spark):
     plan = reports.annotated(reads.filter("size(blocks) = 1"), trx)._jdf.queryExecution().optimizedPlan().toString()
     first = plan[: plan.index("RepartitionByExpression")]
     assert "Aggregate" not in first and "Generate explode(ords" in first  # texts are made above the join and dealt out to reads at once
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_norm_is_worked_out_once_for_an_array(spark):
+    rows = spark.createDataFrame([([3.0, 0.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    scaled = rows.select(l2_normalized(F.col("v")).alias("u"))
+    assert [r.u for r in scaled.collect()] == [[0.6, 0.0, 0.8], [0.0, 0.0], None]
+    assert "array_repeat(sqrt(" in _plan(scaled).lower()  # not inside the function of each value
