@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tests.oracle import connect, same
 from tests.test_shapes import _alike
 from translatome.functions.statistics import l2_normalized
 from translatome.operators import asites, reports
+from translatome.plans import table_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +99,14 @@ def test_a_norm_is_worked_out_once_for_an_array(spark):
     scaled = rows.select(l2_normalized(F.col("v")).alias("u"))
     assert [r.u for r in scaled.collect()] == [[0.6, 0.0, 0.8], [0.0, 0.0], None]
     assert "array_repeat(sqrt(" in _plan(scaled).lower()  # not inside the function of each value
+
+
+@pytest.mark.parametrize("name", ["start_features", "bool_islands", "peak_overlap", "start_sites_untrained"])
+def test_profiles_of_users(spark, tmp_path, name):
+    """Profiles are made of the covered bases, without a grid to join; users and events without a number are in them as in SQL."""
+    rows = [(k, k % 5 if k % 11 else None) for k in range(3000)] + [(None, 3), (None, 77)] + [(7 * k, 6) for k in range(20, 26)] * 9
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint").withColumn("event_type", F.lit("view")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = connect("/root/testdata/sf0.001")
+    con.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    same(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name])
+    assert "Join" not in _plan(table_queries._profiles(spark, str(tmp_path)))
