@@ -187,3 +187,18 @@ def test_in_spark(spark, tmp_path):
 def test_tags_of_every_kind():
     data = b"AAAx" + b"CCc\xff" + b"SSS\x01\x00" + b"FFf" + struct.pack("<f", 0.5) + b"HHH0A\0" + b"BBBs" + struct.pack("<ihh", 2, -1, 5)
     assert dict(bam.bam_tags(data)) == {"AA": "x", "CC": "-1", "SS": "1", "FF": "0.5", "HH": "0A", "BB": "s,-1,5"}
+
+
+def test_many_splits_share_tasks(monkeypatch):
+    """However small the splits are, a file is read in MOST_TASKS tasks at most, and each split is in one of them."""
+    monkeypatch.setattr(bam, "MOST_TASKS", 8)
+    for size in (0, 1, 799, 800, 801, 12_345):
+        tasks = bam.BamReader({"path": "file:/x.bam", "splitbytes": "100"})._splits("file:/x.bam", size, set())
+        assert len(tasks) <= 8 and [p for t in tasks for p in t.pieces] == [(a, min(a + 100, size), 0, bam.END) for a in range(0, size, 100)]
+
+
+def test_bases_outside_the_code_are_an_error():
+    row = dict(qname="r", flag=0, ref="a", pos=1, cigar="3M", tags=None, seq="AcN", qual=None)
+    assert bytes([0x12, 0xF0, 255, 255, 255]) == bam.bam_record(row, {"a": 0})[0][-5:]
+    with pytest.raises(ValueError):
+        bam.bam_record(row | {"seq": "A1E"}, {"a": 0})

@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ SPLIT_BYTES, READ_BYTES, BATCH_BYTES = 32 << 20, 1 << 18, 4 << 20
 #: Records that must follow one another where a split's first record is looked for.
 CHAIN = 16
 MOST_REGIONS = 10_000
+#: Tasks that a file is read in, at most: of more splits, neighbours are looked up one after the other in one task.
+MOST_TASKS = 1024
 END = 1 << 62
 
 _HEAD = np.dtype([
@@ -208,7 +211,7 @@ def _records(stream, header: _Header, low: int, high: int, begin: int, end: int)
         data.extend(got[1])
         return True
 
-    enough = 1 << 17
+    enough = 1 << 15  # a block, mostly
     while at is None:
         ended = not more()
         if ended or len(data) >= enough:
@@ -533,25 +536,43 @@ def _bgzf(data: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
+class _Codes(dict):
+    """Bases to hexadecimal digits, for str.translate."""
+
+    def __missing__(self, base: int):
+        raise ValueError(f"not a base of BAM: {chr(base)}")
+
+
+_CODES = _Codes({ord(c): f"{k:x}" for k, c in enumerate(BAM_BASES)})
+_WHOLE = re.compile("-?[0-9]{1,9}")
+
+
+@lru_cache(10_000)
+def _cigar_of(text: str) -> tuple[int, bytes, int]:
+    """Operations of a CIGAR, their binary form, and the bases of the reference that they use."""
+    ops = [(int(n), CIGAR_OPS.index(k)) for n, k in re.findall("([0-9]+)([A-Z=])", text)]
+    return len(ops), b"".join(struct.pack("<I", n << 4 | k) for n, k in ops if len(ops) <= 65535), sum(n for n, k in ops if CIGAR_OPS[k] in "MDN=X")
+
+
 def bam_record(row, numbers: dict[str, int]) -> tuple[bytes, int, int, int]:
     """One alignment (a row of FIELDS with seq and qual) in the binary form, its reference's number, start and end."""
     name = row["qname"].encode() + b"\0"
     seq, quals = ("" if row[c] in (None, "*") else row[c] for c in ("seq", "qual"))  # a star is SAM's for none
-    cigar = [(int(n), CIGAR_OPS.index(k)) for n, k in re.findall("([0-9]+)([A-Z=])", row["cigar"] or "")]
-    if len(name) > 255 or len(cigar) > 65535:
+    n_cigar, cigar, span = _cigar_of(row["cigar"] or "")
+    if len(name) > 255 or n_cigar > 65535:
         raise ValueError(f"too long for BAM: {row['qname']}")
     if quals and len(quals) != len(seq):
         raise ValueError(f"{len(quals)} qualities of {len(seq)} bases: {row['qname']}")
     ref = -1 if row["ref"] is None else numbers[row["ref"]]
     pos = -1 if row["pos"] is None else row["pos"]
-    span = sum(n for n, k in cigar if CIGAR_OPS[k] in "MDN=X") or 1
-    codes = [BAM_BASES.index(c) for c in seq.upper()] + [0] * (len(seq) % 2)
-    qual = bytes(ord(c) - 33 for c in quals) if quals else bytes([255] * len(seq))
+    span = span or 1
+    codes = bytes.fromhex(seq.upper().translate(_CODES) + "0" * (len(seq) % 2))
+    qual = bytes(ord(c) - 33 for c in quals) if quals else b"\xff" * len(seq)
     number = bin_of(pos, pos + span) & 0xFFFF if pos >= 0 else 4680
-    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 255, number, len(cigar), row["flag"], len(seq), -1, -1, 0)
-    body += name + b"".join(struct.pack("<I", n << 4 | k) for n, k in cigar) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 255, number, n_cigar, row["flag"], len(seq), -1, -1, 0)
+    body += name + cigar + codes + qual
     for tag, value in sorted((row["tags"] or {}).items()):
-        whole = re.fullmatch("-?[0-9]{1,9}", value)
+        whole = _WHOLE.fullmatch(value)
         body += tag.encode() + (b"i" + struct.pack("<i", int(value)) if whole else b"Z" + value.encode() + b"\0")
     return struct.pack("<i", len(body)) + body, ref, pos, pos + span
 
@@ -662,7 +683,9 @@ class BamReader(DataSourceReader):
         whole = lambda low, high: ((a, min(a + self.split, high)) for a in range(low, high, self.split))
         kind = next((e for e in ("bai", "csi") if f"{path.rpartition('/')[2]}.{e}" in beside), None)
         if not self.wanted.narrow() or kind is None:
-            return [Split(path, [(a, b, 0, END)]) for a, b in whole(0, size)]
+            cuts = [(a, b, 0, END) for a, b in whole(0, size)]
+            each = -(-len(cuts) // MOST_TASKS) or 1
+            return [Split(path, cuts[k : k + each]) for k in range(0, len(cuts), each)]
         with _opened(f"{path}.{kind}") as stream:
             index = Index.read(stream.read())
         with _opened(path) as stream:
