@@ -1,7 +1,9 @@
 """Counts of bases as arrays of each transcript: dealt out last, and the same as base by base."""
 
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ import __spark_entry__ as entry
 from tests.oracle import connect, same
 from tests.test_shapes import _alike
 from translatome.functions.statistics import l2_normalized
-from translatome.operators import asites, reports
+from translatome.operators import asites, reports, starts, svm, windows
 from translatome.plans import table_queries
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +112,57 @@ def test_profiles_of_users(spark, tmp_path, name):
     con.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     same(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name])
     assert "Join" not in _plan(table_queries._profiles(spark, str(tmp_path)))
+
+
+def test_features_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(k, [k % 7] * 67, 20 + k) for k in range(9)], "trx bigint, ltm array<bigint>, at int")
+    known = starts.start_features(rows, F.col("at"), ["ltm"], 50).filter("features IS NOT NULL").select("trx", "features", F.xxhash64("features"))
+    assert _plan(known).lower().count("zip_with(") == 1
+    assert [r.trx for r in known.collect()] == [2, 3, 4, 5, 6]  # trx 0, 1, 7 and 8 have few counts, or offsets off the profile
+
+
+@pytest.mark.parametrize("groups", [starts.GROUPS, ((0,), (2, 5), (3,)), ((-9, 4), (-3, -2)), ((-4, -1),)])
+def test_scores_of_whole_profiles(spark, groups):
+    """The same as position by position: short, empty and missing profiles, samples of unequal length, counts that are missing, parts that end within a profile."""
+    draw = random.Random(5)
+    count = lambda n: [draw.choice([0, 0, 1, 5, 40]) for _ in range(n)]
+    rows = [(k, count(n), count(n)) for k, n in enumerate([0, 1, 40, 47, 48, 49, 50, 90, 200, 300])]
+    rows += [(20, count(90), count(60)), (21, count(60), count(90)), (22, None, count(90)), (23, count(90), None), (24, [0] * 90, [0] * 90), (None, count(90), count(90))]
+    rows += [(25, count(50) + [None] + count(60), count(111)), (26, count(90), []), (27, [], count(90)), (28, None, None)]
+    profiles = spark.createDataFrame(rows, "trx bigint, ltm array<bigint>, chx array<bigint>").coalesce(1)
+    vectors = np.random.default_rng(1).random((30, 2 * len(groups)))
+    for model in (svm.Model(vectors / np.linalg.norm(vectors, axis=1)[:, None], np.random.default_rng(2).normal(size=30), 0.05, 2.4), svm.Model(vectors[:0], np.zeros(0), -1.0, 2.4)):
+        each = starts.start_features(starts.every_position(profiles, F.size("ltm")), F.col("at"), ["ltm", "chx"], 10, groups)
+        want = {(r.trx, r.at): (r.score, r.called) for r in starts.call_starts(model, each).filter("ltm IS NOT NULL").collect()}
+        for least, part in ((10, 4096), (10, 7)):
+            found = {(r.trx, r.at): (r.score, r.called) for r in starts.called_positions(model, profiles, ["ltm", "chx"], least, groups, part).collect()}
+            assert found.keys() == want.keys()
+            for k, (score, called) in want.items():
+                assert found[k][1] == called and found[k][0] == (None if score is None else pytest.approx(score, abs=1e-9)), k
+        assert any(s is not None for s, _ in want.values()) and any(s is None for s, _ in want.values())
+
+
+def test_scores_are_of_any_size(spark):
+    """Against the kernel as it is written, with vectors that are no unit vectors, in parts of one row and of all rows."""
+    draw = np.random.default_rng(3)
+    for n, many in ((1, 1), (5, 70_000), (700, 12), (0, 3)):
+        model = svm.Model(draw.normal(size=(many, 4)), draw.normal(size=many), -0.5, 0.7)
+        x = draw.normal(size=(n, 4))
+        assert np.allclose(model.scores(x), svm.kernel(x, model.vectors, 0.7) @ model.weights - 0.5, atol=1e-9)
+
+
+def test_start_sites_meet_where_they_are_called(spark, tmp_path):
+    """No position is made that no predictor calls, and peaks are those of all positions; users and events without a number are in the table."""
+    draw = random.Random(8)
+    rows = [(7 * (90 * draw.randrange(50) + draw.choice([19, 20, 21, 22, 23, 50, 58, 59, 60, 61, *range(90)])) + draw.randrange(7), draw.randrange(60)) for _ in range(9000)]
+    rows += [(k, None) for k in range(500)] + [(None, 3), (None, 77)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = table_queries.start_sites(spark, str(tmp_path))
+    every, _ = table_queries._caller(spark, str(tmp_path))
+    a = every.select("trx", F.col("at").cast("bigint").alias("nt"), "called")
+    b = starts.enrichment(table_queries._arrays(spark, str(tmp_path))).select("trx", F.col("st").alias("nt"), F.col("is_start").alias("called"))
+    track = starts.predicted(table_queries._profiles(spark, str(tmp_path)).select("trx", "nt"), a, b)
+    want = windows.peak_hulls(track, ["trx"]).withColumn("kind", windows.peak_type())
+    assert found.columns == want.columns and Counter(found.collect()) == Counter(want.collect())
+    assert {r.kind for r in found.collect()} >= {"B", "H", "L"}
+    assert "Join" not in _plan(found)
