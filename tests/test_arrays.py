@@ -92,6 +92,34 @@ def test_annotated_shuffles_no_pairs(spark):
     assert "Aggregate" not in first and "Generate explode(ords" in first  # texts are made above the join and dealt out to reads at once
 
 
+def test_annotated_writes_a_text_once(spark, tmp_path):
+    """Reads of one place are written side by side, in files whose texts fit in a dictionary: 480 texts of 66 KB on average are 24 that differ."""
+    ids = F.lit(1_000_000_000) + F.col("id") * 330_089_441 % 999_999_937
+    trx = spark.range(12_000).select(ids.alias("trx_id"), F.lit("a").alias("ref"), F.lit("+").alias("strand"), F.expr("array(struct(100 + id div 500 as start, 100L as len))").alias("blocks"))
+    reads = spark.range(480).select(F.col("id").alias("read_ord"), F.lit("a").alias("ref"), F.lit("+").alias("strand"), F.expr("array(struct(100 + id % 24 as start, 28L as len))").alias("blocks"))
+    reports.annotated(reads, trx).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    files = [f for f in (tmp_path / "out").iterdir() if f.suffix == ".parquet"]
+    assert rows.count() == 480 and rows.selectExpr("sum(length(names))").first()[0] == 20 * sum(500 * k * 11 - 1 for k in range(1, 25))
+    assert sum(f.stat().st_size for f in files) < 4_000_000
+    assert {r.starts for r in rows.filter("read_ord % 24 = 0").select("starts").collect()} == {",".join(["0"] * 500)}
+
+
+def test_annotated_splits_crowds_and_keeps_reads_without_a_number(spark, monkeypatch):
+    trx, reads = _alike(spark, 40)
+    reads = reads.union(spark.createDataFrame([(None, "a", "+", [(110, 28)], 28, 1), (None, None, None, None, None, None)], reads.schema))
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    want = sorted(map(tuple, reports.annotated(reads, trx, "any").collect()), key=key)
+    assert len(want) == 46 and [r for r in want if r[0] is None] == [(None, None, None, None)] * 2
+    whole = reports._dealt_places(reads.filter("size(blocks) = 1 AND read_ord IS NOT NULL"), asites.exons_in_bins(trx.selectExpr("*", "array(trx_id) as ids", "3L as chars"), "any"))
+    monkeypatch.setattr(reports, "CROWD", 2)
+    monkeypatch.setattr(reports, "TEXT", 100)
+    split = reports._dealt_places(reads.filter("size(blocks) = 1 AND read_ord IS NOT NULL"), asites.exons_in_bins(trx.selectExpr("*", "array(trx_id) as ids", "3L as chars"), "any"))
+    ords = lambda p: sorted(o for r in p.select("ords").collect() for o in r.ords)
+    assert ords(split[0]) == ords(whole[0]) == list(range(40)) and split[0].count() > whole[0].count() and split[1] > whole[1]
+    assert sorted(map(tuple, reports.annotated(reads, trx, "any").collect()), key=key) == want
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
